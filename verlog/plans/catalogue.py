@@ -1,0 +1,9 @@
+"""Named queries over the fixture tables and the SQL they equal."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
