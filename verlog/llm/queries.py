@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_tree, decontaminate, language_id, sentencepiece_codec, sharding, url_filter, warc
+from . import chat_tree, decontaminate, jaccard_join, language_id, sentencepiece_codec, sharding, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,8 +74,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_read(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_language_id": op2_language_id, "op3_chat_tree": op3_chat_tree, "op4_decontaminate": op4_decontaminate, "op7_url_filter": op7_url_filter, "op8_sentencepiece": op8_sentencepiece, "op9_sharding": op9_sharding}
+    return {"op1_warc": op1_warc, "op2_language_id": op2_language_id, "op3_chat_tree": op3_chat_tree, "op4_decontaminate": op4_decontaminate, "op7_url_filter": op7_url_filter, "op8_sentencepiece": op8_sentencepiece, "op9_sharding": op9_sharding, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
