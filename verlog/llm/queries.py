@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_tree, decontaminate, jaccard_join, language_id, sentencepiece_codec, sharding, url_filter, warc
+from . import chat_tree, decontaminate, embedding_dedup, jaccard_join, language_id, sentencepiece_codec, sharding, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
@@ -79,7 +83,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_language_id": op2_language_id, "op3_chat_tree": op3_chat_tree, "op4_decontaminate": op4_decontaminate, "op7_url_filter": op7_url_filter, "op8_sentencepiece": op8_sentencepiece, "op9_sharding": op9_sharding, "op10_jaccard_join": op10_jaccard_join}
+    return {"op1_warc": op1_warc, "op2_language_id": op2_language_id, "op3_chat_tree": op3_chat_tree, "op4_decontaminate": op4_decontaminate, "op6_embedding_dedup": op6_embedding_dedup, "op7_url_filter": op7_url_filter, "op8_sentencepiece": op8_sentencepiece, "op9_sharding": op9_sharding, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
