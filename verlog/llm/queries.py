@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_tree, decontaminate, embedding_dedup, jaccard_join, language_id, sentencepiece_codec, sharding, url_filter, warc
+from . import chat_tree, decontaminate, embedding_dedup, jaccard_join, language_id, license_scan, sentencepiece_codec, sharding, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,6 +63,19 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of source/lang/n/; the shortest ones stand for licence files of their source
+    or of source/lang."""
+    length, source, lang = F.coalesce(F.length("text"), F.lit(0)), F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
+    place = (
+        F.when(length < 100, F.concat(source, F.lit("/LICENSE-"), "doc_id"))
+        .when(length < 200, F.concat(source, F.lit("/"), lang, F.lit("/LICENSE-"), "doc_id"))
+        .otherwise(F.concat(source, F.lit("/"), lang, F.lit("/"), F.pmod("doc_id", F.lit(10)), F.lit("/"), "doc_id", F.lit(".txt")))
+    )
+    files = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), place.alias("path"), "text")
+    return license_scan.license_of(files).withColumnRenamed("file_id", "doc_id")
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
@@ -83,7 +97,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_language_id": op2_language_id, "op3_chat_tree": op3_chat_tree, "op4_decontaminate": op4_decontaminate, "op6_embedding_dedup": op6_embedding_dedup, "op7_url_filter": op7_url_filter, "op8_sentencepiece": op8_sentencepiece, "op9_sharding": op9_sharding, "op10_jaccard_join": op10_jaccard_join}
+    return {"op1_warc": op1_warc, "op2_language_id": op2_language_id, "op3_chat_tree": op3_chat_tree, "op4_decontaminate": op4_decontaminate, "op5_license_scan": op5_license_scan, "op6_embedding_dedup": op6_embedding_dedup, "op7_url_filter": op7_url_filter, "op8_sentencepiece": op8_sentencepiece, "op9_sharding": op9_sharding, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
