@@ -1,9 +1,517 @@
-"""Named queries over the fixture tables and the SQL they equal."""
+"""Named queries over the fixture tables. `oracle` has the SQL that each of them equals."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import collections as C
+from ..operators import commands, folds, hashes, ring, storage, txn, visible, writes
+from ..sources import fixtures as X
+from .oracle import SQL
+
+NOW_MS = 1_706_000_000_000
+LATER_MS = 1_707_000_000_000
+SNAPSHOT = 8_000
+
+Query = Callable[[SparkSession, str], DataFrame]
+_all: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _all[f.__name__] = f
+    return f
+
+
+def _customers(spark, d) -> DataFrame:
+    """A request for each customer, by position; those with even keys ask for keys that exist."""
+    return X.table(spark, d, "customer").select(F.col("c_custkey").alias("pos"), F.concat(F.lit("cust:"), "c_custkey").alias("key"))
+
+
+@query
+def kv_live_state(spark, d):
+    return visible.live(X.events_log(spark, d), NOW_MS)
+
+
+@query
+def kv_live_orders(spark, d):
+    return visible.live(X.orders_log(spark, d), NOW_MS)
+
+
+@query
+def kv_snapshot_state(spark, d):
+    return visible.live(X.events_log(spark, d), NOW_MS, upto=SNAPSHOT)
+
+
+@query
+def kv_get_point(spark, d):
+    return visible.get(X.orders_log(spark, d), "cust:7", NOW_MS).select("key", "value", "seq")
+
+
+@query
+def kv_mget_positional(spark, d):
+    return visible.mget(X.orders_log(spark, d), _customers(spark, d), NOW_MS)
+
+
+@query
+def kv_mget_negative(spark, d):
+    return visible.mget(X.orders_log(spark, d), _customers(spark, d).withColumn("key", F.concat(F.lit("missing"), "pos")), NOW_MS)
+
+
+@query
+def kv_exists(spark, d):
+    return visible.exists(X.orders_log(spark, d), _customers(spark, d), NOW_MS)
+
+
+@query
+def kv_scan_range_limit(spark, d):
+    return visible.scan(X.orders_log(spark, d), NOW_MS, "cust:1", "cust:5", limit=100)
+
+
+@query
+def kv_scan_range_all(spark, d):
+    return visible.scan(X.orders_log(spark, d), NOW_MS, "cust:1", "cust:5")
+
+
+@query
+def kv_scan_flat(spark, d):
+    return visible.scan_reply(visible.scan(X.orders_log(spark, d), NOW_MS, "cust:2", limit=100))
+
+
+@query
+def kv_prefix(spark, d):
+    return visible.prefix(X.orders_log(spark, d), "cust:12", NOW_MS)
+
+
+@query
+def kv_next_key(spark, d):
+    """Each live key with the one after it; the ring of one window is cut by the first four characters
+    of the number, which order as the keys do."""
+    pairs = visible.live(X.orders_log(spark, d), NOW_MS).select("key", F.substring("key", 1, 7).alias("lead"))
+    nxt = F.lead("key").over(Window.partitionBy("lead").orderBy("key"))
+    firsts = pairs.groupBy("lead").agg(F.min("key").alias("first"))
+    following = firsts.select("lead", F.lead("first").over(Window.orderBy("lead")).alias("following"))  # a row for each lead
+    return pairs.withColumn("nxt", nxt).join(following, "lead").select("key", F.coalesce("nxt", "following").alias("next_key"))
+
+
+@query
+def kv_seek(spark, d):
+    return visible.seek(X.orders_log(spark, d), "cust:33", NOW_MS)
+
+
+@query
+def kv_versions_order(spark, d):
+    v = X.events_log(spark, d)
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq"), "type"))
+    return v.select("key", "seq", "type", nth.alias("nth"))
+
+
+@query
+def kv_deleted_keys(spark, d):
+    return visible.latest(X.events_log(spark, d)).where("type = 1").select("key", "seq")
+
+
+@query
+def kv_expired_keys(spark, d):
+    return visible.latest(X.events_log(spark, d)).where(visible.expired(LATER_MS)).select("key", "seq", "expires_at_ms")
+
+
+@query
+def kv_ttl(spark, d):
+    log = X.events_log(spark, d)
+    users = X.table(spark, d, "events").select(F.col("user_id").alias("pos")).distinct().withColumn("key", F.concat(F.lit("user:"), F.col("pos") - 1))
+    return visible.pttl(log, users, NOW_MS)
+
+
+@query
+def kv_ttl_snapshot(spark, d):
+    log = X.events_log(spark, d)
+    users = X.table(spark, d, "events").select(F.col("user_id").alias("pos")).distinct().withColumn("key", F.concat(F.lit("user:"), "pos"))
+    return visible.pttl(log, users, NOW_MS, upto=SNAPSHOT)
+
+
+@query
+def kv_expiry_schedule(spark, d):
+    return visible.expiry_schedule(X.events_log(spark, d))
+
+
+def _expire_requests(spark, d):
+    users = X.table(spark, d, "events").select("user_id").distinct()
+    return users.select(F.col("user_id").alias("pos"), F.concat(F.lit("user:"), "user_id").alias("key"), ((F.pmod("user_id", F.lit(5)) - 1) * 1000).cast("long").alias("ttl_ms"))
+
+
+@query
+def kv_expire_effect(spark, d):
+    return writes.expire(X.events_log(spark, d), _expire_requests(spark, d), NOW_MS)
+
+
+@query
+def kv_persist_effect(spark, d):
+    return writes.persist(X.events_log(spark, d), _expire_requests(spark, d).select("pos", "key"), NOW_MS)
+
+
+def _batch(spark, d):
+    return X.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderstatus") == "F", "DEL").otherwise("PUT").alias("op"), F.concat(F.lit("cust:"), "o_custkey").alias("key"),
+        F.col("o_orderpriority").alias("value"),
+    )
+
+
+@query
+def kv_batch_apply(spark, d):
+    return writes.batch(_batch(spark, d), 1_000_001)
+
+
+@query
+def kv_batch_size(spark, d):
+    return writes.batch_size(_batch(spark, d))
+
+
+@query
+def kv_latest_seq(spark, d):
+    return visible.latest_seq(X.orders_log(spark, d))
+
+
+@query
+def kv_log_faults(spark, d):
+    """The reasons for which rows of a log with planted faults are refused."""
+    log = X.events_log(spark, d)
+    spoilt = log.withColumns({
+        "key": F.when(F.pmod("seq", F.lit(97)) == 0, "").otherwise(F.col("key")), "expires_at_ms": F.when(F.col("type") == 1, F.pmod("seq", F.lit(2))).otherwise(F.col("expires_at_ms")),
+    })
+    from ..schema import split_faulty
+
+    return split_faulty(spoilt)[1].groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query
+def txn_conflicts(spark, d):
+    return txn.conflicts(X.orders_log(spark, d), X.txns(spark, d).select("txn", "start_seq", "key"))
+
+
+@query
+def txn_schedule(spark, d):
+    ops = X.txns(spark, d).select(F.col("key").alias("part"), "pos", "txn", "start_seq", F.array("key").alias("keys"))
+    return txn.schedule(ops)
+
+
+@query
+def txn_read_own_writes(spark, d):
+    t = X.txns(spark, d)
+    own = t.where("txn % 3 = 0").select("txn", "pos", F.when(F.col("txn") % 2 == 0, "PUT").otherwise("DEL").alias("op"), "key", "value")
+    return txn.read(X.orders_log(spark, d), t.select("txn", "key", "start_seq"), own, NOW_MS)
+
+
+def _write_trace(spark, d):
+    return X.table(spark, d, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 10).alias("txn"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.pmod(F.col("l_partkey") * 7 + F.col("l_suppkey"), F.lit(100))).alias("pos"),
+        F.when(F.col("l_returnflag") == "R", "DEL").otherwise("PUT").alias("op"), F.concat(F.lit("part:"), F.pmod("l_partkey", F.lit(50))).alias("key"), F.col("l_linestatus").alias("value"),
+    )
+
+
+@query
+def txn_write_dedup(spark, d):
+    """The last write of each key of a transaction, at the place of the first (positions that tie are
+    made unique by keeping one)."""
+    w = _write_trace(spark, d).groupBy("txn", "key", "pos").agg(F.min(F.struct("op", "value")).alias("x")).select("txn", "pos", "key", "x.op", "x.value")
+    return txn.dedupe_writes(w)
+
+
+@query
+def lock_trace(spark, d):
+    """Users lock their event type: views and clicks for reading, purchases for writing; the others unlock."""
+    e = X.table(spark, d, "events")
+    kind = F.when(F.col("event_type").isin("view", "click"), "S").when(F.col("event_type") == "purchase", "X").otherwise("UNLOCK")
+    ops = e.select(F.concat(F.lit("r"), F.pmod("user_id", F.lit(10))).alias("key"), F.col("event_id").alias("pos"), (F.col("user_id") + 1).alias("owner"), kind.alias("op"))
+    return txn.locks(ops)
+
+
+@query
+def counter_replay(spark, d):
+    return folds.counters(X.counter_ops(spark, d))
+
+
+@query
+def counter_final(spark, d):
+    done = folds.counters(X.counter_ops(spark, d))
+    last = done.groupBy("key").agg(F.max_by(F.struct("op", "value"), "pos").alias("v"))
+    return last.where("v.op <> 'DEL'").select("key", "v.value")
+
+
+@query
+def counter_checked(spark, d):
+    """Increments of users' counters by their event numbers times 10^15; what overflows is refused."""
+    e = X.table(spark, d, "events")
+    op = F.when(F.col("event_type") == "error", "DEL").when(F.col("event_type") == "signup", "SET").otherwise("INCRBY")
+    arg = F.when(F.col("event_type") == "signup", "word").when(F.col("event_type") == "view", "9000000000000000000").otherwise(F.col("event_id").cast("string"))
+    return folds.checked_counters(e.select(F.concat(F.lit("user:"), "user_id").alias("key"), F.col("event_id").alias("pos"), op.alias("op"), arg.alias("arg")))
+
+
+@query
+def hash_hgetall(spark, d):
+    whole = hashes.hgetall(X.hash_ops(spark, d))
+    return whole.select("key", F.array_join(F.transform("items", lambda x: F.concat(x["field"], F.lit("="), x["value"])), ",").alias("items"))
+
+
+@query
+def hash_hkeys(spark, d):
+    return hashes.hkeys(hashes.hgetall(X.hash_ops(spark, d))).select("key", F.array_join("fields", ",").alias("fields"))
+
+
+@query
+def hash_hvals(spark, d):
+    return hashes.hvals(hashes.hgetall(X.hash_ops(spark, d))).select("key", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("vals"))
+
+
+@query
+def hash_hlen(spark, d):
+    return hashes.hlen(X.hash_ops(spark, d))
+
+
+@query
+def hash_hget(spark, d):
+    asked = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("order:"), "o_orderkey").alias("key"), F.concat(F.lit("p"), F.pmod("o_custkey", F.lit(50))).alias("field"))
+    return hashes.hget(X.hash_ops(spark, d), asked)
+
+
+@query
+def hash_replies(spark, d):
+    out = hashes.replies(X.hash_ops(spark, d))
+    return out.select("key", "field", "op", F.col("pos.l_linenumber").alias("line"), F.col("pos.l_suppkey").alias("supp"), "reply")
+
+
+@query
+def hash_hdel_empty_key(spark, d):
+    return hashes.emptied(X.hash_ops(spark, d))
+
+
+def _lists(spark, d):
+    return folds.lists(X.list_ops(spark, d))
+
+
+@query
+def list_final(spark, d):
+    return _lists(spark, d).select("key", F.array_join("items", ",").alias("items"))
+
+
+@query
+def list_lrange(spark, d):
+    inner, tail, none = C.lrange(F.col("items"), 1, 3), C.lrange(F.col("items"), -3, -1), C.lrange(F.col("items"), -20_000, -10_000)
+    return _lists(spark, d).select("key", F.array_join(inner, ",").alias("inner_part"), F.array_join(tail, ",").alias("tail_part"), F.array_join(none, ",").alias("before_part"))
+
+
+@query
+def list_lindex(spark, d):
+    i = F.col("items")
+    return _lists(spark, d).select("key", C.lindex(i, 0).alias("first"), C.lindex(i, -1).alias("last"), C.lindex(i, 2).alias("third"), C.lindex(i, -100_000).alias("none"))
+
+
+@query
+def list_llen(spark, d):
+    """The length for every user, 0 where there is no list."""
+    users = X.table(spark, d, "events").select(F.concat(F.lit("user:"), "user_id").alias("key")).distinct()
+    return users.join(_lists(spark, d), "key", "left").select("key", C.llen(F.col("items")).cast("long").alias("n"))
+
+
+@query
+def nx_claims(spark, d):
+    return folds.claims(X.claim_ops(spark, d))
+
+
+@query
+def nx_first_writer(spark, d):
+    return writes.put_if_absent(X.claim_ops(spark, d).select("key", (F.col("pos") + 1).alias("seq"), "value"))
+
+
+@query
+def merge_sources(spark, d):
+    log = X.events_log(spark, d)
+    runs = [log.where(F.pmod("seq", F.lit(3)) == k) for k in range(3)]
+    return visible.live(storage.merge(*runs), NOW_MS)
+
+
+@query
+def wal_replay_dedup(spark, d):
+    log = X.events_log(spark, d)
+    return visible.latest(storage.replay(log, log.where(F.col("seq") > SNAPSHOT // 2))).select("key", "seq", "type")
+
+
+def _segment(width: int = 1000):
+    return F.floor((F.col("seq") - 1) / width)
+
+
+@query
+def wal_segment_retention(spark, d):
+    return storage.deletable_segments(X.events_log(spark, d).select(_segment().alias("segment"), "seq"), flushed_seq=SNAPSHOT)
+
+
+@query
+def wal_segment_names(spark, d):
+    return X.events_log(spark, d).select(_segment().alias("segment")).distinct().select("segment", F.concat(C.file_number(F.col("segment")), F.lit(".wal")).alias("name"))
+
+
+@query
+def ring_hash(spark, d):
+    return _customers(spark, d).select("key", C.fnv(F.col("key")).cast("string").alias("hash"))
+
+
+@query
+def ring_tokens(spark, d):
+    return ring.tokens(X.nodes(spark), 8).select("id", F.col("i").cast("long").alias("i"), F.col("token").cast("string").alias("token"))
+
+
+@query
+def ring_route(spark, d):
+    return ring.route(_customers(spark, d), X.nodes(spark)).select("pos", "key", "node")
+
+
+@query
+def ring_replicas(spark, d):
+    return ring.replicas(_customers(spark, d), X.nodes(spark), 2).select("key", F.col("rank").cast("long").alias("rank"), "node")
+
+
+@query
+def batch_plan(spark, d):
+    return ring.plan(_customers(spark, d), X.nodes(spark)).select("pos", "key", "node", F.col("grp").cast("long").alias("grp"), F.col("nth").cast("long").alias("nth"))
+
+
+@query
+def batch_single_node_check(spark, d):
+    ops = X.table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 2).alias("batch"), F.concat(F.lit("cust:"), "o_custkey").alias("key"))
+    return ring.single_node(ops, X.nodes(spark), "n1")
+
+
+@query
+def cluster_status(spark, d):
+    return ring.status(X.nodes(spark))
+
+
+def _files(spark, d):
+    return storage.metadata(X.events_log(spark, d), _segment())
+
+
+@query
+def file_metadata(spark, d):
+    return _files(spark, d)
+
+
+def _levels(spark, d):
+    """Files of the order log: the even ones at level 0, the others at level 1."""
+    files = storage.metadata(X.orders_log(spark, d), _segment())
+    return files.withColumn("level", F.pmod("file_number", F.lit(2)).cast("int"))
+
+
+@query
+def compaction_pick(spark, d):
+    return storage.pick(_levels(spark, d)).select("file_number", "level")
+
+
+@query
+def compaction_due(spark, d):
+    return storage.due(_levels(spark, d))
+
+
+@query
+def compaction_merge_l1(spark, d):
+    return storage.compact(X.events_log(spark, d), 1, NOW_MS)
+
+
+@query
+def compaction_merge_l2(spark, d):
+    return storage.compact(X.events_log(spark, d), 2, NOW_MS)
+
+
+@query
+def manifest_live_files(spark, d):
+    files = _files(spark, d)
+    adds = files.select((F.col("file_number") * 2).alias("pos"), F.lit("add").alias("action"), "file_number")
+    removes = files.where(F.pmod("file_number", F.lit(2)) == 0).select((F.col("file_number") * 2 + 5).alias("pos"), F.lit("remove").alias("action"), "file_number")
+    return storage.live_files(adds.unionByName(removes))
+
+
+@query
+def range_prune_stats(spark, d):
+    users = X.table(spark, d, "events").select(F.col("user_id").alias("pos")).distinct().withColumn("key", F.concat(F.lit("user:"), "pos"))
+    return storage.prune_stats(_files(spark, d), users).select("pos", "key", F.col("pruned").cast("long").alias("pruned"), F.col("read").cast("long").alias("must_read"))
+
+
+def _trace(spark, d):
+    return X.table(spark, d, "events").select(F.col("event_type").alias("shard"), F.col("event_id").alias("pos"), F.col("user_id").cast("string").alias("key"))
+
+
+@query
+def lru_hits(spark, d):
+    return folds.lru_hits(_trace(spark, d), 8)
+
+
+@query
+def lfu_hits(spark, d):
+    return folds.lfu_hits(_trace(spark, d), 8)
+
+
+@query
+def cache_stats(spark, d):
+    return folds.lru_hits(_trace(spark, d), 8).groupBy("shard").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+
+
+def _raft(spark, d):
+    """The order log as entries; index 1 + 7k is missing from 5000 on, and every tenth was written twice."""
+    o = X.table(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("idx"), (F.floor(F.col("o_orderkey") / 1000) + 1).alias("term"), F.col("o_orderstatus").alias("data"))
+    again = o.where("idx % 10 = 0").select("idx", (F.col("term") + 1).alias("term"), F.lit("again").alias("data"))
+    return o.unionByName(again).where("not (idx >= 500 and idx % 7 = 1)")
+
+
+@query
+def raft_apply_prefix(spark, d):
+    return storage.committed_prefix(_raft(spark, d), 2_000)
+
+
+@query
+def raft_commit_index(spark, d):
+    match = X.table(spark, d, "nation").select(F.col("n_name").alias("node"), (F.col("n_nationkey") * 60 + F.col("n_regionkey")).cast("long").alias("match_index"))
+    return storage.commit_index(match, _raft(spark, d), 1)
+
+
+def _command_lines(spark, d):
+    """A line of text for each event."""
+    e = X.table(spark, d, "events")
+    user, n = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    line = (
+        F.when(F.col("event_type") == "view", F.concat(F.lit("get s:"), user))
+        .when(F.col("event_type") == "click", F.concat(F.lit("SET s:"), user, F.lit(" v"), n, F.when(F.pmod("event_id", F.lit(3)) == 0, " EX 3600").otherwise("")))
+        .when(F.col("event_type") == "purchase", F.concat(F.lit("INCRBY c:"), user, F.lit(" "), n))
+        .when(F.col("event_type") == "signup", F.concat(F.lit("LPUSH l:"), user, F.lit(" "), n))
+        .otherwise(F.when(F.pmod("event_id", F.lit(2)) == 0, F.concat(F.lit("nonsense "), n)).otherwise(F.concat(F.lit("EXPIRE s:"), user, F.lit(" x"))))
+    )
+    return e.select(F.concat(F.lit("u"), user).alias("part"), F.col("event_id").alias("pos"), X.epoch_ms("ts").alias("ts_ms"), F.concat(F.lit("s"), user).alias("session"), line.alias("line"))
+
+
+@query
+def command_parse(spark, d):
+    return commands.parse(_command_lines(spark, d)).select("pos", "op", "kind", F.col("argc").cast("long").alias("argc"))
+
+
+@query
+def command_replay(spark, d):
+    return commands.replay(_command_lines(spark, d))
+
+
+@query
+def command_metrics(spark, d):
+    return commands.metrics(commands.replay(_command_lines(spark, d)))
+
+
+@query
+def crc32_check(spark, d):
+    log = X.orders_log(spark, d)
+    return log.select("seq", F.crc32(F.concat("key", F.lit("|"), F.coalesce("value", F.lit(""))).cast("binary")).alias("crc"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_all)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
