@@ -1,8 +1,8 @@
 """Text commands: splitting, classification, and the ordered replay of a log of lines.
 
 A replay works on the whole keyspace of a partition in order, as commands may name several keys; give
-each independent keyspace its own `part`. Replies are those of the line protocol: +text, :number,
-$value or $-1, *array (items joined by spaces), -ERR with a reason.
+each independent keyspace its own `part`. Replies are those of the wire protocol, byte for byte, but
+for GET of a hash or list, whose stored encoding is no text: it gives the text (encoded).
 """
 
 from __future__ import annotations
@@ -70,19 +70,31 @@ class Fail(Exception):
     pass
 
 
-def _typed(space: Keyspace, key: str, now: int, kind: type, name: str):
-    value = space.get(key, now)
-    if value is not None and not isinstance(value, kind):
-        raise Fail(f"{name} encoding corrupted")
-    return value
+def simple(text: str) -> str:
+    return f"+{text}\r\n"
+
+
+def integer(n: int) -> str:
+    return f":{n}\r\n"
+
 
+def error(text: str) -> str:
+    return f"-ERR{text}\r\n"
 
-def _array(items: list) -> str:
-    return " ".join([f"*{len(items)}", *("$-1" if i is None else f"${i}" for i in items)])
 
+def bulk(text: str | None) -> str:
+    return "$-1\r\n" if text is None else f"${len(text.encode())}\r\n{text}\r\n"
 
-def _bulk(value) -> str:
-    return "$-1" if value is None else f"${value}"
+
+def array(items: list[str | None]) -> str:
+    return f"*{len(items)}\r\n" + "".join(map(bulk, items))
+
+
+def _typed(space: Keyspace, key: str, now: int, kind: type, name: str):
+    value = space.get(key, now)
+    if value is not None and not isinstance(value, kind):
+        raise Fail(f"Corruption: {name} encoding corrupted")
+    return value
 
 
 def _text(value) -> str | None:
@@ -90,173 +102,180 @@ def _text(value) -> str | None:
     return value if value is None or isinstance(value, str) else "(encoded)"
 
 
+def _expiry(now: int, ms: int) -> int:
+    if now + ms > MAX_INT64:
+        raise Fail("InvalidArgument: ttl is too large")
+    return now + ms
+
+
 def _set(space: Keyspace, args: list[str], now: int) -> str:
-    if len(args) < 2:
-        raise Fail("wrong number of arguments")
     key, value, rest = args[0], args[1], [a.upper() for a in args[2:]]
-    nx, ttl, at = False, None, 0
+    absent, ttl, at = False, None, 0
     while at < len(rest):
-        if rest[at] == "NX" and not nx:
-            nx, at = True, at + 1
-        elif rest[at] in ("EX", "PX") and ttl is None and at + 1 < len(rest):
-            n = _int(rest[at + 1])
-            if n is None or n <= 0 or rest[at] == "EX" and n > MAX_INT64 // 1000:
-                raise Fail("invalid expire time")
-            ttl, at = n * 1000 if rest[at] == "EX" else n, at + 2
-        else:
+        if rest[at] == "NX" and not absent:
+            absent, at = True, at + 1
+            continue
+        if rest[at] not in ("EX", "PX") or ttl is not None or at + 1 == len(rest):
             raise Fail("syntax error")
-    if nx and space.get(key, now) is not None:
-        return "$-1"
-    if ttl and now + ttl > MAX_INT64:
-        raise Fail("invalid expire time")
-    space.put(key, value, now + ttl if ttl else 0)
-    return "+OK"
+        ttl = _int(rest[at + 1])
+        if ttl is None or ttl <= 0:
+            raise Fail("invalid expire time in 'SET'")
+        if rest[at] == "EX":
+            if ttl > MAX_INT64 // 1000:
+                raise Fail("InvalidArgument: ttl is too large")
+            ttl *= 1000
+        at += 2
+    if absent and space.get(key, now) is not None:
+        return bulk(None)
+    space.put(key, value, _expiry(now, ttl) if ttl else 0)
+    return simple("OK")
 
 
 def _ttl(space: Keyspace, op: str, args: list[str], now: int) -> str:
-    key = args[0]
+    key, value = args[0], space.get(args[0], now)
     if op in ("TTL", "PTTL"):
-        if space.get(key, now) is None:
-            return ":-2"
+        if value is None:
+            return integer(-2)
         expires = space.data[key][1]
-        return ":-1" if not expires else f":{expires - now if op == 'PTTL' else (expires - now) // 1000}"
-    value = space.get(key, now)
+        return integer(-1 if not expires else expires - now if op == "PTTL" else (expires - now) // 1000)
     if op == "PERSIST":
         if value is not None:
             space.put(key, value)
-        return f":{int(value is not None)}"
+        return integer(int(value is not None))
     n = _int(args[1])
-    if n is None or op == "EXPIRE" and abs(n) > MAX_INT64 // 1000:
-        raise Fail("invalid expire time")
+    if n is None:
+        raise Fail(f"invalid TTL value for '{op}'")
+    if op == "EXPIRE" and n > MAX_INT64 // 1000:
+        raise Fail("InvalidArgument: ttl is too large")
     if value is None:
-        return ":0"
-    ms = n * 1000 if op == "EXPIRE" else n
-    if ms <= 0:
+        return integer(0)
+    if n <= 0:
         space.drop(key)
-    elif now + ms > MAX_INT64:
-        raise Fail("invalid expire time")
     else:
-        space.put(key, value, now + ms)
-    return ":1"
+        space.put(key, value, _expiry(now, n * 1000 if op == "EXPIRE" else n))
+    return integer(1)
 
 
 def _counter(space: Keyspace, op: str, args: list[str], now: int) -> str:
     by = 1 if op in ("INCR", "DECR") else _int(args[1])
     if by is None:
-        raise Fail("value is not an integer")
+        raise Fail(f"invalid integer value for '{op}'")
     old = space.get(args[0], now)
     value = 0 if old is None else parse_counter(old) if isinstance(old, str) else None
+    if op == "DECRBY" and by == MIN_INT64:
+        raise Fail("InvalidArgument: counter overflow")
     if value is None:
-        raise Fail("value is not an integer")
+        raise Fail("InvalidArgument: value is not an integer")
     value += -by if op.startswith("DECR") else by
-    if not MIN_INT64 <= value <= MAX_INT64 or op == "DECRBY" and by == MIN_INT64:
-        raise Fail("integer overflow")
+    if not MIN_INT64 <= value <= MAX_INT64:
+        raise Fail("InvalidArgument: counter overflow")
     space.put(args[0], str(value))
-    return f":{value}"
+    return integer(value)
 
 
 def _hash(space: Keyspace, op: str, args: list[str], now: int) -> str:
     key, held = args[0], _typed(space, args[0], now, dict, "hash") or {}
     if op == "HSET":
-        new = args[1] not in held
         space.put(key, held | {args[1]: args[2]})
-        return f":{int(new)}"
+        return integer(int(args[1] not in held))
     if op == "HDEL":
-        if args[1] not in held:
-            return ":0"
         rest = {f: v for f, v in held.items() if f != args[1]}
-        space.put(key, rest) if rest else space.drop(key)
-        return ":1"
+        if len(rest) < len(held):
+            space.put(key, rest) if rest else space.drop(key)
+        return integer(len(held) - len(rest))
     if op == "HGET":
-        return _bulk(held.get(args[1]))
+        return bulk(held.get(args[1]))
     if op in ("HEXISTS", "HLEN"):
-        return f":{int(args[1] in held) if op == 'HEXISTS' else len(held)}"
+        return integer(int(args[1] in held) if op == "HEXISTS" else len(held))
     names = sorted(held, key=str.encode)
-    return _array([x for f in names for x in ((f, held[f]) if op == "HGETALL" else (f,) if op == "HKEYS" else (held[f],))])
+    return array([x for f in names for x in ((f, held[f]) if op == "HGETALL" else (f,) if op == "HKEYS" else (held[f],))])
 
 
 def _list(space: Keyspace, op: str, args: list[str], now: int) -> str:
+    places = [_int(a) for a in args[1:]] if op in ("LINDEX", "LRANGE") else []
+    if None in places:
+        raise Fail(f"invalid integer value for '{op}'")
     key, held = args[0], _typed(space, args[0], now, list, "list") or []
     if op in ("LPUSH", "RPUSH"):
         held = [args[1], *held] if op == "LPUSH" else [*held, args[1]]
         space.put(key, held)
-        return f":{len(held)}"
+        return integer(len(held))
     if op in ("LPOP", "RPOP"):
         if not held:
-            return "$-1"
+            return bulk(None)
         out, rest = (held[0], held[1:]) if op == "LPOP" else (held[-1], held[:-1])
         space.put(key, rest) if rest else space.drop(key)
-        return _bulk(out)
+        return bulk(out)
     if op == "LLEN":
-        return f":{len(held)}"
-    places = [_int(a) for a in args[1:]]
-    if None in places:
-        raise Fail("value is not an integer")
+        return integer(len(held))
+    places = [p + len(held) if p < 0 else p for p in places]
     if op == "LINDEX":
-        at = places[0] + len(held) if places[0] < 0 else places[0]
-        return _bulk(held[at] if 0 <= at < len(held) else None)
-    start, stop = (p + len(held) if p < 0 else p for p in places)
-    return _array(held[max(start, 0) : stop + 1] if stop >= 0 else [])
+        return bulk(held[places[0]] if 0 <= places[0] < len(held) else None)
+    return array(held[max(places[0], 0) : places[1] + 1] if places[1] >= 0 else [])
 
 
 def _scan(space: Keyspace, args: list[str], now: int) -> str:
-    start, limit = "", 100
-    if args and args[0][:1] in ("l", "L"):
-        clause = args
-    else:
-        start, clause = (args[0], args[1:]) if args else ("", [])
-    if clause:
-        n = _int(clause[1]) if len(clause) > 1 and clause[0].upper() == "LIMIT" else None
-        if n is None or n < 0:
-            raise Fail("syntax error")
-        limit = n
-    out = []
+    """A first argument that begins with L is never a key; what follows a limit is not looked at."""
+    start, limit, clause = "", 100, args
+    if args and args[0][:1] not in ("l", "L"):
+        start, clause = args[0], args[1:]
+    if len(clause) > 1 and clause[0].upper() == "LIMIT":
+        limit = _int(clause[1].removeprefix("+"))
+        if limit is None or limit <= 0:
+            raise Fail("invalid LIMIT value for 'SCAN'")
+    out: list[str | None] = []
     for key in space.order[bisect.bisect_left(space.order, start.encode(), key=str.encode) :]:
         value = space.get(key, now)
         if value is not None:
             out += [key, _text(value)]
-            if limit and len(out) == 2 * limit:
+            if len(out) == 2 * limit:
                 break
-    return _array(out)
+    return array(out)
 
 
-#: least and most arguments
+#: How many arguments each command takes (none: at least that many), and the names that
+#: errors give to families of commands.
 ARITY = {
-    "PING": (0, 1), "GET": (1, 1), "SET": (2, 9), "DEL": (1, 1), "MGET": (1, 1000), "SCAN": (0, 9), "EXPIRE": (2, 2), "PEXPIRE": (2, 2), "TTL": (1, 1), "PTTL": (1, 1),
-    "PERSIST": (1, 1), "INCR": (1, 1), "INCRBY": (2, 2), "DECR": (1, 1), "DECRBY": (2, 2), "HSET": (3, 3), "HGET": (2, 2), "HDEL": (2, 2), "HEXISTS": (2, 2), "HLEN": (1, 1),
-    "HGETALL": (1, 1), "HKEYS": (1, 1), "HVALS": (1, 1), "LPUSH": (2, 2), "RPUSH": (2, 2), "LPOP": (1, 1), "RPOP": (1, 1), "LLEN": (1, 1), "LINDEX": (2, 2), "LRANGE": (3, 3),
+    **dict.fromkeys("PING".split(), (0, 0)), **dict.fromkeys("SCAN".split(), (0, None)), **dict.fromkeys("SET".split(), (2, None)), **dict.fromkeys("MGET".split(), (1, None)),
+    **dict.fromkeys("GET DEL TTL PTTL PERSIST INCR DECR HLEN HGETALL HKEYS HVALS LPOP RPOP LLEN".split(), (1, 1)),
+    **dict.fromkeys("EXPIRE PEXPIRE INCRBY DECRBY HGET HDEL HEXISTS LPUSH RPUSH LINDEX".split(), (2, 2)), **dict.fromkeys("HSET LRANGE".split(), (3, 3)),
+}
+FAMILY = {
+    **dict.fromkeys("INCR INCRBY DECR DECRBY".split(), "counter command"), **dict.fromkeys("HKEYS HVALS".split(), "hash collection command"),
+    **dict.fromkeys("LPUSH RPUSH".split(), "list push command"), **dict.fromkeys("LPOP RPOP".split(), "list pop command"),
 }
 
 
+def arity_fault(op: str, n: int) -> str | None:
+    least, most = ARITY[op]
+    return None if least <= n and (most is None or n <= most) else f"wrong number of arguments for {FAMILY.get(op, repr(op))}"
+
+
 def execute(space: Keyspace, op: str, args: list[str], now: int) -> str:
     if op not in ARITY:
-        return "-ERR unknown command"
-    least, most = ARITY[op]
+        return error("unknown command")
     try:
-        if not least <= len(args) <= most:
-            raise Fail("wrong number of arguments")
-        kind = KIND_OF[op]
+        if fault := arity_fault(op, len(args)):
+            raise Fail(fault)
         if op == "PING":
-            return "+PONG" if not args else _bulk(args[0])
+            return simple("PONG")
         if op == "GET":
-            return _bulk(_text(space.get(args[0], now)))
+            return bulk(_text(space.get(args[0], now)))
         if op == "SET":
             return _set(space, args, now)
         if op == "DEL":
             space.drop(args[0])
-            return "+OK"
+            return simple("OK")
         if op == "MGET":
-            return _array([_text(space.get(a, now)) for a in args])
+            return array([_text(space.get(a, now)) for a in args])
         if op == "SCAN":
             return _scan(space, args, now)
-        if kind == "counter":
-            return _counter(space, op, args, now)
-        return {"ttl": _ttl, "hash": _hash, "list": _list}[kind](space, op, args, now)
+        return {"counter": _counter, "ttl": _ttl, "hash": _hash, "list": _list}[KIND_OF[op]](space, op, args, now)
     except Fail as e:
-        return f"-ERR {e}"
+        return error(str(e))
 
 
-IN_TXN = ("GET", "SET", "DEL", "MGET", "SCAN", "PING", "INFO", "STATS")
+IN_TXN = ("GET", "SET", "DEL", "MGET", "SCAN", "PING")
 
 
 def replay(lines: DataFrame, password: str | None = None) -> DataFrame:
@@ -264,7 +283,8 @@ def replay(lines: DataFrame, password: str | None = None) -> DataFrame:
 
     Sessions may BEGIN: reads then see the state at that time and the session's own writes, writes wait
     for EXEC, which fails if a key that was read or written has changed since. A transaction takes SET
-    with two arguments only. With a password a session must AUTH first."""
+    with two arguments only, and SCAN does not see its writes. With a password a session must AUTH first.
+    INFO, STATS and CLUSTER describe a server; metrics() and the ring's queries answer for them."""
 
     def begin():
         space = Keyspace()
@@ -276,20 +296,21 @@ def replay(lines: DataFrame, password: str | None = None) -> DataFrame:
             before = {k: space.data.get(k) for k in args[:1]}
             reply = execute(space, op, args, now)
             for k, v in before.items():
-                if space.data.get(k) != v or op in ("SET", "DEL") and reply == "+OK":
+                if space.data.get(k) != v or op in ("SET", "DEL") and reply[0] == "+":
                     clock["now"] += 1
                     changed[k] = clock["now"]
             return reply
 
         def in_txn(own: dict, op: str, args: list[str], now: int) -> str:
             if op not in IN_TXN:
-                return "-ERR command not supported in transaction"
-            least, most = (2, 2) if op == "SET" else ARITY.get(op, (0, 9))
-            if not least <= len(args) <= most:
-                return "-ERR wrong number of arguments"
+                return error("unsupported command in transaction")
+            if op == "SET" and len(args) != 2:
+                return error("SET options are not supported in transactions")
+            if fault := arity_fault(op, len(args)):
+                return error(fault)
             if op in ("SET", "DEL"):
                 own["writes"][args[0]] = args[1] if op == "SET" else None
-                return "+OK"
+                return simple("OK")
             if op in ("GET", "MGET"):
                 out = []
                 for k in args:
@@ -299,7 +320,7 @@ def replay(lines: DataFrame, password: str | None = None) -> DataFrame:
                         own["reads"].add(k)
                         old = own["then"].get(k)
                         out.append(None if old is None or old[1] and old[1] <= now else _text(old[0]))
-                return _bulk(out[0]) if op == "GET" else _array(out)
+                return bulk(out[0]) if op == "GET" else array(out)
             return execute(space, op, args, now)
 
         def step(row):
@@ -308,31 +329,35 @@ def replay(lines: DataFrame, password: str | None = None) -> DataFrame:
             tokens, now = (row["line"] or "").split(), row["ts_ms"]
             op, args = (tokens[0].upper(), tokens[1:]) if tokens else ("INVALID", [])
             op = op if op in KIND_OF else "INVALID"
-            own = sessions.setdefault(row["session"], {"in": password is None, "txn": None})
+            own = sessions.setdefault(row["session"], {"in": not password, "txn": None})
             txn = own["txn"]
             if op == "AUTH":
-                own["in"] = own["in"] or args == [password]
-                reply = "+OK" if password is not None and args == [password] else "-ERR invalid password"
+                fault = "wrong number of arguments for 'AUTH'" if len(args) != 1 else "AUTH is not enabled" if not password else "invalid password" if args[0] != password else None
+                own["in"] = own["in"] or not fault
+                reply = error(fault) if fault else simple("OK")
             elif not own["in"]:
-                reply = "-ERR authentication required"
-            elif op == "BEGIN":
-                reply = "-ERR transaction already active" if txn else "+OK"
-                if not txn:
+                reply = error("NOAUTH authentication required")
+            elif op in ("BEGIN", "EXEC", "ABORT"):
+                reply = simple("OK")
+                if args:
+                    reply = error(f"wrong number of arguments for '{op}'")
+                elif op == "BEGIN" and txn:
+                    reply = error("transaction already active")
+                elif op == "BEGIN":
                     own["txn"] = {"start": clock["now"], "writes": {}, "reads": set(), "then": dict(space.data)}
-            elif op in ("EXEC", "ABORT"):
-                if not txn:
-                    reply = "-ERR no active transaction"
-                elif op == "EXEC" and any(changed.get(k, 0) > txn["start"] for k in {*txn["reads"], *txn["writes"]}):
-                    reply = "-ERR transaction conflict"
+                elif not txn:
+                    reply = error("no active transaction")
                 else:
-                    for k, v in txn["writes"].items() if op == "EXEC" else ():
-                        run("SET", [k, v], now) if v is not None else run("DEL", [k], now)
-                    reply = "+OK"
-                own["txn"] = None
+                    own["txn"] = None
+                    if op == "EXEC" and any(changed.get(k, 0) > txn["start"] for k in {*txn["reads"], *txn["writes"]}):
+                        reply = error("transaction conflict")
+                    elif op == "EXEC":
+                        for k, v in txn["writes"].items():
+                            run("SET", [k, v], now) if v is not None else run("DEL", [k], now)
             elif txn:
                 reply = in_txn(txn, op, args, now)
             else:
-                reply = "-ERR unknown command" if op == "INVALID" else run(op, args, now)
+                reply = error("unknown command") if op == "INVALID" else run(op, args, now)
             return [(row["part"], row["pos"], op, reply)]
 
         return step

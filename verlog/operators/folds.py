@@ -106,7 +106,7 @@ def checked_counters(ops: DataFrame) -> DataFrame:
                 if now is None or by is None or row["arg"][:1] in " +":
                     error = "value is not an integer"
                 elif op == "DECRBY" and by == MIN_INT64 or not MIN_INT64 <= (value := now + (by if op == "INCRBY" else -by)) <= MAX_INT64:
-                    error, value = "integer overflow", None
+                    error, value = "counter overflow", None
                 else:
                     state["text"] = str(value)
             return [(row["key"], row["pos"], op, value, error)]

@@ -45,7 +45,7 @@ CHECKED = """WITH RECURSIVE ops AS (SELECT 'user:' || user_id AS key, event_id A
      CASE WHEN o.op = 'DEL' THEN 0 WHEN o.op = 'SET' OR f.word OR f.num + o.by > 9223372036854775807 THEN f.num ELSE f.num + o.by END,
      CASE o.op WHEN 'DEL' THEN false WHEN 'SET' THEN true ELSE f.word END,
      CASE WHEN o.op = 'INCRBY' AND NOT f.word AND f.num + o.by <= 9223372036854775807 THEN f.num + o.by END,
-     CASE WHEN o.op = 'INCRBY' AND f.word THEN 'value is not an integer' WHEN o.op = 'INCRBY' AND f.num + o.by > 9223372036854775807 THEN 'integer overflow' END
+     CASE WHEN o.op = 'INCRBY' AND f.word THEN 'value is not an integer' WHEN o.op = 'INCRBY' AND f.num + o.by > 9223372036854775807 THEN 'counter overflow' END
    FROM f JOIN ops o ON o.key = f.key AND o.rn = f.rn + 1)
  SELECT key, pos, op, CAST(value AS BIGINT) AS value, error FROM f WHERE rn > 0"""
 
@@ -94,8 +94,8 @@ REPLAY = f"""WITH {LINES}, e AS (SELECT l.*, epoch_us(ts) // 1000 AS t FROM line
    count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY pos) AS pushed FROM e),
  r AS (SELECT 'u' || s.user_id AS part, s.pos, CASE s.event_type WHEN 'view' THEN 'GET' WHEN 'click' THEN 'SET' WHEN 'purchase' THEN 'INCRBY' WHEN 'signup' THEN 'LPUSH'
      ELSE CASE WHEN s.pos % 2 = 0 THEN 'INVALID' ELSE 'EXPIRE' END END AS op,
-   CASE s.event_type WHEN 'view' THEN CASE WHEN w.pos IS NULL OR (w.pos % 3 = 0 AND w.t + 3600000 <= s.t) THEN '$-1' ELSE '$v' || w.pos END WHEN 'click' THEN '+OK'
-     WHEN 'purchase' THEN ':' || total WHEN 'signup' THEN ':' || pushed ELSE CASE WHEN s.pos % 2 = 0 THEN '-ERR unknown command' ELSE '-ERR invalid expire time' END END AS reply
+   CASE s.event_type WHEN 'view' THEN CASE WHEN w.pos IS NULL OR (w.pos % 3 = 0 AND w.t + 3600000 <= s.t) THEN '$-1' ELSE '$' || (1 + strlen(CAST(w.pos AS VARCHAR))) || chr(13) || chr(10) || 'v' || w.pos END WHEN 'click' THEN '+OK'
+     WHEN 'purchase' THEN ':' || total WHEN 'signup' THEN ':' || pushed ELSE CASE WHEN s.pos % 2 = 0 THEN '-ERRunknown command' ELSE '-ERRinvalid TTL value for ''EXPIRE''' END END || chr(13) || chr(10) AS reply
    FROM s LEFT JOIN e w ON w.pos = s.set_at)"""
 
 SCHEDULE = """WITH RECURSIVE t AS (SELECT o_orderkey + 1 AS txn, greatest(o_orderkey - 49, 0) AS start_seq, o_custkey AS k, o_orderkey AS pos,
