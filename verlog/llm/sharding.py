@@ -148,13 +148,15 @@ def assign_shards(
     else:
         found = {r: (b, c) for r, b, c in _with_range(rows, cuts).groupBy("rng").agg(F.sum("size"), F.count("*")).collect()}
     ranges = sorted(found)
-    blocks: list[list[int]] = []  # ranges that move together: those of one text, if a shard holds them
+    groups: list[list[int]] = []  # ranges that follow each other within one text
     for r in ranges:
-        same = blocks and r == blocks[-1][-1] + 1 and cuts[r - 1][1] != NO_ID
-        if same and sum(found[x][0] for x in blocks[-1]) + found[r][0] <= total / shards:
-            blocks[-1].append(r)
+        if groups and r == groups[-1][-1] + 1 and cuts[r - 1][1] != NO_ID:
+            groups[-1].append(r)
         else:
-            blocks.append([r])
+            groups.append([r])
+    blocks: list[list[int]] = []  # ranges that move together
+    for g in groups:
+        blocks += [g] if sum(found[r][0] for r in g) <= total / shards else [[r] for r in g]
     of = _fill([sum(found[r][0] for r in b) for b in blocks], shards)
     filled, table = [0] * shards, []
     for r, at in ((r, at) for b, at in zip(blocks, of, strict=True) for r in b):
