@@ -135,42 +135,49 @@ def _fit(likelihood: np.ndarray, counts: np.ndarray, first: np.ndarray, penalty:
     return share
 
 
-def predict(docs: DataFrame, langs: list[str], counts: np.ndarray, *, penalty: float = 4.0, batch_chars: int = 200_000) -> DataFrame:
-    """Adds lang_pred, score (the proportion of lang_pred) and proportions (by language) to docs(…, text);
-    text itself is left out."""
-    smooth = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True) if len(langs) else counts
-    table = np.ascontiguousarray(smooth.T)
-    kept = [(c, t) for c, t in docs.dtypes if c != "text"]
-
-    def judge(held: list[np.ndarray]) -> np.ndarray:
+class Judge:
+    """What has been learned, as judge of texts."""
+
+    def __init__(self, langs: list[str], counts: np.ndarray, penalty: float = 4.0, batch_chars: int = 200_000):
+        smooth = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True) if len(langs) else counts
+        self.langs, self.table, self.penalty, self.batch_chars = langs, np.ascontiguousarray(smooth.T), penalty, batch_chars
+
+    def _fit(self, held: list[np.ndarray]) -> np.ndarray:
         cell = [np.flatnonzero(h) for h in held]
         first = np.concatenate(([0], np.cumsum([len(c) for c in cell])[:-1])).astype(np.int64)
         n = np.concatenate([h[c] for h, c in zip(held, cell, strict=True)]).astype(float)
-        return _fit(table[np.concatenate(cell)], n, first, penalty)
+        return _fit(self.table[np.concatenate(cell)], n, first, self.penalty)
+
+    def proportions(self, column: pa.Array) -> np.ndarray:
+        """A row for each text; zeros where nothing can be told."""
+        share = np.zeros((len(column), len(self.langs)))
+        at, held, size = [], [], 0
+        for i, text in texts(column) if self.langs else ():
+            n = None
+            for slots in _slices(text):
+                if len(slots):
+                    n = np.bincount(slots, minlength=SLOTS) + (0 if n is None else n)
+            if n is None:
+                continue
+            at.append(i)
+            held.append(n)
+            size += len(text)
+            if size >= self.batch_chars or len(held) >= 128:
+                share[at] = self._fit(held)
+                at, held, size = [], [], 0
+        if held:
+            share[at] = self._fit(held)
+        return share
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            share = np.zeros((batch.num_rows, len(langs)))
-            at, held, size = [], [], 0
 
-            def flush() -> None:
-                nonlocal at, held, size
-                if held:
-                    share[at] = judge(held)
-                at, held, size = [], [], 0
+def predict(docs: DataFrame, judge: Judge) -> DataFrame:
+    """lang_pred, score (the proportion of lang_pred) and proportions (by language) in place of the text
+    of docs, whose other columns have other names than these."""
+    kept, langs = [(c, t) for c, t in docs.dtypes if c != "text"], judge.langs
 
-            for i, text in texts(batch.column("text")) if langs else ():
-                n = None
-                for slots in _slices(text):
-                    if len(slots):
-                        n = np.bincount(slots, minlength=SLOTS) + (0 if n is None else n)
-                if n is not None:
-                    at.append(i)
-                    held.append(n)
-                    size += len(text)
-                    if size >= batch_chars or len(held) >= 128:
-                        flush()
-            flush()
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            share = judge.proportions(batch.column("text"))
             best = share.argmax(1) if langs else np.zeros(batch.num_rows, int)
             score = share.max(1) if langs else np.zeros(batch.num_rows)
             names = [langs[b] if s > 0 else UNKNOWN for b, s in zip(best, score, strict=True)]
@@ -195,16 +202,17 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score and proportions of every document."""
-    langs, counts = learn(docs)
     marked = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
-    return predict(marked, langs, counts)
+    return predict(marked, Judge(*learn(docs)))
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The documents, all columns kept, whose language is known and makes up at least `least` of them."""
-    langs, counts = learn(docs)
-    names = docs.columns
-    row = docs.select(*names, F.col("text").alias("__text"))
-    carried = row.withColumnRenamed("text", "__kept").withColumnRenamed("__text", "text")
-    judged = predict(carried, langs, counts)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).withColumnRenamed("__kept", "text").select(*names)
+    """The documents, all columns kept, with letters and a language that makes up at least `least` of them."""
+    judge = Judge(*learn(docs))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            share = judge.proportions(batch.column("text"))
+            yield batch.filter(pa.array(share.max(1, initial=0.0) >= least))
+
+    return docs.mapInArrow(task, docs.schema)
