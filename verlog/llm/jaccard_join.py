@@ -10,11 +10,11 @@ the space is divided at two levels:
    of either, in any common order of shingles. Each set goes to the cells of its first elements:
    its own region and, at the boundary, those of all sets that could link to it. Frequent shingles
    (counted over all documents) come last in the order, so shared passages hardly make cells.
-2. Pivots. Sets that have frequent shingles even so are dense families of near copies. Pivots from
-   all parts of the input divide them into Voronoi regions: a set within 0.25 of a pivot is linked
-   to it, and pairs inside what the pivots have joined need no comparison. Sets beyond that, and
-   those of different regions, meet in the cells, within the window of distances to a common pivot
-   that the triangle inequality allows.
+2. Pivots. Families of near copies have frequent shingles even so. Pivots from all parts of the
+   input, the sets that share most with others, divide them into Voronoi regions: a set within 0.25
+   of a pivot is linked to it, and pairs inside what the pivots have joined need no comparison. Sets
+   beyond that, and those of different regions, meet in the cells, within the window of distances to
+   a common pivot that the triangle inequality allows.
 
 Candidate pairs are then compared in full: first one partner for each set, then, recursively, the
 pairs that those links have not joined yet. Order, pivots and windows change the work, never the
@@ -48,10 +48,10 @@ from .common import connected_components, drop_staged, stage, texts
 
 WORDS = 5
 LINK, OF = 75, 100  # linked if OF * intersection >= LINK * union
-IN_TASK, FREQUENT_FROM, FREQUENT = 3, 24, 1 << 20
-PIVOTS, PIVOT_SHINGLES, TASK_PIVOTS = 512, 1 << 22, 8
+IN_TASK, FREQUENT_FROM, FREQUENT = 2, 6, 1 << 20
+PIVOTS, PIVOT_SHINGLES, TASK_PIVOTS = 2048, 1 << 21, 64
 CELL = 256
-CHUNK = 3_000_000  # shingles that a task holds at once
+CHUNK = 5_000_000  # shingles that a task holds at once
 BUCKET = 1_000_000  # cell entries of a bucket, about
 BROADCAST_IDS = 1_000_000
 ENTRY = np.dtype([("h", "<u8"), ("c", "<u4"), ("pos", "<u2")])
@@ -130,28 +130,42 @@ def _survey(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [pa.array([kind] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(data, pa.binary())], names=names)
 
+        def candidates(twice: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """The sets that share most of their shingles here, no two of which are linked: those that
+            share more are nearer to what their family has in common."""
+            shares = []
+            for cls, s in held.items():
+                at = np.searchsorted(twice, s)
+                at[at == len(twice)] = 0
+                hit = at[twice[at] == s] if len(twice) else at[:0]
+                if 2 * len(hit) >= len(s) and len(s) <= PIVOT_SHINGLES // 64:
+                    shares.append((-len(hit) / len(s), cls, float(count[hit].mean())))
+            chosen = Pivots([])
+            kept: list[tuple[int, np.ndarray]] = []
+            for _, cls, weight in sorted(shares):
+                s = held[cls]
+                common = chosen.common(s)
+                if (OF * common >= LINK * (chosen.n + len(s) - common)).any():
+                    continue
+                kept.append((cls, s))
+                chosen = Pivots(kept)
+                yield rows(2, [None], [round(weight * 100)], [cls], [s.tobytes()])
+                if len(kept) == TASK_PIVOTS:
+                    return
+
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal size
-            if len(held) >= IN_TASK:
+            if len(held) >= 2:
                 every = np.sort(np.concatenate(list(held.values())))
                 first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
                 count = np.diff(np.append(first, len(every)))
+                twice = every[first[count >= 2]]
+                yield from candidates(twice, count[count >= 2])
                 many = count >= IN_TASK
                 often, count = every[first[many]], count[many]
                 del every, first
                 if len(often):
                     yield rows(1, [None] * len(often), count, often.view(np.int64), [None] * len(often))
-                    chosen: list[np.ndarray] = []
-                    for cls, s in held.items():
-                        if 4 * common_count(s, often) < len(s) or len(s) > PIVOT_SHINGLES // PIVOTS:
-                            continue
-                        if any(linked(common_count(s, p), len(s), len(p)) for p in chosen):
-                            continue
-                        chosen.append(s)
-                        weight = count[np.searchsorted(often, s[np.isin(s, often)])]
-                        yield rows(2, [None], [int(weight.sum() // max(len(weight), 1))], [cls], [s.tobytes()])
-                        if len(chosen) == TASK_PIVOTS:
-                            break
             held.clear()
             size = 0
 
@@ -186,6 +200,15 @@ class Pivots:
         self.shingle, self.first = np.unique(flat[order], return_index=True)
         self.first = np.append(self.first, len(flat))
 
+    def worth_it(self, s: np.ndarray) -> bool:
+        """Whether a sample of a set, its least digests, hints that some pivot is near."""
+        if not len(self.shingle):
+            return False
+        some = s[:64]
+        at = np.searchsorted(self.shingle, some)
+        at[at == len(self.shingle)] = 0
+        return 4 * int((self.shingle[at] == some).sum()) >= len(some)
+
     def common(self, s: np.ndarray) -> np.ndarray:
         if not len(self.shingle):
             return np.zeros(len(self.cls), np.int64)
@@ -198,22 +221,29 @@ class Pivots:
 
 
 def _choose_pivots(found: DataFrame) -> Pivots:
-    """The densest candidates that are no links of each other. TASK_PIVOTS of a task are looked at, of
-    all tasks the PIVOTS * 8 densest."""
-    sets: list[tuple[int, np.ndarray]] = []
+    """Of the densest candidates, by how many others they are linked to, those that no chosen one is
+    linked to. The candidates looked at are bounded in number and size."""
+    sets: dict[int, np.ndarray] = {}
     size = 0
-    index = Pivots([])
-    for row in found.orderBy(F.desc("n"), "cls").limit(PIVOTS * 8).toLocalIterator():
+    for row in found.orderBy(F.desc("n"), "cls").limit(2 * PIVOTS).toLocalIterator():
         s = np.frombuffer(row.data, np.uint64)
-        common = index.common(s)
-        if len(sets) == PIVOTS or size + len(s) > PIVOT_SHINGLES:
+        if size + len(s) > PIVOT_SHINGLES:
             break
-        if any(linked(int(c), len(s), int(n)) for c, n in zip(common, index.n, strict=True) if c):
-            continue
-        sets.append((row.cls, s))
-        size += len(s)
-        index = Pivots(sets)
-    return index
+        if row.cls not in sets:
+            sets[row.cls] = s
+            size += len(s)
+    every = Pivots(list(sets.items()))
+    links = []
+    for s in sets.values():
+        common = every.common(s)
+        links.append(np.flatnonzero(OF * common >= LINK * (every.n + len(s) - common)))
+    free = np.ones(len(links), bool)
+    chosen = []
+    for i in sorted(range(len(links)), key=lambda i: (-len(links[i]), every.cls[i])):
+        if free[i] and len(chosen) < PIVOTS:
+            chosen.append((every.cls[i], sets[every.cls[i]]))
+            free[links[i]] = False
+    return Pivots(chosen)
 
 
 # --- second pass: cells
@@ -280,18 +310,18 @@ def _deal(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], pivots: Pivots,
                 if len(first) < k:
                     rest = s[many]
                     first = np.concatenate((first, rest[np.lexsort((rest, count[at[many]]))][: k - len(first)]))
-                    if len(index.cls):
-                        common = index.common(s)
-                        apart = 1 - common / (index.n + len(s) - common)
-                        near = int(apart.argmin())
-                        far = float(apart[near])
-                        close_by = np.flatnonzero(OF * common >= LINK * (index.n + len(s) - common))
-                        if len(close_by):
-                            label = near
-                            links.append((cls, index.cls[near]))
-                            joint.update((int(p), near) for p in close_by if p != near)
-                        if far >= 1:
-                            near = -1
+                if index.worth_it(s):
+                    common = index.common(s)
+                    apart = 1 - common / (index.n + len(s) - common)
+                    near = int(apart.argmin())
+                    far = float(apart[near])
+                    close_by = np.flatnonzero(OF * common >= LINK * (index.n + len(s) - common))
+                    if len(close_by):
+                        label = near
+                        links.append((cls, index.cls[near]))
+                        joint.update((int(p), near) for p in close_by if p != near)
+                    if far >= 1:
+                        near = -1
                 heads.append((cls, len(s), label, near, far))
                 firsts.append(first)
                 size += len(first)
