@@ -12,8 +12,8 @@ text around the passage: at least `overlap` of the word pairs of the question, a
 answer, must occur there. The answer is what follows the last question mark; without one, the last
 line; without lines, the last sentence; else the last third.
 
-Items are indexed INDEX_ITEMS at a time (the bound of what is broadcast); each such index meets all
-documents. Document frequencies are those of all items.
+Items are indexed INDEX_ITEMS or INDEX_CHARS at a time (the bound of what is broadcast); each such
+index meets all documents. Document frequencies are those of all items.
 
 Defined cases: null or wordless texts match nothing; an item without words is never found; an item
 of one word is its own pair; ties are kept; repeated rows give repeated results; empty tables give
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import texts
 
 SEGMENT, BLOCK = 64, 8
-INDEX_ITEMS = 20_000
+INDEX_ITEMS, INDEX_CHARS = 20_000, 10_000_000
 K1, B = 1.2, 0.75
 #: ASCII characters other than letters and digits end a word
 BLANKED = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256))
@@ -201,6 +201,7 @@ def build_indexes(benchmark: DataFrame, least: float, overlap: float, per_index:
     items = benchmark.where("text is not null").select("item_id", "text")
     n_items = items.count()
     held: list[tuple[int, str]] = []
+    size = 0
 
     def make() -> Index:
         vocabulary = {w for _, t in held for w in words_of(t)}
@@ -212,9 +213,10 @@ def build_indexes(benchmark: DataFrame, least: float, overlap: float, per_index:
 
     for row in items.toLocalIterator():
         held.append((row.item_id, row.text))
-        if len(held) == per_index:
+        size += len(row.text)
+        if len(held) == per_index or size >= INDEX_CHARS:
             yield make()
-            held = []
+            held, size = [], 0
     if held:
         yield make()
 

@@ -21,7 +21,7 @@ pairs that those links have not joined yet. Order, pivots and windows change the
 result. Sets with equal digests are one class throughout, so copies cost nothing.
 
 Cells with more than CELL sets that the first count missed make their shingles frequent, and the
-cells are dealt again. What reaches the driver: frequent shingles (FREQUENT of them at most, by
+cells are dealt again, twice at most. What reaches the driver: frequent shingles (FREQUENT of them at most, by
 count), PIVOTS sets of bounded total size, links between pivots, and counts.
 
 Words are runs of other bytes than ASCII white space, A-Z lower-cased. With fewer than five words
@@ -477,7 +477,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     counted = survey.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(f"n >= {FREQUENT_FROM}")
     table = counted.orderBy(F.desc("n"), "cls").limit(FREQUENT).toArrow()
     shingle, count = table["cls"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    for _ in range(3):
+    for last in (False, False, True):
         order = np.argsort(shingle)
         cells = stage(_deal(docs, (shingle[order], count[order]), pivots, buckets), "cells")
         family = list(range(len(pivots.cls)))
@@ -493,7 +493,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         paired = stage(_pair_up(cells, [top(x) for x in range(len(family))]), "pairs")
         more = paired.where("a is null").select("b").distinct().limit(FREQUENT).toArrow()["b"].to_numpy().view(np.uint64)
         more = np.setdiff1d(more, shingle)
-        if not len(more) or len(shingle) >= FREQUENT:
+        if last or not len(more) or len(shingle) >= FREQUENT:
             break
         shingle, count = np.append(shingle, more), np.append(count, np.full(len(more), CELL))
         drop_staged(cells, paired)
