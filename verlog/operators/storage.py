@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .folds import stream_fold
 from .visible import expired, latest
 
 BOTTOM = 2  # the level at which tombstones and expired values go
@@ -29,6 +30,14 @@ def compact(log: DataFrame, level: int, now_ms: int) -> DataFrame:
     return newest.where((F.col("type") == 0) & ~expired(now_ms)) if level >= BOTTOM else newest
 
 
+def reclaim(log: DataFrame, now_ms: int, active_snapshots: int = 0) -> DataFrame:
+    """The log without what has expired or been deleted, if something has expired and no snapshot needs
+    it; else the log as it is."""
+    if active_snapshots or latest(log).where(expired(now_ms)).isEmpty():
+        return log
+    return compact(log, BOTTOM, now_ms)
+
+
 def write_run(log: DataFrame, path: str, files: int | None = None, records_per_file: int = 0) -> None:
     """Write one sorted run: files cover disjoint key ranges, so scans skip them by their statistics; a
     bloom filter on key serves point reads."""
@@ -100,6 +109,44 @@ def open_log(spark: SparkSession, *paths: str) -> tuple[DataFrame, int]:
     return log, log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
 
 
+def install_checkpoint(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """Make a checkpoint the log in target. It is read whole and checked before anything is written."""
+    from ..schema import LOG, split_faulty
+
+    found = spark.read.schema(LOG).parquet(path)
+    if not split_faulty(found)[1].isEmpty():
+        raise ValueError("faulty rows in the checkpoint")
+    write_run(found, target)
+    return spark.read.schema(LOG).parquet(target)
+
+
+def apply_commands(entries: DataFrame) -> DataFrame:
+    """The log rows that committed entries(idx, op, key, value, expires_at_ms, ts_ms) make, numbered by
+    idx: S puts, T puts with an expiry, D deletes; E gives a live key's value another expiry and does
+    nothing for other keys; N and M change no key."""
+
+    def begin():
+        state: dict = {"value": None, "expires": 0}
+
+        def step(row):
+            if row is None or row["op"] in ("N", "M"):
+                return []
+            op, key = row["op"], row["key"]
+            if op == "E":
+                gone = state["value"] is None or 0 < state["expires"] <= row["ts_ms"]
+                if gone:
+                    return []
+                state["expires"] = row["expires_at_ms"]
+            else:
+                state["value"] = None if op == "D" else row["value"]
+                state["expires"] = row["expires_at_ms"] if op == "T" else 0
+            return [(key, row["idx"], int(op == "D"), state["value"], state["expires"])]
+
+        return step
+
+    return stream_fold(entries, "key", ["idx"], begin, "key string, seq long, type int, value string, expires_at_ms long")
+
+
 def committed_prefix(entries: DataFrame, commit_index: int, applied: int = 0) -> DataFrame:
     """Of entries(idx, term, …): those to apply next, contiguous from applied + 1 up to the commit index.
     An index that was written again counts with its greatest term."""

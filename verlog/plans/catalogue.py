@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import collections as C
-from ..operators import commands, folds, hashes, ring, storage, txn, visible, writes
+from ..operators import bloom, commands, folds, hashes, ring, storage, txn, visible, writes
 from ..sources import fixtures as X
 from .oracle import SQL
 
@@ -503,6 +503,58 @@ def command_metrics(spark, d):
     return commands.metrics(commands.replay(_command_lines(spark, d)))
 
 
+def _sampled_files(spark, d):
+    return X.events_log(spark, d).select(_segment().alias("file_number"), "key")
+
+
+@query
+def bloom_words(spark, d):
+    return bloom.build(_sampled_files(spark, d))
+
+
+@query
+def bloom_probe(spark, d):
+    """For every file, the filter's word on all users and on as many keys that no file has."""
+    users = X.table(spark, d, "events").select("user_id").distinct()
+    asked = users.select(F.concat(F.lit("user:"), "user_id").alias("key")).union(users.select(F.concat(F.lit("none:"), "user_id")))
+    files = _sampled_files(spark, d)
+    pairs = asked.crossJoin(F.broadcast(files.select("file_number").distinct()))  # a row for each file
+    return bloom.may_contain(bloom.build(files), pairs)
+
+
+@query
+def ttl_reclaim(spark, d):
+    return storage.reclaim(X.events_log(spark, d), LATER_MS)
+
+
+@query
+def ttl_purge_list(spark, d):
+    """The keys that are due, in byte order."""
+    due = visible.expiry_schedule(X.events_log(spark, d)).where(visible.expired(LATER_MS))
+    return due.orderBy("key").select("key", "expires_at_ms")
+
+
+@query
+def raft_apply_commands(spark, d):
+    e = X.table(spark, d, "events")
+    op = F.when(F.col("event_type") == "view", "S").when(F.col("event_type") == "click", "T").when(F.col("event_type") == "purchase", "E").when(F.col("event_type") == "error", "D").otherwise("N")
+    ts = X.epoch_ms("ts")
+    return storage.apply_commands(e.select((F.col("event_id") + 1).alias("idx"), op.alias("op"), F.concat(F.lit("user:"), "user_id").alias("key"), F.col("props").alias("value"), (ts + 3_600_000).alias("expires_at_ms"), ts.alias("ts_ms")))
+
+
+@query
+def manifest_dump(spark, d):
+    """File metadata with keys in hexadecimal, as an administrator's listing shows them."""
+    return _files(spark, d).select("file_number", "level", F.lower(F.hex("smallest")).alias("smallest"), F.lower(F.hex("largest")).alias("largest"), "max_seq")
+
+
+@query
+def key_sets_union(spark, d):
+    """All keys that a transaction reads or writes, each once."""
+    t = X.txns(spark, d)
+    return t.select("txn", "key").unionByName(t.where("txn % 3 = 0").select("txn", F.concat("key", F.lit("#")).alias("key"))).unionByName(t.select("txn", "key")).distinct()
+
+
 @query
 def crc32_check(spark, d):
     log = X.orders_log(spark, d)

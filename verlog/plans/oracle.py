@@ -106,6 +106,10 @@ SCHEDULE = """WITH RECURSIVE t AS (SELECT o_orderkey + 1 AS txn, greatest(o_orde
 
 CUST = "req AS (SELECT c_custkey AS pos, 'cust:' || c_custkey AS key FROM customer)"
 
+H = "CAST('0x' || substr(md5({k}), {at}, 8) AS BIGINT)"
+BLOOM = f"""WITH {EV}, fk AS (SELECT DISTINCT (seq - 1) // 1000 AS file_number, key FROM ev), sized AS (SELECT (seq - 1) // 1000 AS file_number, count(*) * 10 AS n_bits FROM ev GROUP BY 1),
+ b AS (SELECT file_number, n_bits, unnest(list_transform(range(4), lambda i: ({H.format(k='key', at=1)} + i * {H.format(k='key', at=9)}) % n_bits)) AS p FROM fk JOIN sized USING (file_number))"""
+
 SQL: dict[str, str] = {
     "kv_live_state": f"{E_LIVE} SELECT {COLUMNS} FROM live",
     "kv_live_orders": f"{O_LIVE} SELECT {COLUMNS} FROM live",
@@ -201,4 +205,23 @@ SQL: dict[str, str] = {
       SELECT pos, CASE WHEN h = 'NONSENSE' THEN 'INVALID' ELSE h END AS op, CASE h WHEN 'GET' THEN 'string' WHEN 'SET' THEN 'string' WHEN 'INCRBY' THEN 'counter' WHEN 'LPUSH' THEN 'list' WHEN 'EXPIRE' THEN 'ttl' ELSE 'invalid' END AS kind, argc FROM p""",
     "command_replay": f"{REPLAY} SELECT part, pos, op, reply FROM r",
     "command_metrics": f"{REPLAY} SELECT op, count(*) AS requests, count(*) FILTER (starts_with(reply, '-ERR')) AS errors FROM r GROUP BY op",
+    "crc32_check": f"""WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS t),
+      {OD}, k AS (SELECT seq, key || '|' || coalesce(value, '') AS s FROM od)
+      SELECT seq, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT))), lambda a, b: xor(a // 256, t[1 + xor(a % 256, b)])), 4294967295) AS crc FROM k, tab""",
+    "bloom_words": f"{BLOOM} SELECT file_number, n_bits, p // 32 AS word, bit_or(CAST(1 AS BIGINT) << CAST(p % 32 AS INT)) AS mask FROM b GROUP BY ALL",
+    "bloom_probe": f"""{BLOOM}, asked AS (SELECT DISTINCT 'user:' || user_id AS key FROM events UNION SELECT DISTINCT 'none:' || user_id FROM events),
+      q AS (SELECT file_number, key, unnest(list_transform(range(4), lambda i: ({H.format(k='key', at=1)} + i * {H.format(k='key', at=9)}) % n_bits)) AS p FROM asked, sized),
+      d AS (SELECT DISTINCT file_number, p, true AS s FROM b)
+      SELECT file_number, key, bool_and(coalesce(s, false)) AS maybe FROM q LEFT JOIN d USING (file_number, p) GROUP BY ALL""",
+    "ttl_reclaim": f"WITH {EV}, {newest('ev', 'n')} SELECT {COLUMNS} FROM n WHERE type = 0 AND (expires_at_ms = 0 OR expires_at_ms > 1707000000000)",
+    "ttl_purge_list": f"WITH {EV}, {newest('ev', 'n')} SELECT key, expires_at_ms FROM n WHERE type = 0 AND expires_at_ms <> 0 AND expires_at_ms <= 1707000000000",
+    "raft_apply_commands": """WITH RECURSIVE e AS (SELECT event_id + 1 AS idx, 'user:' || user_id AS key, props AS value, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn,
+        CASE event_type WHEN 'view' THEN 'S' WHEN 'click' THEN 'T' WHEN 'purchase' THEN 'E' WHEN 'error' THEN 'D' END AS op FROM events WHERE event_type <> 'signup'),
+      f(key, rn, idx, op, v, x, wrote) AS (SELECT DISTINCT key, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), false FROM e
+        UNION ALL SELECT e.key, e.rn, e.idx, e.op, CASE e.op WHEN 'D' THEN NULL WHEN 'E' THEN f.v ELSE e.value END,
+          CASE WHEN e.op = 'T' OR (e.op = 'E' AND f.v IS NOT NULL AND NOT (f.x > 0 AND f.x <= e.t)) THEN e.t + 3600000 WHEN e.op = 'E' THEN f.x ELSE 0 END,
+          e.op <> 'E' OR (f.v IS NOT NULL AND NOT (f.x > 0 AND f.x <= e.t)) FROM f JOIN e ON e.key = f.key AND e.rn = f.rn + 1)
+      SELECT key, idx AS seq, CASE WHEN op = 'D' THEN 1 ELSE 0 END AS type, v AS value, x AS expires_at_ms FROM f WHERE wrote""",
+    "manifest_dump": f"{RUNS} SELECT file_number, level, lower(hex(smallest)) AS smallest, lower(hex(largest)) AS largest, max_seq FROM files",
+    "key_sets_union": """SELECT o_orderkey + 1 AS txn, 'cust:' || o_custkey AS key FROM orders UNION SELECT o_orderkey + 1, 'cust:' || o_custkey || '#' FROM orders WHERE (o_orderkey + 1) % 3 = 0""",
 }

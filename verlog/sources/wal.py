@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 PUT, DELETE, PUT_TTL = 0, 1, 2
@@ -88,3 +89,40 @@ def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").load(path).select("path", "content").mapInArrow(task, SCHEMA)
+
+
+def write_segments(log: DataFrame, folder: str, segment_bytes: int = 64 << 20) -> DataFrame:
+    """Write log rows in sequence order as segments of about segment_bytes; (file, records) of each.
+
+    Ranges of sequence numbers are written in parallel. A segment is named by its first number with 20
+    digits, appears complete or not at all, and is the same when its task runs again.
+    """
+    from pyspark import TaskContext
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = pyarrow.fs.FileSystem.from_uri(folder)
+        fs.create_dir(at, recursive=True)
+        held: list[bytes] = []
+        first = size = 0
+
+        def close() -> pa.RecordBatch:
+            name, part = f"{at}/{first:020d}.wal", f"{at}/.{first:020d}-{TaskContext.get().taskAttemptId()}"
+            with fs.open_output_stream(part) as out:
+                for r in held:
+                    out.write(r)
+            fs.move(part, name)
+            return pa.RecordBatch.from_pydict({"file": pa.array([f"{first:020d}.wal"]), "records": pa.array([len(held)], pa.int64())})
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                for r in batch.slice(k, 4096).to_pylist():
+                    first = first if held else r["seq"]
+                    held.append(encode(r["key"].encode(), r["seq"], r["type"], None if r["value"] is None else r["value"].encode(), r["expires_at_ms"]))
+                    size += len(held[-1])
+                    if size >= segment_bytes:
+                        yield close()
+                        held, size = [], 0
+        if held:
+            yield close()
+
+    return log.select("key", "seq", "type", "value", "expires_at_ms").repartitionByRange("seq").sortWithinPartitions("seq").mapInArrow(task, "file string, records long")
