@@ -146,7 +146,7 @@ def test_leaks_edits_and_clean_texts(spark):
     draw = random.Random(4)
     w = lambda n: " ".join("".join(draw.choices("abcdefgh", k=4)) for _ in range(n))
     item, other = w(30) + "? " + w(6), w(200)
-    bench = spark.createDataFrame([(1, item), (2, other), (3, None), (4, "... !"), (5, "single")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, other), (3, None), (4, "... !"), (5, "single"), (None, "no id here")], "item_id long, text string")
     question = item.split("?")[0]
     texts = [item, w(63) + " " + item.upper() + " " + w(90), question, w(300), None, "", w(100) + other + w(100), item.replace(" ", "\n"), item, w(5000) + " " + item]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("score", F.lit("clash"))

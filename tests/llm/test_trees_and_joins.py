@@ -31,6 +31,17 @@ def test_components_of_random_graphs(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_staged_files_go(spark):
+    from verlog.llm import common
+
+    df = common.stage(spark.range(3), "some")
+    at = common._made[-1]
+    assert df.count() == 3
+    common.clean_up(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(at).count()
+
+
 # --- chats
 
 
@@ -221,6 +232,7 @@ def test_classes_equal_brute_force(spark, monkeypatch, seed, cell):
     monkeypatch.setattr(jaccard_join, "CELL", cell)
     monkeypatch.setattr(jaccard_join, "BUCKET", 2000)
     monkeypatch.setattr(jaccard_join, "CHUNK", 4000)
+    monkeypatch.setattr(jaccard_join, "PARTNERS", 3)
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, cls string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(df).collect()}

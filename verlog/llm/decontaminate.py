@@ -15,7 +15,7 @@ line; without lines, the last sentence; else the last third.
 Items are indexed INDEX_ITEMS or INDEX_CHARS at a time (the bound of what is broadcast); each such
 index meets all documents. Document frequencies are those of all items.
 
-Defined cases: null or wordless texts match nothing; an item without words is never found; an item
+Defined cases: null or wordless texts match nothing; an item without words or id is never found; an item
 of one word is its own pair; ties are kept; repeated rows give repeated results; empty tables give
 no rows (no items: no document is dropped); other columns of documents stay in the filter.
 """
@@ -198,7 +198,7 @@ class Index:
 
 def build_indexes(benchmark: DataFrame, least: float, overlap: float, per_index: int = INDEX_ITEMS) -> Iterator[Index]:
     """An index for each per_index items; the driver holds one at a time."""
-    items = benchmark.where("text is not null").select("item_id", "text")
+    items = benchmark.where("text is not null and item_id is not null").select("item_id", "text")
     n_items = items.count()
     held: list[tuple[int, str]] = []
     size = 0

@@ -256,9 +256,9 @@ def codec(model: str) -> Codec:
 
 
 def encode(df: DataFrame, *, text_col: str = "text", model: str = MODEL, verify: bool = False) -> DataFrame:
-    """df without its text, with ids added; verify also adds round_trip: whether decoding the ids
+    """df without its text, with ids added (in place of columns of these names); verify also adds round_trip: whether decoding the ids
     gives the text. `▁` itself reads back as a blank; such texts are the ones that differ."""
-    kept = [(c, t) for c, t in df.dtypes if c != text_col]
+    kept = [(c, t) for c, t in df.dtypes if c not in (text_col, "ids", "round_trip")]
     named = [*(c for c, _ in kept), "ids", *(["round_trip"] if verify else [])]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,8 +282,8 @@ def encode(df: DataFrame, *, text_col: str = "text", model: str = MODEL, verify:
 
 
 def decode(df: DataFrame, *, ids_col: str = "ids", model: str = MODEL) -> DataFrame:
-    """df without its ids, with text added; null ids give null text."""
-    kept = [(c, t) for c, t in df.dtypes if c != ids_col]
+    """df without its ids, with text added (in place of a column text); null ids give null text."""
+    kept = [(c, t) for c, t in df.dtypes if c not in (ids_col, "text")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
