@@ -105,7 +105,7 @@ def kv_seek(spark, d):
 def kv_versions_order(spark, d):
     v = X.events_log(spark, d)
     nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq"), "type"))
-    return v.select("key", "seq", "type", nth.alias("nth"))
+    return v.select("key", "seq", "type", nth.cast("long").alias("nth"))
 
 
 @query
