@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,13 +51,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_staged(*dfs: DataFrame) -> None:
-    """Delete the files of staged frames that nothing will read again."""
+    """Delete the files of staged frames that nothing will read again, and have Spark's cleaner delete the
+    shuffle files of plans that are no longer referenced (it does so after a collection of the driver's
+    garbage, which may otherwise be long in coming)."""
     for df in dfs:
         spark = df.sparkSession
         jvm = spark._jvm
         for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    dfs[0].sparkSession._jvm.System.gc()
 
 
 def texts(column: pa.Array, chunk: int = 256) -> Iterator[tuple[int, str | None]]:

@@ -41,6 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,12 +49,13 @@ from .common import connected_components, drop_staged, stage, texts
 
 WORDS = 5
 LINK, OF = 75, 100  # linked if OF * intersection >= LINK * union
-IN_TASK, FREQUENT_FROM, FREQUENT = 2, 6, 1 << 20
+IN_TASK, FREQUENT_FROM, FREQUENT = 2, 3, 1 << 20
 PIVOTS, PIVOT_SHINGLES, TASK_PIVOTS = 2048, 1 << 21, 64
 CELL = 256
 CHUNK = 5_000_000  # shingles that a task holds at once
 BUCKET = 1_000_000  # cell entries of a bucket, about
 BROADCAST_IDS = 1_000_000
+PARTNERS = 128
 ENTRY = np.dtype([("h", "<u8"), ("c", "<u4"), ("pos", "<u2")])
 MEMBER = np.dtype([("cls", "<i8"), ("n", "<u4"), ("label", "<i2"), ("near", "<i2"), ("far", "<f4")])
 
@@ -437,16 +439,17 @@ def _pair_up(cells: DataFrame, family: list[int]) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The pairs(a, b) of ids that are links. wanted(id, text) has the texts. A text travels to each
-    pair it is in, grouped by a: a task holds one set and streams the partners."""
+    """The pairs(a, b) of ids that are links. wanted(id, packed) has the texts. A text travels to each
+    pair it is in, grouped by a: a task holds one set and streams the partners. An a with many partners
+    is dealt out to several groups of PARTNERS."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own = None, None
+        now, own, unzip = None, None, zstandard.ZstdDecompressor()
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             out = []
-            for i, text in texts(batch.column("text"), 64):
-                s = shingles(text)
+            for i, packed in enumerate(batch.column("packed")):
+                s = shingles(unzip.decompress(packed.as_py()).decode())
                 if b[i] is None:
                     now, own = a[i], s
                 elif a[i] == now and linked(common_count(own, s), len(own), len(s)):
@@ -454,9 +457,26 @@ def _verify(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    own = pairs.select("a").distinct().join(wanted, F.col("a") == F.col("id")).select("a", F.lit(None).cast("long").alias("b"), "text")
-    other = pairs.join(wanted, F.col("b") == F.col("id")).select("a", "b", "text")
-    return own.unionByName(other).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b")).mapInArrow(task, "a long, b long")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    # texts stay where they are while the pairs fit into every task; else both sides are shuffled
+    if pairs.count() <= BROADCAST_IDS:
+        parts, dealt = F.broadcast(parts), F.broadcast(dealt)
+    own = wanted.join(parts, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "packed")
+    other = wanted.join(dealt, F.col("b") == F.col("id")).select("a", "part", "b", "packed")
+    return own.unionByName(other).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b")).mapInArrow(task, "a long, b long")
+
+
+def _packed(wanted: DataFrame) -> DataFrame:
+    """Staged (id, packed) of (id, text): texts travel compressed."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pack = zstandard.ZstdCompressor(level=3)
+            data = pa.array([pack.compress(t.encode()) for _, t in texts(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), data], names=["id", "packed"])
+
+    return stage(wanted.select("id", "text").mapInArrow(task, "id long, packed binary"), "texts")
 
 
 def _joined(start: DataFrame, components: DataFrame, column: str, to: str) -> DataFrame:
@@ -526,8 +546,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     texts_of = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     wanted = texts_of.join(F.broadcast(wanted_ids) if few else wanted_ids, "id")
     # rows may repeat; equal ids with other texts have other classes and can't be told apart by id alone
-    wanted = stage(wanted.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.length("text")), "text"))).where("nth = 1").drop("nth"), "texts")
-    star = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    wanted = _packed(wanted.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.length("text")), "text"))).where("nth = 1").drop("nth"))
+    star = stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
     first = stage(known.unionByName(_verify(star, wanted)), "first")
     components = connected_components(first)
     left = stage(
