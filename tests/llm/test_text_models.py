@@ -175,6 +175,28 @@ def test_notices_runs_and_thresholds(spark):
     assert got == {1: "MIT", 2: "Apache-2.0", 3: "CC-BY-NC-4.0", 4: "GPL-2.0", 5: None, 6: None, 7: None, 8: "MIT"}
 
 
+def test_verbatim_notices_score_one_anywhere(spark):
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 10_000, {b"the": 9000, b"under": 5000, b"this": 5000, b"of": 9000, b"is": 8000, b"work": 900}, 0.75)
+    assert scanner.scan("Copyright (c) 2020 Jane Doe, licensed under the MIT License") == ("MIT", 1.0)
+    assert scanner.scan("This project is licensed under the MIT License - see the LICENSE file for details.") == ("MIT", 1.0)
+    draw = random.Random(8)
+    for name, t in license_scan.TEMPLATES:
+        words = t.split()
+        before, after = ([f"w{draw.randint(0, 10**6)}" for _ in range(draw.choice([1, 5, 61, 63, 200]))] for _ in "ab")
+        assert scanner.scan(" ".join(before + words + after)) == (name, 1.0), t
+        cut = draw.randint(1, len(words) - 1)  # a line ends inside of the notice
+        assert scanner.scan(" ".join(before + words[:cut]) + "\n# " + " ".join(words[cut:] + after)) == (name, 1.0), t
+        # an edited notice inside of a sentence: as good as the best of all its windows
+        k = license_scan.TEMPLATES.index((name, t))
+        text = license_scan.words_of(" ".join([*before, *words[:cut], "extra", *words[cut:], *after]))
+        most = max(round(scanner._cosine(k, text[x : x + scanner.sizes[k]]), 9) for x in range(len(text) - scanner.sizes[k] + 1))
+        got = scanner.scan(" ".join(w.decode() for w in text))
+        assert most < 0.75 or got[1] >= most
+    assert scanner.scan("w1 " * 60_000 + license_scan.TEMPLATES[0][1] + " w2" * 60_000) == ("MIT", 1.0)
+    assert scanner.scan("mit license " * 30_000) == ("MIT", scanner.scan("mit license")[1])
+    assert scanner.scan("the license of this work is under review by mit people") is None
+
+
 def test_nearest_directory_wins(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [(0, "LICENSE", mit), (1, "a/x.py", "p"), (2, "a/b/COPYING.txt", gpl), (3, "a/b/c/d/y.py", "q"), (4, "a/b/z.py", mit), (5, "top.py", None), (6, None, "r"), (7, "a/bb/w.py", ""), (7, "a/bb/w.py", ""), (8, "a/b/NOTICE", "nothing")]

@@ -3,7 +3,10 @@ vectors, and files without a notice inherit from the nearest directory above the
 
 A text is cut into sentences (at line ends and sentence ends, MAX_WORDS words at most). Single
 sentences and runs of them that begin and end with a key term of some template, no longer than the
-longest template needs, are compared with every template. Key terms of a template are its heaviest:
+longest template needs, are compared with every template. So is, for each template, every window of
+as many words as it has, wherever in the text it begins: a notice quoted word for word scores 1 in the
+middle of a sentence and across line ends. An upper bound of the cosine, from running sums, passes over
+windows that can't reach the threshold or the best so far. Key terms of a template are its heaviest:
 without any of them no vector reaches the threshold, so whole texts are passed over at set speed and
 nothing is missed. Document frequencies of template terms are counted over all files; other words
 weigh as much as the rarest.
@@ -19,11 +22,13 @@ results; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +61,7 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 MAX_WORDS = 64
+SPAN = 50_000  # words of a text that are weighed at once
 SENTENCE = re.compile(r"\n+|(?<=[.!?;])\s+")
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([-._].*)?$"
 
@@ -67,19 +73,27 @@ class Scanner:
         self.longest = max(sum(c.values()) for c in counts)
         self.idf = {w: math.log((1 + n_files) / (1 + frequency.get(w, 0))) + 1 for c in counts for w in c}
         self.rare = math.log(1 + n_files) + 1
+        self.sizes = [sum(c.values()) for c in counts]
         self.vectors: list[dict[bytes, float]] = []
         self.keys: set[bytes] = set()
+        self.keys_of: list[set[bytes]] = []
         for c in counts:
             v = {w: n * self.idf[w] for w, n in c.items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
             v = {w: x / norm for w, x in v.items()}
             self.vectors.append(v)
             rest = 0.0
+            self.keys_of.append(set())
             for w, x in sorted(v.items(), key=lambda e: (e[1], e[0])):
                 if math.sqrt(rest + x * x) < least:
                     rest += x * x
                 else:
-                    self.keys.add(w)
+                    self.keys_of[-1].add(w)
+            self.keys |= self.keys_of[-1]
+        # by place of a word; the last is any other word
+        self.place = {w: i for i, w in enumerate(self.idf)}
+        self.squares = np.array([*self.idf.values(), self.rare]) ** 2
+        self.parts = [np.array([*(v.get(w, 0.0) * x for w, x in self.idf.items()), 0.0]) for v in self.vectors]
 
     def match(self, words: list[bytes]) -> tuple[float, int] | None:
         """The best cosine that reaches the threshold, and minus its template's place."""
@@ -90,6 +104,38 @@ class Scanner:
         best = max(((round(s, 9), k) for s, k in found), default=(0.0, 0))
         return best if best[0] >= self.least else None
 
+    def _cosine(self, k: int, words: list[bytes]) -> float:
+        v = {w: n * self.idf.get(w, self.rare) for w, n in Counter(words).items()}
+        return sum(x * v.get(w, 0.0) for w, x in self.vectors[k].items()) / math.sqrt(sum(x * x for x in v.values()))
+
+    def _windows(self, words: list[bytes], best: tuple[float, int] | None) -> tuple[float, int] | None:
+        """The best of `best` and of the windows of each template's number of words."""
+        for at in range(0, len(words), SPAN):
+            own = words[at : at + SPAN + self.longest - 1]  # windows that begin in the span end here
+            has = set(own)
+            ids = np.fromiter(map(self.place.get, own, itertools.repeat(-1)), np.int64, len(own))
+            norms = np.concatenate(([0.0], np.cumsum(self.squares[ids])))
+            for k, size in enumerate(self.sizes):
+                if size > len(own) or self.keys_of[k].isdisjoint(has):
+                    continue
+                dots = np.concatenate(([0.0], np.cumsum(self.parts[k][ids])))
+                # repeated words make the norm larger than this, never smaller; 1e-6 is for rounding
+                most = np.minimum((dots[size:] - dots[:-size]) / np.sqrt(norms[size:] - norms[:-size]) + 1e-6, 1.0)
+                starts = np.flatnonzero(most >= self.least)
+                seen = set()
+                for x in starts[np.argsort(-most[starts], kind="stable")].tolist():
+                    if best and (most[x], -k) <= best:
+                        break
+                    key = tuple(own[x : x + size])
+                    if key not in seen:
+                        if len(seen) > 10_000:
+                            seen.clear()
+                        seen.add(key)
+                        got = (round(self._cosine(k, own[x : x + size]), 9), -k)
+                        if got[0] >= self.least and (best is None or got > best):
+                            best = got
+        return best
+
     def scan(self, text: str | None) -> tuple[str, float] | None:
         """The licence of a text's best notice and its cosine."""
         if not text or self.keys.isdisjoint(words_of(text)):
@@ -114,6 +160,7 @@ class Scanner:
                     got = self.match(run)
                     if got and (best is None or got > best):
                         best = got
+        best = self._windows([w for p in parts for w in p], best)
         return None if best is None else (self.names[-best[1]], best[0])
 
 
