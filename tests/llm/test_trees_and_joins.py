@@ -258,3 +258,25 @@ def test_copies_repeats_and_nothing(spark):
     assert got == [(0, 3), (3, 3), (5, 3), (5, 3), (9, 9), (9, 9)]
     assert sorted(r.doc_id or 0 for r in jaccard_join.keep_first(df).collect()) == [0, 3, 9]
     assert jaccard_join.jaccard_classes(df.limit(0)).count() == 0
+
+
+def test_null_and_shared_ids_keep_their_links_apart(spark):
+    base = [f"w{k}" for k in range(100)]
+    near = base[:88] + [f"x{k}" for k in range(12)]
+    nearer = [f"y{k}" for k in range(12)] + near[12:]  # linked to near, not to base
+    links = [spark.createDataFrame(rows, "doc_id long, text string") for rows in (
+        [(1, " ".join(base)), (None, " ".join(near)), (2, " ".join(nearer)), (None, "alone here")],
+        [(3, " ".join(base)), (7, " ".join(near)), (7, "other words " + " ".join(f"v{k}" for k in range(60))), (9, "other words " + " ".join(f"v{k}" for k in range(59)))],
+    )]
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.n_shingles) for r in jaccard_join.jaccard_classes(links[0]).collect())
+    assert brute_classes([(1, " ".join(base)), (2, " ".join(nearer))])[2][1] == 2
+    assert got == [(0, 0, 1), (0, 1, 96), (1, 1, 96), (2, 1, 96)]
+    assert sorted(r.doc_id or 0 for r in jaccard_join.keep_first(links[0]).collect()) == [0, 0, 1]
+    got = sorted((r.doc_id, r.component_id, r.n_shingles) for r in jaccard_join.jaccard_classes(links[1]).collect())
+    assert got == [(3, 3, 96), (7, 3, 96), (7, 7, 58), (9, 7, 57)]
+    kept = jaccard_join.keep_first(links[1]).collect()
+    assert sorted((r.doc_id, r.text[:5]) for r in kept) == [(3, "w0 w1"), (7, "other")]
+    # repeats, and two near copies under one id, leave one row; unlinked texts under one id both stay
+    rows = [(5, " ".join(base)), (5, " ".join(base)), (5, " ".join(near)), (5, "something else"), (6, "something else")]
+    kept = jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text[:5]) for r in kept) == [(5, "somet"), (5, "w0 w1")]

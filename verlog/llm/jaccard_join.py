@@ -28,8 +28,10 @@ Words are runs of other bytes than ASCII white space, A-Z lower-cased. With fewe
 the whole sequence is one shingle. Shingles and sets are compared by 64-bit digests.
 
 Defined cases: text that is null or has no words has the empty set, n_shingles 0, and is linked with
-nothing; repeated rows are copies; an empty table gives no rows; other columns are ignored (the
-filter keeps them); very long texts are sets of any size.
+nothing; repeated rows are copies; rows that share a doc_id, or have none, are told apart by their
+texts, and links through them count; a class none of whose rows has a doc_id has component_id null; an
+empty table gives no rows; other columns are ignored (the filter keeps them); very long texts are sets
+of any size.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, drop_staged, stage, texts
@@ -119,18 +121,24 @@ def common_count(a: np.ndarray, b: np.ndarray) -> int:
 # --- first pass: classes, frequent shingles, pivot candidates
 
 
+def _row_key() -> Column:
+    """A digest of a row's doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def _survey(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, n, cls. kind 1: a shingle (cls) and in how many sets of a chunk it is (n).
+    """kind 0: doc_id, n, cls, at (the row's key). kind 1: a shingle (cls) and in how many sets of a chunk it is (n).
     kind 2: a pivot candidate (cls) with its set and how frequent its shingles are (n)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         size = 0
-        names = ["kind", "doc_id", "n", "cls", "data"]
+        names = ["kind", "doc_id", "n", "cls", "data", "at"]
 
-        def rows(kind: int, ids: list, n, cls, data: list) -> pa.RecordBatch:
+        def rows(kind: int, ids: list, n, cls, data: list, at: pa.Array | None = None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([kind] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(data, pa.binary())], names=names)
+                [pa.array([kind] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(data, pa.binary()),
+                 pa.nulls(len(ids), pa.int64()) if at is None else at], names=names)
 
         def candidates(twice: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
             """The sets that share most of their shingles here, no two of which are linked: those that
@@ -183,10 +191,11 @@ def _survey(docs: DataFrame) -> DataFrame:
                     size += len(s)
                     if size >= CHUNK:
                         yield from close()
-            yield rows(0, ids, n, cls, [None] * len(ids))
+            yield rows(0, ids, n, cls, [None] * len(ids), batch.column("at"))
         yield from close()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "kind int, doc_id long, n long, cls long, data binary")
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", _row_key().alias("at"))
+    return keyed.mapInArrow(task, "kind int, doc_id long, n long, cls long, data binary, at long")
 
 
 class Pivots:
@@ -468,15 +477,24 @@ def _verify(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _packed(wanted: DataFrame) -> DataFrame:
-    """Staged (id, packed) of (id, text): texts travel compressed."""
+    """Staged (id, packed) of (id, text), one row for each id: texts travel compressed. Rows of an id are repeats."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            pack = zstandard.ZstdCompressor(level=3)
-            data = pa.array([pack.compress(t.encode()) for _, t in texts(batch.column("text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), data], names=["id", "packed"])
+            pack, ids, own = zstandard.ZstdCompressor(level=3), batch.column("id").to_pylist(), []
+            data = []
+            for i, t in texts(batch.column("text")):
+                if ids[i] not in seen:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(ids[i])
+                    own.append(ids[i])
+                    data.append(pack.compress(t.encode()))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(data, pa.binary())], names=["id", "packed"])
 
-    return stage(wanted.select("id", "text").mapInArrow(task, "id long, packed binary"), "texts")
+    packed = wanted.select("id", "text").mapInArrow(task, "id long, packed binary")
+    return stage(packed.groupBy("id").agg(F.first("packed").alias("packed")), "texts")
 
 
 def _joined(start: DataFrame, components: DataFrame, column: str, to: str) -> DataFrame:
@@ -486,11 +504,17 @@ def _joined(start: DataFrame, components: DataFrame, column: str, to: str) -> Da
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) of every row."""
+    return _classes(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """The same with at (the row's key) and root, a number for all that is linked (null: no shingles)."""
     spark = docs.sparkSession
     survey = stage(_survey(docs), "survey")
-    rows = survey.where("kind = 0").select("doc_id", "n", "cls")
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"))
-    classes = stage(classes, "classes")
+    rows = survey.where("kind = 0").select("doc_id", "n", "cls", "at")
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.min("at").alias("at"))
+    # node: doc_ids may be null or shared; numbers are shorter than digests. at: the row that lends its text
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     entries = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * (LINK / OF)) + 1)).first()[0] or 0
     buckets = max(1, math.ceil(entries / BUCKET))
     pivots = _choose_pivots(survey.where("kind = 2"))
@@ -531,8 +555,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         .join(names.withColumnRenamed("cls", "y"), F.col("b") == F.col("place")).select(F.col("x").alias("a"), F.col("y").alias("b"))
     )
     to_pivots = cells.where("bucket = -1").select("data").mapInArrow(unpack, "a long, b long").unionByName(between)
-    # from here on a class is its smallest doc_id
-    ids = classes.select("cls", "id")
+    # from here on a class is its node
+    ids = classes.select("cls", "node")
 
     def as_ids(ab: DataFrame) -> DataFrame:
         x, y = ids.toDF("a", "ia"), ids.toDF("b", "ib")
@@ -541,12 +565,10 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     pairs = stage(as_ids(paired.where("a is not null").select("a", "b")).distinct(), "pairs")
     known = stage(as_ids(to_pivots.distinct()).where("a <> b").distinct(), "known")
     drop_staged(cells, paired)
-    wanted_ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    wanted_ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted_ids = stage(wanted_ids.join(classes.select(F.col("node").alias("id"), "at"), "id"), "wanted")
     few = wanted_ids.count() <= BROADCAST_IDS
-    texts_of = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    wanted = texts_of.join(F.broadcast(wanted_ids) if few else wanted_ids, "id")
-    # rows may repeat; equal ids with other texts have other classes and can't be told apart by id alone
-    wanted = _packed(wanted.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.length("text")), "text"))).where("nth = 1").drop("nth"))
+    wanted = _packed(docs.select("text", _row_key().alias("at")).join(F.broadcast(wanted_ids) if few else wanted_ids, "at"))
     star = stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
     first = stage(known.unionByName(_verify(star, wanted)), "first")
     components = connected_components(first)
@@ -555,22 +577,27 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     )
     if not left.isEmpty():
         components = connected_components(stage(first.unionByName(_verify(left, wanted)), "all"))
-    named = _joined(classes.select("cls", "id"), components, "id", "root").select("cls", "root")
-    return rows.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    members = components.unionByName(components.select(F.col("root").alias("node"), "root").distinct())  # roots have no row of their own
+    least = stage(members.join(classes.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("least")), "least")
+    named = _joined(classes.select("cls", "id", "node"), components, "node", "root").join(F.broadcast(least) if least.count() <= BROADCAST_IDS else least, "root", "left")
+    named = named.select("cls", "root", F.coalesce("least", "id").alias("least"))
+    return rows.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "at", "root")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the smallest doc_id, with all its columns. Rows that
-    repeat a doc_id with its set leave one row; rows without a doc_id stay."""
-    found = stage(jaccard_classes(docs), "classes")
+    """One document of each class, that with the smallest doc_id, with all its columns. Linked rows
+    that repeat a doc_id leave one row; rows without a doc_id stay."""
+    found = stage(_classes(docs).select("doc_id", "component_id", "at", F.xxhash64("doc_id", "root").alias("same")), "classes")
     names = docs.columns
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    twice = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
+    drop = found.where("doc_id <> component_id").select(F.col("at").alias("__at")).distinct()
+    stay = found.where("doc_id = component_id")
+    twice = stay.groupBy("same").count().where("count > 1").select("same")
+    twice = stay.join(twice, "same").select(F.col("at").alias("__at"), F.col("same").alias("__same")).distinct()
     drop, twice = stage(drop, "drop"), stage(twice, "twice")
     small = [F.broadcast(x) if x.count() <= BROADCAST_IDS else x for x in (drop, twice)]
-    kept = docs.join(small[0], F.col("doc_id") == F.col("__id"), "left_anti")
+    kept = docs.withColumn("__at", _row_key()).join(small[0], "__at", "left_anti")
     if twice.isEmpty():
-        return kept
-    nth = Window.partitionBy("doc_id").orderBy(*(F.col(c) for c in names if c != "doc_id"))
-    one = kept.join(small[1], F.col("doc_id") == F.col("__id"), "left_semi").withColumn("__nth", F.row_number().over(nth)).where("__nth = 1")
-    return kept.join(small[1], F.col("doc_id") == F.col("__id"), "left_anti").unionByName(one.select(*names))
+        return kept.select(*names)
+    nth = Window.partitionBy("__same").orderBy(*(F.col(c) for c in names if c != "doc_id"))
+    one = kept.join(small[1], "__at").withColumn("__nth", F.row_number().over(nth)).where("__nth = 1")
+    return kept.join(small[1], "__at", "left_anti").select(*names).unionByName(one.select(*names))
