@@ -161,6 +161,24 @@ def test_leaks_edits_and_clean_texts(spark):
     assert {i for x in spread for i in x.matches([decontaminate.words_of(texts[1])])[0]} == {1}
 
 
+def test_scores_do_not_depend_on_the_index(spark):
+    draw = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(draw.choices(vocabulary, k=3 + i % 2 * 80 + i // 2))) for i in range(40)]
+    bench = spark.createDataFrame([*items, (None, "no id here"), (99, None), (98, "... !")], "item_id long, text string")
+    docs = [[w if k % 6 < 5 else b"zz" for k, w in enumerate(decontaminate.words_of(t))] for _, t in items]  # edited copies
+
+    def scores(per_index):
+        out = {}
+        for x in decontaminate.build_indexes(bench, 0.3, 0.1, per_index=per_index):
+            for d, got in enumerate(x.matches(docs)):
+                out |= {(d, i): tuple(round(v, 9) for v in found) for i, found in got.items()}
+        return out
+
+    one = scores(100)
+    assert len(one) >= 30 and all(scores(n) == one for n in (1, 3, 7))
+
+
 # --- licences
 
 

@@ -13,7 +13,8 @@ answer, must occur there. The answer is what follows the last question mark; wit
 line; without lines, the last sentence; else the last third.
 
 Items are indexed INDEX_ITEMS or INDEX_CHARS at a time (the bound of what is broadcast); each such
-index meets all documents. Document frequencies are those of all items.
+index meets all documents. Document frequencies and the mean length of segments are those of all
+items, so scores do not depend on which index an item is in.
 
 Defined cases: null or wordless texts match nothing; an item without words or id is never found; an item
 of one word is its own pair; ties are kept; repeated rows give repeated results; empty tables give
@@ -62,12 +63,14 @@ def pairs_of(words: list[bytes]) -> set[tuple[bytes, ...]]:
 class Index:
     """Impacts by term, in segment order, with their maxima by block of BLOCK segments."""
 
-    def __init__(self, items: list[tuple[int, str]], n_items: int, frequency: dict[bytes, int], least: float, overlap: float):
+    def __init__(self, items: list[tuple[int, str]], n_items: int, frequency: dict[bytes, int], least: float, overlap: float, mean: float | None = None):
+        """mean: the mean length of the segments of all items; without it, of these."""
         self.least, self.overlap = least, overlap
         self.items = {i: (question_and_answer(t), len(words_of(t))) for i, t in items}
         segments = [(i, w[at : at + SEGMENT]) for i, t in items if (w := words_of(t)) for at in range(0, len(w), SEGMENT)]
         self.of = [i for i, _ in segments]
-        mean = sum(len(w) for _, w in segments) / max(len(segments), 1)
+        if mean is None:
+            mean = sum(len(w) for _, w in segments) / max(len(segments), 1)
         self.term: dict[bytes, int] = {}
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for d, (_, w) in enumerate(segments):
@@ -199,7 +202,17 @@ class Index:
 def build_indexes(benchmark: DataFrame, least: float, overlap: float, per_index: int = INDEX_ITEMS) -> Iterator[Index]:
     """An index for each per_index items; the driver holds one at a time."""
     items = benchmark.where("text is not null and item_id is not null").select("item_id", "text")
-    n_items = items.count()
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = words = segments = 0
+        for batch in batches:
+            for _, text in texts(batch.column("text")):
+                size = len(words_of(text))
+                n, words, segments = n + 1, words + size, segments + -(-size // SEGMENT)
+        yield pa.RecordBatch.from_pydict({"n": [n], "words": [words], "segments": [segments]})
+
+    total = items.select("text").mapInArrow(lengths, "n long, words long, segments long").agg(F.sum("n"), F.sum("words"), F.sum("segments")).first()
+    n_items, mean = total[0] or 0, (total[1] or 0) / max(total[2] or 0, 1)
     held: list[tuple[int, str]] = []
     size = 0
 
@@ -209,7 +222,7 @@ def build_indexes(benchmark: DataFrame, least: float, overlap: float, per_index:
         for row in items.select("text").toLocalIterator():
             for w in vocabulary.intersection(words_of(row.text)):
                 count[w] += 1
-        return Index(held, n_items, count, least, overlap)
+        return Index(held, n_items, count, least, overlap, mean)
 
     for row in items.toLocalIterator():
         held.append((row.item_id, row.text))
