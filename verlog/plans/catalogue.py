@@ -457,7 +457,7 @@ def cache_stats(spark, d):
 
 
 def _raft(spark, d):
-    """The order log as entries; index 1 + 7k is missing from 5000 on, and every tenth was written twice."""
+    """The order log as entries; index 1 + 7k is missing from 500 on, and every tenth was written twice."""
     o = X.table(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("idx"), (F.floor(F.col("o_orderkey") / 1000) + 1).alias("term"), F.col("o_orderstatus").alias("data"))
     again = o.where("idx % 10 = 0").select("idx", (F.col("term") + 1).alias("term"), F.lit("again").alias("data"))
     return o.unionByName(again).where("not (idx >= 500 and idx % 7 = 1)")
