@@ -11,8 +11,10 @@ What "best" means is the model's own rule, so the ids equal the model's:
   pieces' characters. So at each boundary one piece survives: the one that fits what survives where
   it begins.
 
-Units between boundaries that no piece can span (those before a blank that follows another
-character, for one) repeat all the time; a cache of bounded size keeps their ids.
+An automaton of all pieces gives those that end at each place; every unit, short or long, goes
+through this one lattice. Units lie between boundaries that no piece can reach across, where all ways
+converge from the start (before a blank that follows another character, for one). They repeat all
+the time; a cache of bounded size keeps their ids.
 
 Defined cases: null text gives null ids; empty text gives no ids; very long texts, and long runs
 without a boundary, stream through the window; repeated rows are encoded alike; other columns stay.
@@ -23,11 +25,11 @@ latter do not decode to the same text.
 from __future__ import annotations
 
 import functools
-import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -38,11 +40,11 @@ from .common import texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-UNIT = re.compile(rf"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+NONE = float("-inf")
 
 
 class Codec:
-    def __init__(self, model: str, bpe: bool = True, cache_units: int = 300_000, cache_chars: int = 64):
+    def __init__(self, model: str, bpe: bool = True, cache_words: int = 250_000, cache_chars: int = 64):
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
         self.bpe = bpe
         n = self.sp.vocab_size()
@@ -53,120 +55,139 @@ class Codec:
         self.ids = {p: i for i, p in enumerate(pieces) if not special[i] and not is_byte[i]}
         self.scores = {p: self.sp.get_score(i) for p, i in self.ids.items()}
         self.byte_ids = {int(pieces[i][3:5], 16): i for i in range(n) if is_byte[i]}
-        self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.unknown = self.sp.unk_id()
         self.longest = max(map(len, self.ids), default=1)
         self.low = min(self.scores.values(), default=0.0) - 10.0
-        # the lengths that pieces starting with a pair of characters have
-        lengths: dict[str, set[int]] = {}
-        for p in self.ids:
-            lengths.setdefault(p[:2], set()).add(len(p))
-            lengths[p[:2]].add(1)
-        self.lengths = {k: sorted(v) for k, v in lengths.items()}
-        # whether some piece has a blank after another character; then units can't be cut at blanks
-        self.cut_at_blanks = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
-        self.cache: dict[str, bytes] = {}
-        self.cache_units, self.cache_chars = cache_units, cache_chars
-        self.fits = functools.lru_cache(500_000)(self._fits)
         # pieces that their own merges produce; others are never in a result
         self.sound = {p: i for p, i in self.ids.items() if not bpe or self.merge(p) == [p]}
-        self.pairs: dict[int, bool] = {}
-        self.trie: dict = {}  # sound pieces by character; their ids are under ""
+        self.size_of = [*map(len, pieces), 1]  # the last, at -1, is that of a character without a piece
+        self.score_of = [self.scores.get(p, self.low) for p in pieces]
+        self.neighbours = {p[k : k + 2] for p in self.sound for k in range(len(p) - 1)}
+        self.units = self._units()
+        self.found = ahocorasick.Automaton()  # the pieces that end at each place, the longest first
         for p, i in self.sound.items():
-            node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
+            self.found.add_word(p, i)
+        self.found.make_automaton()
+        self.pairs: dict[int, bool] = {}
+        self.words: dict[str, bytes] = {}  # by word without the blank before it; with a real blank before, by unit
+        self.older: dict[str, bytes] = {}
+        self.cache_words, self.cache_chars = cache_words, cache_chars
+        # what a piece reads as; bytes over 127 as surrogates, which decode() turns into bytes again
+        self.reads = [chr(b if b < 128 else 0xDC00 + b) if is_byte[i] and (b := int(p[3:5], 16)) >= 0 else p for i, p in enumerate(pieces)]
+        self.high = np.array([is_byte[i] and int(p[3:5], 16) > 127 for i, p in enumerate(pieces)])
 
     # --- normalisation: blanks are marked and one is put before the text
 
     def normalise(self, text: str) -> str:
         return BLANK + text.replace(" ", BLANK) if text else ""
 
+    def _units(self) -> re.Pattern | None:
+        """Cuts a text where no piece can reach across: there all ways converge whatever the rest is.
+
+        `alone` are signs with no neighbour in any piece; `after` are signs that follow letters or digits in
+        some piece, other signs begin a unit there. None if some piece has a blank after another character."""
+        if any(BLANK in p.lstrip(BLANK) for p in self.sound):
+            return None
+        signs = {c for p in self.sound for c in p if not c.isalnum() and c != BLANK} | set("\n\r\t")
+        alone = {c for c in signs if not any(c in xy for xy in self.neighbours)}
+        after = {xy[1] for xy in self.neighbours if xy[0].isalnum() and xy[1] in signs}
+        a, h = (re.escape("".join(sorted(s))) for s in (alone, after))
+        sign, word = rf"[^{BLANK}{a}\w]|_", r"[^\W_]++"
+        rest = rf"(?:{sign})*+(?:{word}" + (rf"(?:[{h}](?:{sign})*+)?+" if h else "") + ")"
+        return re.compile(rf"{BLANK}++{rest}*+" + (f"|[{a}]" if a else "") + rf"|{rest}++|(?:{sign})++")
+
     # --- the rule of BPE models
 
     def merge(self, text: str) -> list[str]:
         """What the merges make of a short text: the best-scored neighbours first, leftmost of equals."""
-        part: list[str | None] = list(text)
-        left, right = list(range(-1, len(part) - 1)), list(range(1, len(part) + 1))
-        heap: list[tuple[float, int, int, str]] = []
-
-        def offer(a: int, b: int) -> None:
-            if a >= 0 and b < len(part):
-                joined = part[a] + part[b]
-                if joined in self.scores:
-                    heapq.heappush(heap, (-self.scores[joined], a, b, joined))
-
-        for i in range(len(part) - 1):
-            offer(i, i + 1)
-        while heap:
-            _, a, b, joined = heapq.heappop(heap)
-            if part[a] is None or part[b] is None or part[a] + part[b] != joined or right[a] != b:
-                continue
-            part[a], part[b] = joined, None
-            right[a] = right[b]
-            if right[b] < len(part):
-                left[right[b]] = a
-            offer(left[a], a)
-            offer(a, right[a])
-        return [p for p in part if p is not None]
-
-    def _fits(self, a: str, b: str) -> bool:
-        return self.merge(a + b) == [a, b]
+        part, scores = list(text), self.scores
+        joint = [scores.get(x + y, NONE) for x, y in zip(part, part[1:])]
+        while joint and (most := max(joint)) > NONE:
+            k = joint.index(most)
+            part[k : k + 2] = [part[k] + part[k + 1]]
+            del joint[k]
+            if k:
+                joint[k - 1] = scores.get(part[k - 1] + part[k], NONE)
+            if k < len(joint):
+                joint[k] = scores.get(part[k] + part[k + 1], NONE)
+        return part
+
+    def _fits(self, before: int, piece: int) -> bool:
+        """Whether the merges leave these two pieces next to each other."""
+        a, b = self.pieces[before], self.pieces[piece]
+        if len(self.pairs) >= 300_000:
+            self.pairs.clear()
+        fits = self.pairs[before * len(self.pieces) + piece] = a[-1] + b[0] not in self.neighbours or self.merge(a + b) == [a, b]
+        return fits
 
     # --- the lattice
 
-    def pieces_at(self, text: str, at: int) -> Iterator[str]:
-        """The pieces that begin at a place: those of the vocabulary and the single character."""
-        yield text[at]
-        for n in self.lengths.get(text[at : at + 2], ()):
-            if n > 1 and (p := text[at : at + n]) in self.ids and len(p) == n:
-                yield p
+    def lattice(self, text: str, commit: Callable[[list[int]], None], window: int | None = None) -> None:
+        """Hands runs of piece ids (-1: a character without a piece) to commit, each as soon as it is certain.
+
+        last (and for sums best) belong to the boundaries from `begun` on, which is committed."""
+        window, base, get, size_of = window or self.longest, len(self.pieces), self.pairs.get if self.bpe else None, self.size_of
+        begun, size, room = 0, len(text), min(len(text), 4 * window)
+        last = [-1] * (room + 1)  # the piece that ends at a boundary
+        best = [0.0]  # of models by sums
+        done = 0  # the boundary whose one way is known (BPE models)
+        for at, piece in self.found.iter(text):
+            end = at + 1 - begun
+            if end == done:
+                continue
+            if end > room:
+                # the ways that can go on are those to boundaries that a coming piece may begin at
+                meet = self._meeting(last, end - 1, window)
+                if meet:
+                    commit(self._trace(last, meet))
+                    begun, end, done = begun + meet, end - meet, done - meet
+                    last, best = last[meet:], best[meet:]
+                    last[0] = last[0] if get else -1
+                room = max(len(last) - 1, end + 3 * window)
+                last += [-1] * (room + 1 - len(last))
+            if get:
+                before = last[end - size_of[piece]]
+                # a character without a piece, or the beginning, has nothing to merge with
+                if before >= 0:
+                    fits = get(before * base + piece)
+                    if fits is None:
+                        fits = self._fits(before, piece)
+                    if not fits:
+                        continue
+                last[end], done = piece, end
+            else:
+                while len(best) <= end:  # a way by a single character, until there is a better one
+                    best.append(best[-1] + self.low)
+                if (score := best[end - size_of[piece]] + self.score_of[piece]) > best[end] or last[end] < 0:
+                    last[end], best[end] = piece, score
+        commit(self._trace(last + [-1] * (size - begun + 1 - len(last)), size - begun))
+
+    def _meeting(self, last: list[int], at: int, window: int) -> int:
+        """The last boundary that the ways to all of the last `window` boundaries up to `at` have in common."""
+        ends = set(range(at - window, at + 1))
+        while len(ends) > 1:
+            end = max(ends)
+            ends.remove(end)
+            ends.add(end - self.size_of[last[end]])
+        return ends.pop()
+
+    def _trace(self, last: list[int], end: int) -> list[int]:
+        out, size_of = [], self.size_of
+        while end > 0:
+            piece = last[end]
+            out.append(piece)
+            end -= size_of[piece]
+        out.reverse()
+        return out
 
     def segment(self, text: str, window: int | None = None) -> Iterator[str]:
         """The pieces of a normalised text, given out as soon as they are certain."""
-        begun, size = 0, len(text)  # what is before `begun` is committed
-        # boundary -> (score, piece that ends there); boundaries before the window are dropped
-        best: dict[int, tuple[float, str]] = {0: (0.0, "")}
-        for at in range(size):
-            here = best.get(at)
-            if here is not None:
-                for p in self.pieces_at(text, at):
-                    end = at + len(p)
-                    if self.bpe:
-                        if (p in self.sound or len(p) == 1) and (not here[1] or self.fits(here[1], p)):
-                            best[end] = (0.0, p)
-                    else:
-                        score = here[0] + self.scores.get(p, self.low)
-                        if end not in best or score > best[end][0]:
-                            best[end] = (score, p)
-            if at - begun >= 2 * (window or self.longest) and at % (window or self.longest) == 0:
-                meet = self._meeting(best, at, begun)
-                if meet > begun:
-                    yield from self._trace(best, begun, meet)
-                    for b in range(begun, meet):
-                        best.pop(b, None)
-                    begun = meet
-        yield from self._trace(best, begun, size)
-
-    @staticmethod
-    def _meeting(best: dict[int, tuple[float, str]], at: int, begun: int) -> int:
-        """The last boundary that the ways to all boundaries beyond `at` have in common."""
-        ends = {b for b in best if b > at}
-        while len(ends) > 1:
-            last = max(ends)
-            ends.remove(last)
-            ends.add(last - len(best[last][1]))
-        (meet,) = ends
-        return min(meet, at) if meet in best and meet <= at else begun
-
-    @staticmethod
-    def _trace(best: dict[int, tuple[float, str]], begun: int, end: int) -> list[str]:
-        out = []
-        while end > begun:
-            out.append(best[end][1])
-            end -= len(out[-1])
-        return out[::-1]
+        runs: list[int] = []
+        self.lattice(text, runs.extend, window)
+        at = 0
+        for piece in runs:
+            yield text[at : at + self.size_of[piece]]
+            at += self.size_of[piece]
 
     # --- ids
 
@@ -177,77 +198,52 @@ class Codec:
             return [self.byte_ids[b] for b in piece.encode()]
         return [self.unknown]
 
-    def _short(self, unit: str) -> list[int]:
-        """segment() of a BPE model for a unit that is shorter than a window, in ids."""
-        n, sound, pairs, base = len(unit), self.sound, self.pairs, len(self.pieces)
-        if len(pairs) > 500_000:
-            pairs.clear()
-        last = [-1] * (n + 1)  # the id of the piece that ends at a boundary; base + code if it has none
-        begin = [0] * (n + 1)
-        for at in range(n):
-            before, node, end = last[at], self.trie, at
-            anything = not at or before >= base
-            for c in unit[at:]:
-                node = node.get(c)
-                if node is None:
-                    break
-                end += 1
-                if last[end] >= 0 or "" not in node:  # one way to each boundary is the merges' way
-                    continue
-                piece = node[""]
-                if not anything:
-                    key = before * base + piece
-                    fits = pairs.get(key)
-                    if fits is None:
-                        fits = pairs[key] = self._fits(self.pieces[before], self.pieces[piece])
-                    if not fits:
-                        continue
-                last[end], begin[end] = piece, at
-            if last[at + 1] < 0 and unit[at] not in sound:
-                last[at + 1], begin[at + 1] = base + ord(unit[at]), at
-        out, end = [], n
-        while end:
-            out.append(last[end])
-            end = begin[end]
-        out.reverse()
-        return out if max(out, default=0) < base else [i for p in out for i in ([p] if p < base else self._ids_of(chr(p - base)))]
-
     def _unit(self, unit: str) -> bytes:
-        if self.bpe and len(unit) <= self.cache_chars:
-            found = self._short(unit)
-        else:
-            found = [i for p in self.segment(unit) for i in self._ids_of(p)]
-        got = struct.pack(f"<{len(found)}i", *found)
-        if len(unit) <= self.cache_chars:
-            if len(self.cache) >= self.cache_units:
-                self.cache.clear()
-            self.cache[unit] = got
+        ids: list[int] = []
+        self.lattice(unit, ids.extend)
+        if -1 in ids:
+            at, known, ids = 0, ids, []
+            for piece in known:
+                ids += [piece] if piece >= 0 else self._ids_of(unit[at])
+                at += self.size_of[piece]
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word and the blank before it, or of a unit after a real blank; words.get didn't have them."""
+        got = self.older.get(word)
+        if got is None:
+            if word[0] == " ":
+                got = self._unit(word[1:])
+            elif word.isalnum() or len(units := self.units.findall(BLANK + word)) == 1:
+                got = self._unit(BLANK + word)
+            else:
+                get, make = self.words.get, self._word
+                keys = [u[1:] if u[0] == BLANK and u[1:2] not in ("", BLANK) else " " + u for u in units]
+                got = b"".join([get(k) or make(k) for k in keys])
+        if len(word) <= self.cache_chars:
+            if len(self.words) >= self.cache_words:
+                self.older = self.words.copy()
+                self.words.clear()
+            self.words[word] = got
         return got
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian int32."""
-        norm = self.normalise(text)
-        if not self.cut_at_blanks:
-            return self._unit(norm) if norm else b""
-        cache, make = self.cache, self._unit
-        return b"".join([cache.get(u) or make(u) for u in UNIT.findall(norm)])
+        if not text:
+            return b""
+        if self.units is None:
+            return self._unit(self.normalise(text))
+        words = text.split(" ")
+        if "" in words or BLANK in text:  # runs of blanks belong together
+            words = [" " + u for u in self.units.findall(self.normalise(text))]
+        get, make = self.words.get, self._word
+        return b"".join([get(w) or make(w) for w in words])
 
     def decode(self, ids: list[int]) -> str:
-        pieces, byte_of = self.pieces, self.byte_of
-        if byte_of.keys().isdisjoint(ids):
-            text = "".join([pieces[i] for i in ids])
-        else:
-            out, run = [], bytearray()
-            for i in ids:
-                if i in byte_of:
-                    run.append(byte_of[i])
-                    continue
-                if run:
-                    out.append(run.decode("utf-8", "replace"))
-                    run = bytearray()
-                out.append(pieces[i])
-            text = "".join([*out, run.decode("utf-8", "replace")])
-        return text.replace(BLANK, " ")[1:] if text else ""
+        text = "".join(map(self.reads.__getitem__, ids))
+        if len(ids) and self.high[ids].any():
+            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+        return text.replace(BLANK, " ")[1:]
 
 
 @functools.lru_cache(2)
@@ -270,7 +266,7 @@ def encode(df: DataFrame, *, text_col: str = "text", model: str = MODEL, verify:
                 for _, text in texts(batch.column(text_col)):
                     blobs.append(None if text is None else own.encode(text))
                     if verify:
-                        same.append(None if text is None else own.decode(np.frombuffer(blobs[-1], "<i4").tolist()) == text)
+                        same.append(None if text is None else own.decode(np.frombuffer(blobs[-1], "<i4")) == text)
                 ends = np.concatenate(([0], np.cumsum([len(b or b"") // 4 for b in blobs])))
                 values = pa.array(np.frombuffer(b"".join(b or b"" for b in blobs), "<i4"), pa.int32())
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([b is None for b in blobs]))
