@@ -6,13 +6,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verlog.llm import chat_tree, embedding_dedup, jaccard_join, queries
+from verlog.llm import chat_tree, common, embedding_dedup, jaccard_join, queries
 from verlog.llm.common import connected_components
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_components_of_random_graphs(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW", few)
     draw = random.Random(1)
     pairs = [(draw.randint(0, 400), draw.randint(0, 400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, i) for i in range(5001, 5300)]
     root = {x: x for p in pairs for x in p}
@@ -32,8 +34,6 @@ def test_components_of_random_graphs(spark):
 
 
 def test_staged_files_go(spark):
-    from verlog.llm import common
-
     df = common.stage(spark.range(3), "some")
     at = common._made[-1]
     assert df.count() == 3
@@ -243,6 +243,60 @@ def test_classes_equal_brute_force(spark, monkeypatch, seed, cell):
         assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if c == i)
 
 
+def edited(draw, text, edits):
+    words = text.split()
+    for at in draw.sample(range(len(words)), edits):
+        words[at] = f"e{draw.randint(0, 10**6)}"
+    return " ".join(words)
+
+
+def test_regions_replicas_and_levels_are_all_needed(spark, monkeypatch):
+    """Each way by which links are found: without it, some are lost."""
+    draw = random.Random(5)
+    base = " ".join(f"b{draw.randint(0, 10**6)}" for _ in range(120))
+    near = [edited(draw, base, 2) for _ in range(15)]  # within a region
+    texts = [edited(draw, base, 1) for _ in range(60)] + near + [edited(draw, t, 1) for t in near]  # the last: beyond it, linked to members
+    texts += [f"only {i} " + " ".join(f"o{i}x{k}" for k in range(50 + i)) for i in range(20)]
+    texts += [t + " and a few words" for t in texts[95:105]]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    want = brute_classes(rows)
+
+    def found():
+        return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(df).collect()}
+
+    seen = []
+    deal = jaccard_join._pair_up
+    monkeypatch.setattr(jaccard_join, "_pair_up", lambda dealt, cell: seen.append(cell) or deal(dealt, cell))
+    assert found() == want and seen == [jaccard_join.CELL]
+    placed = []
+    monkeypatch.setattr(jaccard_join, "_pair_up", lambda dealt, cell: placed.append(deal(dealt, cell)) or placed[-1])
+    found()
+    kinds = {r.kind: r["count"] for r in placed[0].groupBy("kind").count().collect()}
+    assert all(kinds.get(k) for k in (jaccard_join.PAIR, jaccard_join.HOME, jaccard_join.REPLICA))
+    for gone in (jaccard_join.PAIR, jaccard_join.HOME):
+        monkeypatch.setattr(jaccard_join, "_pair_up", lambda dealt, cell, gone=gone: deal(dealt, cell).where(f"kind <> {gone}"))
+        assert found() != want
+    monkeypatch.setattr(jaccard_join, "_pair_up", deal)
+    meet = jaccard_join._meet
+    monkeypatch.setattr(jaccard_join, "_meet", lambda r, m, w: meet(r, m, w).limit(0))
+    assert found() != want
+    monkeypatch.setattr(jaccard_join, "_meet", meet)
+    monkeypatch.setattr(jaccard_join, "CELL", 2)  # every family meets in cells that are too large
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 0)
+    seen.clear()
+    monkeypatch.setattr(jaccard_join, "_pair_up", lambda dealt, cell: seen.append(cell) or deal(dealt, cell))
+    assert found() == want and len(seen) > 2
+
+
+def test_filter_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 1), (2, "a b c d e f", 2), (2, "a b c d e f", 3), (3, "x", 4), (3, "x", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at int")
+    df = df.withColumns({c: F.col("at") for c in ("same", "nth", "__at", "__id", "__nth", "cls", "n", "root", "kind", "a", "b")})
+    kept = jaccard_join.keep_first(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_large_cells_are_paired_whole(spark, monkeypatch):
     """Without pivots and frequent shingles the cells alone find every link."""
     monkeypatch.setattr(jaccard_join, "PIVOTS", 0)
