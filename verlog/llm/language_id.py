@@ -11,7 +11,7 @@ slot, so its bound is the number of languages times SLOTS.
 
 Defined cases: null text, or text without a letter, gives 'und' with score 0; with nothing to learn
 from, every document is 'und'; ties go to the language first in order; long texts are counted in
-slices; repeated rows are judged alike; other columns are ignored.
+overlapping slices; repeated rows are judged alike; other columns are ignored, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import give_back, texts
 
 SLOTS = 1 << 13
 SLICE = 1 << 20
@@ -32,19 +32,30 @@ UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
+def words_of(text: str | None) -> str:
+    """The letters of a text, lower-cased, with a blank for all that is between and around them; empty if there are none."""
+    words = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    if not words.replace(" ", "").isalpha():  # numeric signs, such as fractions and Roman numerals, are left
+        words = " ".join("".join(c if c.isalpha() else " " for c in words).split())
+    return f" {words} " if words else ""
+
+
 def slots_of(text: str | None) -> np.ndarray:
     """The slot of each trigram of a text; empty if it has no letter."""
-    words = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
-    if not words:
-        return np.zeros(0, np.int64)
-    code = np.frombuffer(f" {words} ".encode("utf-32-le"), dtype=np.uint32)
+    return np.concatenate([np.zeros(0, np.int64), *_slices(text)])
+
+
+def _slots(words: str) -> np.ndarray:
+    code = np.frombuffer(words.encode("utf-32-le"), dtype=np.uint32)
     mixed = (code[:-2] * np.uint32(0x9E3779B1) + code[1:-1]) * np.uint32(0x85EBCA77) + code[2:]
     return ((mixed * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - SLOTS.bit_length() + 1)).astype(np.int64)
 
 
 def _slices(text: str | None) -> Iterator[np.ndarray]:
-    for at in range(0, len(text or ""), SLICE):
-        yield slots_of(text[at : at + SLICE])
+    """The slots of a text's trigrams, SLICE at a time; slices overlap by two characters, so they are those of the whole."""
+    words = words_of(text)
+    for at in range(0, len(words) - 2, SLICE):
+        yield _slots(words[at : at + SLICE + 2])
 
 
 def count_trigrams(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -172,8 +183,8 @@ class Judge:
 
 def predict(docs: DataFrame, judge: Judge) -> DataFrame:
     """lang_pred, score (the proportion of lang_pred) and proportions (by language) in place of the text
-    of docs, whose other columns have other names than these."""
-    kept, langs = [(c, t) for c, t in docs.dtypes if c != "text"], judge.langs
+    of docs, and of columns of these names."""
+    kept, langs = [(c, t) for c, t in docs.dtypes if c.lower() not in ("text", "lang_pred", "score", "proportions")], judge.langs
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,5 +225,6 @@ def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
         for batch in batches:
             share = judge.proportions(batch.column("text"))
             yield batch.filter(pa.array(share.max(1, initial=0.0) >= least))
+        give_back()
 
     return docs.mapInArrow(task, docs.schema)
