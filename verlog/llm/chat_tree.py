@@ -16,7 +16,7 @@ to each other and is thereby the depth-first order, and prefix sums by partition
 conversation in that order owns it. First turns shared by a third of all conversations are reduced
 by partial aggregation, and the joins on nodes are ones that adaptive execution splits.
 
-Defined cases: null text or role is empty; turns that tie are ordered by role, then text; repeated
+Defined cases: null text or role is empty; texts of any length have the ids of the whole text; turns that tie are ordered by role, then text; repeated
 rows are turns of their own; rows with a null conv_id are one conversation; an empty table gives no
 rows; other columns are ignored.
 """
@@ -41,6 +41,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the public vocabulary splits text before merging (a fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECE = 50_000
+BREAK = re.compile(r"(?<=[^\s\x85\xa0])[ \n]")
 LEARNED_ROLE = "assistant"
 
 
@@ -70,9 +71,15 @@ class Tokens:
         self.start, self.end = len(ranks), len(ranks) + 1
 
     def plain(self, text: str) -> list[int]:
+        """The ids of a text. Long ones are cut after PIECE characters, before a blank that ends something else: there
+        PATTERN splits in any case, so the ids are those of the whole text."""
         out: list[int] = []
-        for at in range(0, len(text), PIECE):
-            out += self.bpe.encode_ordinary(text[at : at + PIECE])
+        at = 0
+        while at < len(text):
+            found = BREAK.search(text, at + PIECE)
+            end = found.start() if found else len(text)
+            out += self.bpe.encode_ordinary(text[at:end])
+            at = end
         return out
 
     def turn(self, role: str, text: str) -> tuple[list[int], int, int]:
