@@ -8,7 +8,9 @@ so they stay in one range, except a group that alone overfills one: it is cut by
 ranges go to one shard unless the group is larger than a shard.
 
 Defined cases: null text counts as empty (size 1, crc32 0); repeated rows are all kept and placed;
-an empty table gives no rows; other input columns are ignored; null doc_id sorts first.
+an empty table gives no rows; other input columns are ignored; null doc_id sorts first; a text larger than
+a shard gets a shard's range to itself; texts of one size are ordered by hash, ties by doc_id; rows that
+repeat with text and doc_id can't be told apart, so they stay in one range however many they are.
 """
 
 from __future__ import annotations
@@ -130,7 +132,7 @@ def assign_shards(
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     pieces = max(shards * ranges_per_shard, math.ceil(n / rows_per_range))
     cuts = sorted(set(_quantiles(_sample(rows, total, samples_per_range * pieces), pieces)))
-    for _ in range(4):
+    while True:
         placed = _with_range(rows, cuts)
         found = {r: (b, c) for r, b, c in placed.groupBy("rng").agg(F.sum("size"), F.count("*")).collect()}
         over = {r for r, (b, c) in found.items() if c > 1 and b > 3 * total / pieces}
@@ -142,11 +144,9 @@ def assign_shards(
         for k, i, w in _sample(mine, weight, samples_per_range * max(len(over), math.ceil(weight * pieces / max(total, 1)))):
             inside.setdefault(bisect.bisect_right(cuts, (k, i)), []).append((k, i, w))
         more = {c for r, s in inside.items() for c in _quantiles(s, math.ceil(found.get(r, (0, 0))[0] * pieces / total))}
-        if more <= set(cuts):
+        if more <= set(cuts):  # rows that repeat with text and id can't be divided
             break
         cuts = sorted({*cuts, *more})
-    else:
-        found = {r: (b, c) for r, b, c in _with_range(rows, cuts).groupBy("rng").agg(F.sum("size"), F.count("*")).collect()}
     ranges = sorted(found)
     groups: list[list[int]] = []  # ranges that follow each other within one text
     for r in ranges:
