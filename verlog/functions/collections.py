@@ -29,8 +29,8 @@ def llen(items: Column) -> Column:
     return F.coalesce(F.when(items.isNotNull(), F.size(items)), F.lit(0))
 
 
-def fnv(text: Column) -> Column:
-    """The ring's 64-bit hash as decimal(20, 0). The two 32-bit halves are kept apart, so no product
+def fnv_halves(text: Column) -> Column:
+    """The ring's 64-bit hash as its 32-bit halves (hi, lo), which are kept apart, so no product
     overflows: times 2**40 + 435 is times 435 plus a shift of the low half by 8 bits into the high."""
     data = F.hex(F.encode(text, "UTF-8"))
     byte = lambda i: F.conv(F.substr(data, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
@@ -43,7 +43,12 @@ def fnv(text: Column) -> Column:
         return F.struct(high.bitwiseAND(F.lit(MASK)).alias("hi"), product.bitwiseAND(F.lit(MASK)).alias("lo"))
 
     places = F.when(F.length(data) > 0, F.sequence(F.lit(0), (F.length(data) / 2 - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    done = F.aggregate(places, start, step)
+    return F.aggregate(places, start, step)
+
+
+def fnv(text: Column) -> Column:
+    """The ring's 64-bit hash as decimal(20, 0)."""
+    done = fnv_halves(text)
     return (done["hi"].cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(20,0)") + done["lo"].cast("decimal(20,0)")).cast("decimal(20,0)")
 
 

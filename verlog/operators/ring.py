@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.collections import fnv
+from ..functions.collections import fnv, fnv_halves
+from ..functions.ring import MAX_TOKENS, Node, Ring
 
-MAX_TOKENS = 100_000
+LEAD_BITS = 12
 
 
 def check_nodes(nodes: DataFrame) -> DataFrame:
@@ -15,39 +16,62 @@ def check_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.where("id <> '' and host <> '' and port > 0")
 
 
-def tokens(nodes: DataFrame, virtual: int) -> DataFrame:
-    """(token, id) of the living nodes: `virtual` for each unit of weight, weight 0 counting as 1."""
-    copies = F.greatest(F.lit(1), F.col("weight")) * virtual
-    return check_nodes(nodes).where("alive").select("id", F.explode(F.sequence(F.lit(0), copies - 1)).alias("i")).select(
-        "id", "i", fnv(F.concat("id", F.lit("#"), "i")).alias("token")
+def membership(events: DataFrame) -> DataFrame:
+    """The nodes after events(pos, action, id, host, port, weight, alive): ADD replaces a node of the same id, unless
+    it is invalid; REMOVE takes it out; ALIVE and DEAD change a node that is there."""
+    sound = (F.col("action") == "REMOVE") | (F.col("action") == "ADD") & (F.col("id") != "") & (F.col("host") != "") & (F.col("port") > 0)
+    flips = F.col("action").isin("ALIVE", "DEAD")
+    last = events.where("id is not null").groupBy("id").agg(
+        F.max_by(F.struct("action", "host", "port", "weight", "alive"), F.when(sound, F.col("pos"))).alias("n"), F.max(F.when(sound, F.col("pos"))).alias("at"),
+        F.max_by("action", F.when(flips, F.col("pos"))).alias("flip"), F.max(F.when(flips, F.col("pos"))).alias("flipped"),
     )
+    there = last.where("n.action = 'ADD'")
+    alive = F.when(F.col("flipped") > F.col("at"), F.col("flip") == "ALIVE").otherwise(F.col("n.alive"))
+    return there.select("id", "n.host", "n.port", "n.weight", alive.alias("alive"))
+
+
+def ring_of(nodes: DataFrame, virtual: int = 8) -> Ring:
+    """The ring of a table of nodes. It is small: a row for each node, and their tokens are checked."""
+    rows = check_nodes(nodes).select("id", "host", "port", "weight", "alive").limit(MAX_TOKENS + 1).collect()
+    if len(rows) > MAX_TOKENS:
+        raise ValueError("too many nodes")
+    return Ring([Node(*r) for r in rows], virtual)
 
 
-def _sorted_ring(nodes: DataFrame, virtual: int) -> DataFrame:
-    """One row with all tokens in order; their number is checked, as the row goes to every task."""
-    ring = tokens(nodes, virtual).agg(F.array_sort(F.collect_list(F.struct("token", "id"))).alias("ring"))
-    return ring.withColumn("ring", F.when(F.size("ring") <= MAX_TOKENS, F.col("ring")).otherwise(F.raise_error(F.lit("too many tokens"))))
+def tokens(nodes: DataFrame, virtual: int) -> DataFrame:
+    """(id, i, token) of the living nodes: `virtual` for each unit of weight, weight 0 counting as 1. A token that
+    is taken already moves up."""
+    rows = [(n, i, str(t)) for n, i, t in ring_of(nodes, virtual).rows]
+    return nodes.sparkSession.createDataFrame(rows, "id string, i int, token string").withColumn("token", F.col("token").cast("decimal(20,0)"))
 
 
-def _walk(keys: DataFrame, nodes: DataFrame, virtual: int) -> DataFrame:
-    """Adds owners: the distinct nodes met walking the ring from the key's hash."""
-    hashed = keys.withColumn("hash", fnv(F.col("key")))
-    both = hashed.crossJoin(F.broadcast(_sorted_ring(nodes, virtual)))  # the ring is one row
-    after = F.filter("ring", lambda t: t["token"] >= F.col("hash"))
-    before = F.filter("ring", lambda t: t["token"] < F.col("hash"))
-    return both.withColumn("owners", F.array_distinct(F.transform(F.concat(after, before), lambda t: t["id"]))).drop("ring")
+def _owned(keys: DataFrame, nodes: DataFrame, n: int, virtual: int) -> DataFrame:
+    """keys with hash and owners, the first n nodes from the hash on (null on an empty ring): a join by the hash's
+    leading bits with the spans between tokens, of which there are at most MAX_TOKENS and one for each value of the bits."""
+    spans = ring_of(nodes, virtual).spans(n, LEAD_BITS)
+    table = nodes.sparkSession.createDataFrame([(b, str(lo), str(hi), o) for b, lo, hi, o in spans], "__lead int, __low string, __high string, owners array<string>")
+    table = table.withColumns({c: F.col(c).cast("decimal(20,0)") for c in ("__low", "__high")})
+    halves = fnv_halves(F.col("key"))
+    hashed = keys.withColumn("__h", halves).withColumns({"hash": fnv(F.col("key")), "__lead": F.shiftright("__h.hi", 32 - LEAD_BITS).cast("int")}).drop("__h")
+    return hashed.join(F.broadcast(table), ["__lead"], "left").where("owners is null or hash between __low and __high").drop("__lead", "__low", "__high")
 
 
 def route(keys: DataFrame, nodes: DataFrame, virtual: int = 8) -> DataFrame:
     """keys(key, …) with hash and node: that of the first token at or after the hash, else the first of
     all; null on an empty ring."""
-    return _walk(keys, nodes, virtual).withColumn("node", F.get("owners", F.lit(0))).drop("owners")
+    return _owned(keys, nodes, 1, virtual).withColumn("node", F.get("owners", F.lit(0))).drop("owners")
+
+
+def route_all(keys: DataFrame, nodes: DataFrame, virtual: int = 8) -> DataFrame:
+    """route() of all keys, or no row if some key has no node."""
+    if not ring_of(nodes, virtual).tokens:
+        return route(keys, nodes, virtual).limit(0)
+    return route(keys, nodes, virtual)
 
 
 def replicas(keys: DataFrame, nodes: DataFrame, n: int, virtual: int = 8) -> DataFrame:
     """A row for each of the first n distinct nodes from the key's place on; rank from 0."""
-    walked = _walk(keys, nodes, virtual)
-    return walked.select("key", F.posexplode(F.slice("owners", 1, n)).alias("rank", "node"))
+    return _owned(keys, nodes, n, virtual).select("key", F.posexplode("owners").alias("rank", "node"))
 
 
 def plan(ops: DataFrame, nodes: DataFrame, virtual: int = 8) -> DataFrame:
