@@ -66,3 +66,21 @@ def test_sessions_and_transactions(spark):
 def test_parse(spark):
     df = spark.createDataFrame([("get  a\r",), ("",), ("nope x",), ("HSET a b c",)], "line string")
     assert [(r.op, r.kind, r.argc) for r in commands.parse(df).collect()] == [("GET", "string", 1), ("INVALID", "invalid", 0), ("INVALID", "invalid", 1), ("HSET", "hash", 3)]
+
+
+def test_admin_commands_and_snapshots_of_sessions(spark):
+    nodes = [("n1", "10.0.0.1", 1, 1, True), ("n2", "10.0.0.2", 2, 0, False)]
+    lines = ["a|RPUSH l 1", "a|SET x 1", "a|BEGIN", "b|SET x 2", "b|RPUSH l 2", "a|GET x", "a|GET l", "a|CLUSTER STATUS", "a|ABORT", "a|GET x", "a|CLUSTER BATCH SET y 5 DEL x", "a|GET y", "a|GET x",
+             "a|CLUSTER PLAN SET p 1 DEL q", "a|CLUSTER ROUTE k 9", "b|LRANGE l 0 -1", "b|LPOP l", "b|LINDEX l -1"]
+    df = spark.createDataFrame([("p", i, 0, *x.split("|")) for i, x in enumerate(lines)], "part string, pos long, ts_ms long, session string, line string")
+    got = [r.reply for r in commands.replay(df, nodes=nodes, local="n1").orderBy("pos").collect()]
+    one, two = "id=n1 address=10.0.0.1:1 weight=1 alive=1", "id=n2 address=10.0.0.2:2 weight=0 alive=0"
+    status = f"cluster.node_count=2\ncluster.active_node_count=1\nnode[0].{one}\nnode[1].{two}"
+    node = "*5\r\n$2\r\nn1\r\n$8\r\n10.0.0.1\r\n$1\r\n1\r\n$1\r\n1\r\n$1\r\n1\r\n"
+    plan = f"*1\r\n*2\r\n{node}*2\r\n*3\r\n$3\r\nSET\r\n$1\r\np\r\n$1\r\n1\r\n*3\r\n$3\r\nDEL\r\n$1\r\nq\r\n$-1\r\n"
+    assert got[5:] == [
+        "$1\r\n1\r\n", "$9\r\n(encoded)\r\n", commands.bulk(status), "+OK\r\n", "$1\r\n2\r\n", "+OK\r\n", "$1\r\n5\r\n", "$-1\r\n", plan, commands.array([one]), "*2\r\n$1\r\n1\r\n$1\r\n2\r\n", "$1\r\n1\r\n", "$1\r\n2\r\n",
+    ]
+    remote = [r.reply for r in commands.replay(df.where("line like '%BATCH%'"), nodes=nodes, local="n2").collect()]
+    unset = [r.reply for r in commands.replay(df.where("line like '%BATCH%'"), nodes=nodes).collect()]
+    assert remote == ["-ERRcluster batch routes to a remote node\r\n"] and unset == ["-ERRcluster local node id is not configured\r\n"]

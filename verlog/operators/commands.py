@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import bisect
 import re
+from collections import deque
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ring import Node, Ring
 from ..schema import MAX_INT64, MIN_INT64
 from .folds import parse_counter, stream_fold
 
@@ -46,25 +49,52 @@ def _int(text: str) -> int | None:
 
 
 class Keyspace:
-    """Live keys with values and expiries; every write but expiry changes clears the expiry."""
+    """Live keys with values and expiries; every write but expiry changes clears the expiry. Hashes and lists are
+    changed in place and put again. While readers need an older state, what a write replaces is remembered."""
 
     def __init__(self):
         self.data: dict[str, tuple[object, int]] = {}
         self.order: list[str] = []
+        self.clock = 0
+        self.changed: dict[str, int] = {}  # key -> when it was last written
+        self.readers: list[int] = []  # the times that open transactions began
+        self.past: dict[str, list[tuple[int, tuple[object, int] | None]]] = {}  # key -> (when, what was there before)
 
     def get(self, key: str, now: int):
         found = self.data.get(key)
         return None if found is None or found[1] and found[1] <= now else found[0]
 
+    def _change(self, key: str) -> None:
+        self.clock += 1
+        self.changed[key] = self.clock
+        if self.readers:
+            self.past.setdefault(key, []).append((self.clock, self.data.get(key)))
+
     def put(self, key: str, value, expires: int = 0) -> None:
+        self._change(key)
         if key not in self.data:
             bisect.insort(self.order, key, key=str.encode)
         self.data[key] = (value, expires)
 
     def drop(self, key: str) -> None:
+        self._change(key)
         if self.data.pop(key, None) is not None:
             del self.order[bisect.bisect_left(self.order, key.encode(), key=str.encode)]
 
+    def then(self, key: str, start: int, now: int):
+        """The value as of a time at which a reader began."""
+        found = next((old for when, old in self.past.get(key, ()) if when > start), self.data.get(key)) if self.changed.get(key, 0) > start else self.data.get(key)
+        return None if found is None or found[1] and found[1] <= now else found[0]
+
+    def begin(self) -> int:
+        self.readers.append(self.clock)
+        return self.clock
+
+    def end(self, start: int) -> None:
+        self.readers.remove(start)
+        if not self.readers:
+            self.past.clear()
+
 
 class Fail(Exception):
     pass
@@ -139,7 +169,7 @@ def _ttl(space: Keyspace, op: str, args: list[str], now: int) -> str:
         expires = space.data[key][1]
         return integer(-1 if not expires else expires - now if op == "PTTL" else (expires - now) // 1000)
     if op == "PERSIST":
-        if value is not None:
+        if value is not None and space.data[key][1]:
             space.put(key, value)
         return integer(int(value is not None))
     n = _int(args[1])
@@ -174,15 +204,18 @@ def _counter(space: Keyspace, op: str, args: list[str], now: int) -> str:
 
 
 def _hash(space: Keyspace, op: str, args: list[str], now: int) -> str:
-    key, held = args[0], _typed(space, args[0], now, dict, "hash") or {}
+    key, held = args[0], _typed(space, args[0], now, dict, "hash")
+    held = {} if held is None else held
+    there = args[1] in held if len(args) > 1 else False
     if op == "HSET":
-        space.put(key, held | {args[1]: args[2]})
-        return integer(int(args[1] not in held))
+        held[args[1]] = args[2]
+        space.put(key, held)
+        return integer(int(not there))
     if op == "HDEL":
-        rest = {f: v for f, v in held.items() if f != args[1]}
-        if len(rest) < len(held):
-            space.put(key, rest) if rest else space.drop(key)
-        return integer(len(held) - len(rest))
+        if there:
+            del held[args[1]]
+            space.put(key, held) if held else space.drop(key)
+        return integer(int(there))
     if op == "HGET":
         return bulk(held.get(args[1]))
     if op in ("HEXISTS", "HLEN"):
@@ -195,23 +228,24 @@ def _list(space: Keyspace, op: str, args: list[str], now: int) -> str:
     places = [_int(a) for a in args[1:]] if op in ("LINDEX", "LRANGE") else []
     if None in places:
         raise Fail(f"invalid integer value for '{op}'")
-    key, held = args[0], _typed(space, args[0], now, list, "list") or []
+    key, held = args[0], _typed(space, args[0], now, deque, "list")
+    held = deque() if held is None else held
     if op in ("LPUSH", "RPUSH"):
-        held = [args[1], *held] if op == "LPUSH" else [*held, args[1]]
+        held.appendleft(args[1]) if op == "LPUSH" else held.append(args[1])
         space.put(key, held)
         return integer(len(held))
     if op in ("LPOP", "RPOP"):
         if not held:
             return bulk(None)
-        out, rest = (held[0], held[1:]) if op == "LPOP" else (held[-1], held[:-1])
-        space.put(key, rest) if rest else space.drop(key)
+        out = held.popleft() if op == "LPOP" else held.pop()
+        space.put(key, held) if held else space.drop(key)
         return bulk(out)
     if op == "LLEN":
         return integer(len(held))
     places = [p + len(held) if p < 0 else p for p in places]
     if op == "LINDEX":
         return bulk(held[places[0]] if 0 <= places[0] < len(held) else None)
-    return array(held[max(places[0], 0) : places[1] + 1] if places[1] >= 0 else [])
+    return array(list(islice(held, max(places[0], 0), max(places[1] + 1, 0))))
 
 
 def _scan(space: Keyspace, args: list[str], now: int) -> str:
@@ -275,33 +309,129 @@ def execute(space: Keyspace, op: str, args: list[str], now: int) -> str:
         return error(str(e))
 
 
+#: The names in the text of INFO and STATS, in order.
+STATS = """cache.hit cache.miss cache.evict cache.expire read.table_cache_hits read.table_cache_misses read.table_cache_evictions read.table_cache_entries
+read.bloom_queries read.bloom_negatives read.range_prunes compaction.trigger_attempts compaction.skipped_due_snapshot compaction.skipped_due_threshold
+compaction.succeeded compaction.failed compaction.input_bytes compaction.output_bytes compaction.duration_us""".split()
+#: What the admin commands say is wrong.
+ADMIN_FAULTS = {
+    "stats": "wrong number of arguments for 'INFO/STATS'", "cluster": "wrong number of arguments for 'CLUSTER'", "none": "cluster manager is null", "unknown": "unknown cluster command",
+    "ROUTE": "wrong number of arguments for 'CLUSTER ROUTE'", "STATUS": "wrong number of arguments for 'CLUSTER STATUS'", "BATCH": "wrong number of arguments for 'CLUSTER BATCH'",
+    "PLAN": "wrong number of arguments for 'CLUSTER PLAN'", "replicas": "invalid replica count for 'CLUSTER ROUTE'", "route": "no route available", "node": "node not found",
+    "SET": "wrong number of arguments for 'CLUSTER BATCH SET'", "DEL": "wrong number of arguments for 'CLUSTER BATCH DEL'", "op": "unsupported operation for 'CLUSTER BATCH'",
+    "local": "cluster local node id is not configured", "many": "cluster batch routes to multiple nodes", "remote": "cluster batch routes to a remote node",
+    "txn": "cluster batch is not supported in transaction",
+}
+
+
+def node_line(n: Node) -> str:
+    return f"id={n.id} address={n.host}:{n.port} weight={n.weight} alive={int(n.alive)}"
+
+
+def rows(items: list[str]) -> str:
+    """An array of replies that are encoded already."""
+    return f"*{len(items)}\r\n" + "".join(items)
+
+
+def stats(counts: dict[str, int] | None = None) -> str:
+    """The text of INFO and STATS. Names without a count are 0: a replay keeps all in memory, without files and caches."""
+    return bulk("\n".join(f"{name}={(counts or {}).get(name, 0)}" for name in STATS))
+
+
+def _batch_ops(args: list[str]) -> list[tuple[str, str, str | None]]:
+    out, at = [], 0
+    while at < len(args):
+        op = args[at].upper()
+        if op not in ("SET", "DEL"):
+            raise Fail(ADMIN_FAULTS["op"])
+        n = 3 if op == "SET" else 2
+        if at + n > len(args):
+            raise Fail(ADMIN_FAULTS[op])
+        out.append((op, args[at + 1], args[at + 2] if op == "SET" else None))
+        at += n
+    return out
+
+
+def cluster(space: Keyspace, args: list[str], ring: Ring | None, local: str) -> str:
+    """CLUSTER ROUTE key [n], STATUS [id], PLAN and BATCH of SET and DEL operations."""
+    if not args:
+        raise Fail(ADMIN_FAULTS["cluster"])
+    if ring is None:
+        raise Fail(ADMIN_FAULTS["none"])
+    op, rest = args[0].upper(), args[1:]
+    least, most = {"ROUTE": (1, 2), "STATUS": (0, 1), "BATCH": (1, None), "PLAN": (1, None)}.get(op, (0, None))
+    if len(rest) < least or most is not None and len(rest) > most:
+        raise Fail(ADMIN_FAULTS[op])
+    if op == "ROUTE":
+        n = int(rest[1]) if len(rest) == 2 and re.fullmatch(r"[0-9]{1,18}", rest[1]) else 1 if len(rest) == 1 else 0
+        if not n:
+            raise Fail(ADMIN_FAULTS["replicas"])
+        found = ring.route(rest[0], n)
+        if not found:
+            raise Fail(ADMIN_FAULTS["route"])
+        return array([node_line(ring.nodes[i]) for i in found])
+    if op == "STATUS":
+        if rest:
+            if rest[0] not in ring.nodes:
+                raise Fail(ADMIN_FAULTS["node"])
+            return bulk(node_line(ring.nodes[rest[0]]))
+        lines = [f"cluster.node_count={len(ring.nodes)}", f"cluster.active_node_count={sum(n.alive for n in ring.nodes.values())}"]
+        return bulk("\n".join(lines + [f"node[{k}].{node_line(n)}" for k, n in enumerate(ring.nodes.values())]))
+    if op not in ("BATCH", "PLAN"):
+        raise Fail(ADMIN_FAULTS["unknown"])
+    ops = _batch_ops(rest)
+    if op == "BATCH" and not local:
+        raise Fail(ADMIN_FAULTS["local"])
+    groups: dict[str, list[tuple[str, str, str | None]]] = {}
+    for x in ops:
+        owner = ring.route(x[1])
+        if not owner:
+            raise Fail(ADMIN_FAULTS["route"])
+        groups.setdefault(owner[0], []).append(x)
+    if op == "PLAN":
+        fields = lambda n: array([n.id, n.host, str(n.port), str(n.weight), str(int(n.alive))])
+        return rows([rows([fields(ring.nodes[i]), rows([array(list(x)) for x in own])]) for i, own in groups.items()])
+    if len(groups) != 1:
+        raise Fail(ADMIN_FAULTS["many"])
+    if local not in groups:
+        raise Fail(ADMIN_FAULTS["remote"])
+    for kind, key, value in ops:
+        space.put(key, value) if kind == "SET" else space.drop(key)
+    return simple("OK")
+
+
+def admin(space: Keyspace, op: str, args: list[str], ring: Ring | None, local: str) -> str:
+    try:
+        if op == "CLUSTER":
+            return cluster(space, args, ring, local)
+        if args:
+            raise Fail(ADMIN_FAULTS["stats"])
+        return stats()
+    except Fail as e:
+        return error(str(e))
+
+
 IN_TXN = ("GET", "SET", "DEL", "MGET", "SCAN", "PING")
 
 
-def replay(lines: DataFrame, password: str | None = None) -> DataFrame:
+def replay(lines: DataFrame, password: str | None = None, nodes: list[tuple] | None = None, local: str = "", virtual: int = 8) -> DataFrame:
     """part, pos, op, reply of lines(part, pos, ts_ms, session, line), replayed in order within a part.
 
     Sessions may BEGIN: reads then see the state at that time and the session's own writes, writes wait
     for EXEC, which fails if a key that was read or written has changed since. A transaction takes SET
     with two arguments only, and SCAN does not see its writes. With a password a session must AUTH first.
-    INFO, STATS and CLUSTER describe a server; metrics() and the ring's queries answer for them."""
+    CLUSTER answers from nodes (id, host, port, weight, alive), of which `local` executes batches."""
 
     def begin():
         space = Keyspace()
-        changed: dict[str, int] = {}  # key -> when it was last written
-        clock = {"now": 0}
+        ring = None if nodes is None else Ring([Node(*n) for n in nodes], virtual)
         sessions: dict[str, dict] = {}
 
-        def run(op: str, args: list[str], now: int) -> str:
-            before = {k: space.data.get(k) for k in args[:1]}
-            reply = execute(space, op, args, now)
-            for k, v in before.items():
-                if space.data.get(k) != v or op in ("SET", "DEL") and reply[0] == "+":
-                    clock["now"] += 1
-                    changed[k] = clock["now"]
-            return reply
-
         def in_txn(own: dict, op: str, args: list[str], now: int) -> str:
+            if op in ("INFO", "STATS", "CLUSTER"):
+                if args and op == "CLUSTER" and args[0].upper() == "BATCH":
+                    return error(ADMIN_FAULTS["txn"])
+                return admin(space, op, args, ring, local)
             if op not in IN_TXN:
                 return error("unsupported command in transaction")
             if op == "SET" and len(args) != 2:
@@ -314,12 +444,9 @@ def replay(lines: DataFrame, password: str | None = None) -> DataFrame:
             if op in ("GET", "MGET"):
                 out = []
                 for k in args:
-                    if k in own["writes"]:
-                        out.append(own["writes"][k])
-                    else:
+                    if k not in own["writes"]:
                         own["reads"].add(k)
-                        old = own["then"].get(k)
-                        out.append(None if old is None or old[1] and old[1] <= now else _text(old[0]))
+                    out.append(own["writes"][k] if k in own["writes"] else _text(space.then(k, own["start"], now)))
                 return bulk(out[0]) if op == "GET" else array(out)
             return execute(space, op, args, now)
 
@@ -344,20 +471,23 @@ def replay(lines: DataFrame, password: str | None = None) -> DataFrame:
                 elif op == "BEGIN" and txn:
                     reply = error("transaction already active")
                 elif op == "BEGIN":
-                    own["txn"] = {"start": clock["now"], "writes": {}, "reads": set(), "then": dict(space.data)}
+                    own["txn"] = {"start": space.begin(), "writes": {}, "reads": set()}
                 elif not txn:
                     reply = error("no active transaction")
                 else:
                     own["txn"] = None
-                    if op == "EXEC" and any(changed.get(k, 0) > txn["start"] for k in {*txn["reads"], *txn["writes"]}):
+                    space.end(txn["start"])
+                    if op == "EXEC" and any(space.changed.get(k, 0) > txn["start"] for k in {*txn["reads"], *txn["writes"]}):
                         reply = error("transaction conflict")
                     elif op == "EXEC":
                         for k, v in txn["writes"].items():
-                            run("SET", [k, v], now) if v is not None else run("DEL", [k], now)
+                            space.put(k, v) if v is not None else space.drop(k)
             elif txn:
                 reply = in_txn(txn, op, args, now)
+            elif op in ("INFO", "STATS", "CLUSTER"):
+                reply = admin(space, op, args, ring, local)
             else:
-                reply = error("unknown command") if op == "INVALID" else run(op, args, now)
+                reply = error("unknown command") if op == "INVALID" else execute(space, op, args, now)
             return [(row["part"], row["pos"], op, reply)]
 
         return step
