@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from verlog.functions import collections as C
-from verlog.operators import ring, storage
-from verlog.sources import fixtures, wal
+from verlog.operators import hashes, ring, storage, visible
+from verlog.functions.ring import Node, Ring
+from verlog.sources import fixtures, manifest, wal
 
 
 def fnv(text: str) -> int:
@@ -120,3 +121,108 @@ def test_wal_round_trip_and_damage(spark, tmp_path):
         wal.encode(b"k", 0, 0, b"v")
     with pytest.raises(ValueError):
         wal.encode(b"k", 1, 1, b"v")
+
+
+def test_spans_cover_the_ring_and_tokens_that_are_taken_move_up(spark, monkeypatch):
+    import random
+
+    from verlog.functions import ring as plain
+
+    r = Ring([Node(*n) for n in fixtures.NODES], 8)
+    draw = random.Random(2)
+    spans = r.spans(2)
+    for h in [0, plain.WRAP, *r.tokens, *(t + 1 for t in r.tokens), *(draw.getrandbits(64) for _ in range(500))]:
+        own = [s for s in spans if s[0] == h >> 52 and s[1] <= h <= s[2]]
+        assert len(own) == 1 and own[0][3] == r.walk(bisect.bisect_left(r.tokens, h), 2)
+    assert Ring([]).spans(1) == [] and Ring([]).route("a") == []
+    monkeypatch.setattr(plain, "fnv", lambda text: plain.WRAP)  # all tokens fall on one number
+    crowded = Ring([Node("a", "h", 1), Node("b", "h", 1)], 2)
+    assert crowded.tokens == [0, 1, 2, plain.WRAP] and [t for *_, t in crowded.rows] == [plain.WRAP, 0, 1, 2]
+
+
+def test_a_store_keeps_its_content_when_a_commit_fails(spark, tmp_path):
+    log = lambda rows: spark.createDataFrame(rows, storage.LOG)
+    store = storage.Store(spark, f"file://{tmp_path}/s")
+    assert store.read().count() == 0 and store.current is None
+    first = store.commit(log([("a", 1, 0, "x", 0), ("a", 2, 1, None, 0), ("b", 3, 0, "y", 0)]))
+    for bad in (lambda: store.commit(log([("", 1, 0, "x", 0)])), lambda: store.install(f"file://{tmp_path}/none"), lambda: store.commit(log([("z", 1, 0, "x", 0)]), expected="v-other"),
+                lambda: store.compact(0, active_snapshots=1)):
+        with pytest.raises(Exception):
+            bad()
+        assert store.current == first and store.versions() == [first] and store.read().count() == 3
+    store.checkpoint(f"file://{tmp_path}/kept")
+    second = store.compact(0)
+    assert [r.key for r in store.read().collect()] == ["b"] and sorted(store.versions()) == sorted([first, second])
+    with pytest.raises(LookupError):
+        store.compact(0)
+    assert store.vacuum() == [first] and store.versions() == [second]
+    store.install(f"file://{tmp_path}/kept")
+    assert store.read().count() == 3
+    assert storage.install_checkpoint(spark, f"file://{tmp_path}/kept", f"file://{tmp_path}/new").count() == 3
+
+
+def test_manifest_codec_and_damage(spark, tmp_path):
+    records = [manifest.add(7, 70, "f7", 0, 10, b"a", b"c"), manifest.add(3, 30, "f3"), manifest.remove(7), manifest.add(9, 90, "f9", 2, 5, b"", b""), manifest.add(7, 71, "f7b", 1, 9, b"a", b"a")]
+    data = b"".join(records)
+    ends = [sum(map(len, records[:k])) for k in range(len(records) + 1)]
+    for cut in range(len(data) + 1):
+        got = list(manifest.decode(data[:cut]))
+        assert all(r[-1] is None for r in got) and len(got) == max(k for k, e in enumerate(ends) if e <= cut)
+    for at in range(len(data)):
+        bad = bytearray(data)
+        bad[at] ^= 1
+        assert [r for r in manifest.decode(bytes(bad)) if r[-1] is None] != list(manifest.decode(data))
+    (tmp_path / "MANIFEST").write_bytes(data[:-2])
+    assert [r.file_number for r in storage.live_files(manifest.read(spark, str(tmp_path))).collect()] == [3, 9]
+    for wrong in (lambda: manifest.add(0, 1, "x"), lambda: manifest.add(1, 1, ""), lambda: manifest.add(1, 1, "x", smallest=b"a"), lambda: manifest.add(1, 1, "x", smallest=b"b", largest=b"a"), lambda: manifest.remove(0)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def brute_log(appends):
+    log = {}
+    for _, idx, term, data in sorted(appends):
+        if idx in log and log[idx][0] == term:
+            continue
+        if idx in log:
+            log = {i: e for i, e in log.items() if i < idx}
+        log[idx] = (term, data)
+    return sorted((i, *e) for i, e in log.items())
+
+
+@pytest.mark.parametrize("width", [1, 4, 1 << 16])
+def test_conflicts_cut_the_log_as_one_by_one(spark, width):
+    import random
+
+    draw = random.Random(width)
+    appends, last, term = [], 0, 1
+    for pos in range(300):
+        if last and draw.random() < 0.15:
+            term += 1
+            last = draw.randint(max(0, last - 12), last - 1)
+        last += 1
+        appends.append((pos * 10, last, term, f"d{pos}"))
+        if draw.random() < 0.2:
+            appends.append((pos * 10 + 3, last, term, f"d{pos}"))  # sent twice
+    df = spark.createDataFrame(appends, "pos long, idx long, term long, data string").repartition(3)
+    assert sorted(map(tuple, storage.truncate_conflicts(df, width).collect())) == brute_log(appends)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reads_of_a_run_reach_the_files(spark, tmp_path):
+    df = spark.createDataFrame([(f"k{i:04d}", i + 1, 0, "v", 0) for i in range(1000)], storage.LOG)
+    storage.write_run(df, f"{tmp_path}/run", files=4)
+    run = spark.read.schema(storage.LOG).parquet(f"{tmp_path}/run")
+    assert "EqualTo(key,k0007)" in plan_of(visible.get(run, "k0007", 5)) and visible.get(run, "k0007", 5).count() == 1
+    scanned = plan_of(visible.scan(run, 5, "k0100", "k0200"))
+    assert "GreaterThanOrEqual(key,k0100)" in scanned and "LessThan(key,k0200)" in scanned
+    # disjoint key ranges: one file holds the key
+    assert len({r.f for r in run.where("key = 'k0007'").select(F.input_file_name().alias("f")).distinct().collect()}) == 1
+
+
+def test_no_nested_loop_joins_on_the_ring(spark):
+    df = spark.createDataFrame([(0, "a")], "pos long, key string")
+    assert "NestedLoop" not in plan_of(ring.route(df, fixtures.nodes(spark))) and "Cartesian" not in plan_of(ring.replicas(df, fixtures.nodes(spark), 2))

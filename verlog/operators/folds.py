@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..schema import MAX_INT64, MIN_INT64
 
 
-def stream_fold(df: DataFrame, key: str, order: list[str], begin: Callable[[], Callable], schema: str, spread: bool = True) -> DataFrame:
+def stream_fold(df: DataFrame, key: str, order: list[str], begin: Callable[[], Callable], schema: str) -> DataFrame:
     """begin() gives a step: a function of one row as a dict, or of None at the end of its key, that
     returns the rows to emit."""
     kind = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
@@ -162,6 +162,60 @@ def lru_hits(trace: DataFrame, capacity: int) -> DataFrame:
     return stream_fold(trace, "shard", ["pos"], begin, "shard string, pos long, hit boolean")
 
 
+def cache_trace(ops: DataFrame, capacity: int, default_ttl_ms: int = 0) -> DataFrame:
+    """Replay of ops(shard, pos, ts_ms, op, key, ttl_ms), op GET, PUT, ERASE or CONTAINS, on a least-recently-used cache
+    of each shard. ttl_ms below 0 or null means the default, 0 none; an entry is gone from the millisecond of its
+    expiry. outcome: hit, miss or expired (a miss too) of a GET, yes, no or expired of a CONTAINS, put and erased of
+    the others; evicted: how many entries a PUT pushed out. Only GET and PUT make a key recent."""
+
+    def begin():
+        held: OrderedDict[str, int] = OrderedDict()  # key -> expiry, 0 for none
+
+        def step(row):
+            if row is None:
+                return []
+            op, key, now, evicted = row["op"], row["key"], row["ts_ms"], 0
+            if op == "PUT":
+                ttl = row["ttl_ms"] if row["ttl_ms"] is not None and row["ttl_ms"] >= 0 else default_ttl_ms
+                outcome = "put"
+                if capacity > 0:
+                    held[key] = now + ttl if ttl > 0 else 0
+                    held.move_to_end(key)
+                    if len(held) > capacity:
+                        held.popitem(last=False)
+                        evicted = 1
+            elif op == "ERASE":
+                held.pop(key, None)
+                outcome = "erased"
+            elif key not in held:
+                outcome = "miss" if op == "GET" else "no"
+            elif held[key] and held[key] <= now:
+                del held[key]
+                outcome = "expired"
+            else:
+                outcome = "hit" if op == "GET" else "yes"
+                if op == "GET":
+                    held.move_to_end(key)
+            return [(row["shard"], row["pos"], op, outcome, evicted)]
+
+        return step
+
+    return stream_fold(ops, "shard", ["pos"], begin, "shard string, pos long, op string, outcome string, evicted int")
+
+
+def cache_shards(ops: DataFrame, shards: int, of: str = "key") -> DataFrame:
+    """The shard of each operation by a hash of its key; capacities of shards are the whole's share."""
+    return ops.withColumn("shard", F.pmod(F.crc32(F.col(of).cast("binary")), F.lit(shards)).cast("string"))
+
+
+def cache_counts(trace: DataFrame) -> DataFrame:
+    """hits, misses, evictions and expiries by shard of a cache_trace()."""
+    return trace.groupBy("shard").agg(
+        F.count_if(F.col("outcome") == "hit").alias("hits"), F.count_if((F.col("op") == "GET") & F.col("outcome").isin("miss", "expired")).alias("misses"),
+        F.sum("evicted").alias("evictions"), F.count_if(F.col("outcome") == "expired").alias("expiries"),
+    )
+
+
 def lfu_hits(trace: DataFrame, capacity: int) -> DataFrame:
     """As lru_hits() for a least-frequently-used cache; of the keys used least, the one that has had its
     count for longest goes."""

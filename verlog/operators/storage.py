@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..schema import LOG, split_faulty
+from ..sources import paths
 from .folds import stream_fold
 from .visible import expired, latest
 
@@ -109,15 +113,72 @@ def open_log(spark: SparkSession, *paths: str) -> tuple[DataFrame, int]:
     return log, log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
 
 
-def install_checkpoint(spark: SparkSession, path: str, target: str) -> DataFrame:
-    """Make a checkpoint the log in target. It is read whole and checked before anything is written."""
-    from ..schema import LOG, split_faulty
+class Store:
+    """A log in a folder whose file CURRENT names the version that is open, so that a commit is one replacement of a small
+    file: readers see the version before it or the one after it, and a commit that fails changes nothing."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def versions(self) -> list[str]:
+        """The versions that lie in the folder, among them such as were never or are no longer current."""
+        return [n for n in paths.names(self.spark, self.folder) if n.startswith("v-")]
+
+    @property
+    def current(self) -> str | None:
+        return paths.read_text(self.spark, f"{self.folder}/CURRENT")
+
+    def read(self) -> DataFrame:
+        at = self.current
+        return self.spark.read.schema(LOG).parquet(f"{self.folder}/{at}") if at else self.spark.createDataFrame([], LOG)
+
+    def commit(self, log: DataFrame, expected: str | None = None) -> str:
+        """Make log the content. It is written and checked before it becomes current; what fails before that is
+        deleted. With `expected`, it fails if another version has become current meanwhile."""
+        name = f"v-{uuid.uuid4().hex}"
+        at = f"{self.folder}/{name}"
+        try:
+            write_run(log, at)
+            if not split_faulty(self.spark.read.schema(LOG).parquet(at))[1].isEmpty():
+                raise ValueError("faulty rows")
+            if expected is not None and self.current != expected:
+                raise ValueError("another commit came first")
+        except Exception:
+            paths.delete(self.spark, at)
+            raise
+        paths.replace_text(self.spark, f"{self.folder}/CURRENT", name)
+        return name
+
+    def compact(self, now_ms: int, level: int = BOTTOM, active_snapshots: int = 0, min_versions: int = 2) -> str:
+        """Replace the content by its compaction. Refused while snapshots need old versions, and where no key has
+        min_versions versions."""
+        if active_snapshots:
+            raise ValueError("snapshots are active")
+        before = self.current
+        if self.read().groupBy("key").count().where(F.col("count") >= min_versions).isEmpty():
+            raise LookupError("nothing to compact")
+        return self.commit(compact(self.read(), level, now_ms), before)
+
+    def checkpoint(self, path: str) -> None:
+        create_checkpoint(self.read(), path)
+
+    def install(self, path: str) -> str:
+        """Make a checkpoint the content; the open version stays if the checkpoint is missing or faulty."""
+        return self.commit(self.spark.read.schema(LOG).parquet(path))
+
+    def vacuum(self) -> list[str]:
+        """Delete versions that are not current."""
+        gone = [v for v in self.versions() if v != self.current]
+        for v in gone:
+            paths.delete(self.spark, f"{self.folder}/{v}")
+        return gone
 
-    found = spark.read.schema(LOG).parquet(path)
-    if not split_faulty(found)[1].isEmpty():
-        raise ValueError("faulty rows in the checkpoint")
-    write_run(found, target)
-    return spark.read.schema(LOG).parquet(target)
+
+def install_checkpoint(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """Make a checkpoint the log in target, in place of what is open there."""
+    store = Store(spark, target)
+    store.install(path)
+    return store.read()
 
 
 def apply_commands(entries: DataFrame) -> DataFrame:
@@ -165,3 +226,32 @@ def commit_index(match: DataFrame, entries: DataFrame, term: int) -> DataFrame:
     majority = rank.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select("match_index")
     own = entries.where(F.col("term") == term).crossJoin(F.broadcast(majority)).where(F.col("idx") <= F.col("match_index"))
     return own.agg(F.coalesce(F.max("idx"), F.lit(0)).alias("commit_index"))
+
+
+def truncate_conflicts(appends: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """The log that appends(pos, idx, term, data) leave: an entry whose index is there with another term removes that one
+    and all after it; one that is there already changes nothing. As terms of a log only grow, an entry stays
+    exactly if nothing new was written at its index or before it later on.
+
+    The latest position up to an index is a running maximum: within ranges of indices, and over the ranges' maxima."""
+    new = appends.groupBy("idx", "term").agg(F.min("pos").alias("pos"), F.min_by("data", "pos").alias("data")).withColumn("b", F.floor(F.col("idx") / width))
+    tops = new.groupBy("b").agg(F.max("pos").alias("top")).withColumn("before", F.max("top").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))  # a row for each range
+    upto = F.max("pos").over(Window.partitionBy("b").orderBy("idx").rangeBetween(Window.unboundedPreceding, 0))
+    return new.withColumn("upto", upto).join(tops, "b").where(F.col("pos") >= F.greatest("upto", F.coalesce("before", F.col("pos")))).select("idx", "term", "data")
+
+
+def compact_entries(entries: DataFrame, applied: int) -> DataFrame:
+    """Entries that a snapshot up to `applied` does not hold."""
+    return entries.where(F.col("idx") > applied)
+
+
+def replication_lag(match: DataFrame, entries: DataFrame) -> DataFrame:
+    """How many entries each of match(node, match_index) is behind the last."""
+    last = entries.agg(F.coalesce(F.max("idx"), F.lit(0)).alias("last"))
+    return match.crossJoin(F.broadcast(last)).select("node", F.greatest(F.col("last") - F.col("match_index"), F.lit(0)).alias("lag"))
+
+
+def file_list(files: DataFrame) -> DataFrame:
+    """Files as an administrator's listing shows them: by level, oldest first, keys in hexadecimal."""
+    nth = F.row_number().over(Window.partitionBy("level").orderBy("file_number")) - 1
+    return files.select("level", nth.alias("nth"), "file_number", F.lower(F.hex("smallest")).alias("smallest"), F.lower(F.hex("largest")).alias("largest"), "n_entries", "bytes")

@@ -7,7 +7,7 @@ for each key and task before its only shuffle, so keys with very many versions a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -70,6 +70,16 @@ def seek(log: DataFrame, target: str, now_ms: int) -> DataFrame:
     return scan(log, now_ms, start=target, limit=1)
 
 
+def next_keys(pairs: DataFrame) -> DataFrame:
+    """Each key of a frame of distinct keys with the one after it, null for the last: keys are range-partitioned, and
+    only the first key of each partition meets the last one of the partition before it."""
+    placed = pairs.select("key").repartitionByRange("key").withColumn("part", F.spark_partition_id())
+    firsts = placed.groupBy("part").agg(F.min("key").alias("first"))
+    following = firsts.select("part", F.lead("first").over(Window.orderBy("part")).alias("following"))  # a row for each partition
+    within = placed.withColumn("next_key", F.lead("key").over(Window.partitionBy("part").orderBy("key")))
+    return within.join(F.broadcast(following), "part").select("key", F.coalesce("next_key", "following").alias("next_key"))
+
+
 def versions(log: DataFrame) -> DataFrame:
     """All versions in table order: key, then newest first, then type."""
     return log.orderBy("key", F.desc("seq"), "type")

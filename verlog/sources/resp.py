@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: How much a request may hold.
@@ -72,6 +73,27 @@ def encode(args: list[bytes]) -> bytes:
     return b"*%d\r\n" % len(args) + b"".join(b"$%d\r\n%s\r\n" % (len(a), a) for a in args)
 
 
+def write(requests: DataFrame, folder: str) -> DataFrame:
+    """Write requests(pos, args) as files in the order of pos, one for each range of positions; (file, requests) of each. A
+    file appears complete or not at all, and is the same when its task runs again."""
+    from pyspark import TaskContext
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = pyarrow.fs.FileSystem.from_uri(folder)
+        fs.create_dir(at, recursive=True)
+        context, n = TaskContext.get(), 0
+        name, part = f"{context.partitionId():06d}.resp", f"{at}/.{context.partitionId():06d}-{context.taskAttemptId()}"
+        with fs.open_output_stream(part) as out:
+            for batch in batches:
+                for args in batch.column("args").to_pylist():
+                    out.write(encode([a.encode() for a in args]))
+                    n += 1
+        fs.move(part, f"{at}/{name}")
+        yield pa.RecordBatch.from_pydict({"file": pa.array([name]), "requests": pa.array([n], pa.int64())})
+
+    return requests.select("pos", "args").repartitionByRange("pos").sortWithinPartitions("pos").mapInArrow(task, "file string, requests long")
+
+
 def read(spark: SparkSession, path: str, pattern: str = "*.resp") -> DataFrame:
     """The requests of all files under path in order; bytes that are no UTF-8 are replaced."""
     kind = pa.schema([("file", pa.string()), ("nth", pa.int64()), ("args", pa.list_(pa.string())), ("fault", pa.string())])
