@@ -20,3 +20,18 @@ def test_streamed_claims(spark, tmp_path):
     q = claims.claims(stream).writeStream.format("memory").queryName("taken").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.key, r.pos, r.expires_at_ms) for r in spark.table("taken").collect()) == [("a", 0, 100), ("a", 2, 200), ("b", 3, 0)]
+
+
+def test_expired_claims_leave_the_state(spark, tmp_path):
+    day = 86_400_000
+    schema = "key string, pos long, ts_ms long, ttl_ms long"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    held = []
+    for k, rows in enumerate(([("a", 0, day, 100), ("b", 1, day, 0)], [("c", 2, 9 * day, 100)], [("c", 3, 19 * day, 100)], [("d", 4, 29 * day, 100)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = claims.claims(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+        held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert held[0] == 2 and max(held) <= 3 and held[-1] <= 3  # b stays for good; a and the first c are gone
+    assert sorted(r.pos for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 1, 2, 3, 4]

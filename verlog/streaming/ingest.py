@@ -14,9 +14,11 @@ def follow(spark: SparkSession, source: str, log_dir: str, checkpoint: str, *, f
     again replaces what it wrote; faulty rows go to log_dir + '-faulty'."""
 
     def write(batch: DataFrame, number: int) -> None:
+        batch.persist()  # it is read twice
         sound, faulty = split_faulty(batch)
         sound.repartitionByRange("key").sortWithinPartitions("key", F.desc("seq")).write.mode("overwrite").parquet(f"{log_dir}/batch={number}")
         faulty.write.mode("overwrite").parquet(f"{log_dir}-faulty/batch={number}")
+        batch.unpersist()
 
     stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
