@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import collections as C
 from ..operators import bloom, commands, folds, hashes, ring, storage, txn, visible, writes
+from ..schema import LOG
 from ..sources import fixtures as X
+from ..sources import manifest, paths, resp, wal
+from ..streaming import claims as stream_claims
+from ..streaming import ingest
 from .oracle import SQL
 
 NOW_MS = 1_706_000_000_000
@@ -87,13 +91,8 @@ def kv_prefix(spark, d):
 
 @query
 def kv_next_key(spark, d):
-    """Each live key with the one after it; the ring of one window is cut by the first four characters
-    of the number, which order as the keys do."""
-    pairs = visible.live(X.orders_log(spark, d), NOW_MS).select("key", F.substring("key", 1, 7).alias("lead"))
-    nxt = F.lead("key").over(Window.partitionBy("lead").orderBy("key"))
-    firsts = pairs.groupBy("lead").agg(F.min("key").alias("first"))
-    following = firsts.select("lead", F.lead("first").over(Window.orderBy("lead")).alias("following"))  # a row for each lead
-    return pairs.withColumn("nxt", nxt).join(following, "lead").select("key", F.coalesce("nxt", "following").alias("next_key"))
+    """Each live key with the one after it."""
+    return visible.next_keys(visible.live(X.orders_log(spark, d), NOW_MS))
 
 
 @query
@@ -561,6 +560,236 @@ def crc32_check(spark, d):
     return log.select("seq", F.crc32(F.concat("key", F.lit("|"), F.coalesce("value", F.lit(""))).cast("binary")).alias("crc"))
 
 
+LAST = 1 << 40  # a sequence number after all of a log's
+
+
+@query
+def kv_put_delete(spark, d):
+    """The live state after two puts and two deletions more, one of a key that is not there."""
+    more = [writes.put(spark, "cust:7", "new", LAST), writes.put(spark, "fresh", "x", LAST + 1, 1000, NOW_MS), writes.delete(spark, "cust:8", LAST + 2), writes.delete(spark, "none", LAST + 3)]
+    return visible.live(storage.merge(X.orders_log(spark, d), *more), NOW_MS)
+
+
+@query
+def wal_round_trip(spark, d):
+    """The event log, written as binary segments and read back."""
+    folder = paths.new_folder(spark, "wal")
+    wal.write_segments(X.events_log(spark, d), folder, 100_000).agg(F.sum("records")).collect()
+    return wal.read(spark, folder).select(F.col("key").cast("string").alias("key"), "seq", "type", F.col("value").cast("string").alias("value"), "expires_at_ms")
+
+
+@query
+def resp_round_trip(spark, d):
+    """Every customer's GET as request files of the wire protocol, read back: how many arguments, and the key."""
+    folder = paths.new_folder(spark, "requests")
+    resp.write(_customers(spark, d).select("pos", F.array(F.lit("GET"), "key").alias("args")), folder).agg(F.sum("requests")).collect()
+    return resp.read(spark, folder).select(F.size("args").cast("long").alias("argc"), F.get("args", F.lit(1)).alias("key"), "fault")
+
+
+def _stored_run(spark, d) -> DataFrame:
+    folder = paths.new_folder(spark, "run")
+    storage.write_run(X.orders_log(spark, d), folder, files=8)
+    return spark.read.schema(LOG).parquet(folder)
+
+
+@query
+def run_point_get(spark, d):
+    """A point read of a stored run: the key's predicate reaches the files' statistics and bloom filters."""
+    return visible.get(_stored_run(spark, d), "cust:7", NOW_MS).select("key", "value", "seq")
+
+
+@query
+def run_range_scan(spark, d):
+    return visible.scan(_stored_run(spark, d), NOW_MS, "cust:1", "cust:5")
+
+
+@query
+def store_compacted(spark, d):
+    """What a store holds after its compaction is committed."""
+    store = storage.Store(spark, paths.new_folder(spark, "store"))
+    store.commit(X.events_log(spark, d))
+    store.compact(NOW_MS)
+    return store.read()
+
+
+@query
+def store_installed(spark, d):
+    """The live state after a checkpoint of the order log is installed over an open event log."""
+    store, other = (storage.Store(spark, paths.new_folder(spark, "store")) for _ in "ab")
+    store.commit(X.events_log(spark, d))
+    other.commit(X.orders_log(spark, d))
+    other.checkpoint(at := paths.new_folder(spark, "checkpoint"))
+    store.install(at)
+    return visible.live(store.read(), NOW_MS)
+
+
+@query
+def snapshot_read(spark, d):
+    """What a snapshot taken half way sees of the log as it is now."""
+    log, held = X.events_log(spark, d), visible.Snapshots()
+    taken = held.take(log.where(F.col("seq") <= SNAPSHOT // 2))
+    seen = visible.live(log, NOW_MS, upto=held.seq(taken))
+    held.release(taken)
+    return seen
+
+
+def _by_nation(spark, d, columns: str, rows: list[tuple]) -> DataFrame:
+    """Rows of a small table (i, …) once for each nation: nation, its number k, and pos = 100 k + i."""
+    nations = X.table(spark, d, "nation").select(F.col("n_name").alias("nation"), F.col("n_nationkey").cast("long").alias("k"))
+    small = F.broadcast(spark.createDataFrame(rows, f"i long, {columns}"))
+    return nations.crossJoin(small).withColumn("pos", F.col("k") * 100 + F.col("i"))
+
+
+@query
+def pessimistic_trace(spark, d):
+    """A writer that holds a lock and, in every other nation, rolls back; a second one that has to wait."""
+    rows = [(1, 1, "PUT", "k", "a"), (2, 2, "PUT", "k", "b"), (3, 2, "GET", "k", None), (4, 1, "GET", "k", None), (5, 1, "END", None, None), (6, 2, "GET", "k", None), (7, 2, "DEL", "k", None), (8, 2, "COMMIT", None, None), (9, 3, "GET", "k", None)]
+    ops = _by_nation(spark, d, "txn long, op string, key string, value string", rows)
+    op = F.when(F.col("op") == "END", F.when(F.col("k") % 2 == 0, "COMMIT").otherwise("ROLLBACK")).otherwise(F.col("op"))
+    return txn.pessimistic(ops.select(F.col("nation").alias("part"), "pos", "txn", op.alias("op"), "key", "value"))
+
+
+@query
+def counter_limits(spark, d):
+    """Counters at the ends of their range."""
+    low = "-9223372036854775808"
+    rows = [(1, "DECRBY", low), (2, "INCRBY", low), (3, "DECRBY", "1"), (4, "INCRBY", "+1"), (5, "INCRBY", "9223372036854775807"), (6, "DECRBY", "-1"), (7, "SET", " 12"), (8, "INCRBY", "1"), (9, "DEL", None), (10, "DECRBY", "5")]
+    ops = _by_nation(spark, d, "op string, arg string", rows)
+    return folds.checked_counters(ops.select(F.col("nation").alias("key"), "pos", "op", "arg"))
+
+
+@query
+def list_queue_and_stack(spark, d):
+    """The same pushes and pops as a queue and as a stack."""
+    rows = [(i, kind, op, n) for kind in ("queue", "stack") for i, (op, n) in enumerate([("PUSH", 1), ("PUSH", 2), ("LPOP", None), ("PUSH", 3), ("PUSH", 4), ("LPOP", None)])]
+    ops = _by_nation(spark, d, "kind string, op string, n long", rows)
+    op = F.when(F.col("op") == "PUSH", F.when(F.col("kind") == "queue", "RPUSH").otherwise("LPUSH")).otherwise(F.col("op"))
+    done = folds.lists(ops.select(F.concat_ws(":", "kind", "nation").alias("key"), "pos", op.alias("op"), "n"))
+    return done.select("key", F.array_join("items", ",").alias("items"))
+
+
+SESSION = [
+    "a GET x", "a AUTH no", "a AUTH pw", "b AUTH pw", "a SET x 1", "a BEGIN", "a GET x", "a SET x 2", "a GET x", "a INCR x", "b {other}", "a INFO more", "a CLUSTER BATCH SET x 1", "a EXEC", "b GET x", "b BEGIN",
+    "b BEGIN", "b DEL x", "b ABORT", "b GET x", "a EXEC", "a CLUSTER", "a CLUSTER STATUS", "a AUTH", "a BEGIN now", "c GET x", "a HSET x f v", "a nonsense",
+]
+
+
+@query
+def command_sessions(spark, d):
+    """Sessions that log in and run transactions; in every other nation the second one interferes."""
+    rows = [(i, *line.split(" ", 1)) for i, line in enumerate(SESSION)]
+    lines = _by_nation(spark, d, "session string, line string", rows)
+    line = F.replace("line", F.lit("{other}"), F.when(F.col("k") % 2 == 0, "SET x 9").otherwise("GET x"))
+    return commands.replay(lines.select(F.col("nation").alias("part"), "pos", F.lit(NOW_MS).alias("ts_ms"), "session", line.alias("line")), "pw")
+
+
+@query
+def cluster_replies(spark, d):
+    """Where the cluster routes each customer, and its other replies once for each nation."""
+    routes = _customers(spark, d).select(F.concat(F.lit("r"), F.pmod("pos", F.lit(8))).alias("part"), (F.col("pos") + 10_000).alias("pos"), F.concat(F.lit("CLUSTER ROUTE "), "key").alias("line"))
+    rows = [(i, line) for i, line in enumerate(["CLUSTER STATUS", "cluster status n2", "CLUSTER STATUS n9", "CLUSTER ROUTE", "CLUSTER ROUTE a 0", "CLUSTER what", "CLUSTER BATCH SET a", "CLUSTER BATCH DEL", "CLUSTER BATCH ADD a", "STATS", "INFO x", "GET a"])]
+    more = _by_nation(spark, d, "line string", rows).select(F.col("nation").alias("part"), "pos", "line")
+    lines = routes.unionByName(more).select("part", "pos", F.lit(NOW_MS).alias("ts_ms"), F.lit("s").alias("session"), "line")
+    return commands.replay(lines, nodes=X.NODES, local="n1")
+
+
+@query
+def ring_membership(spark, d):
+    """Nations that join, leave, fail, come back and join anew."""
+    rows = [(0, "ADD", "h", 1), (1, "REMOVE", None, 5), (2, "DEAD", None, 3), (3, "ALIVE", None, 6), (4, "ADD", "again", 10)]
+    e = _by_nation(spark, d, "action string, host string, every long", rows).where("(k + case action when 'REMOVE' then 4 when 'ADD' then 9 * (every div 10) else 0 end) % every = 0")
+    return ring.membership(e.select("pos", "action", F.col("nation").alias("id"), "host", F.col("k").cast("int").alias("port"), F.pmod("k", F.lit(3)).cast("int").alias("weight"), (F.col("host") == "h").alias("alive")))
+
+
+@query
+def ring_route_all(spark, d):
+    return ring.route_all(_customers(spark, d), X.nodes(spark)).select("pos", "key", "node")
+
+
+def _appends(spark, d) -> DataFrame:
+    """The orders as entries of term 1; each hundredth is written again by a later term after thirty more, and each
+    seventh is sent twice."""
+    o = X.table(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("idx"), F.col("o_orderstatus").alias("data"))
+    once = o.select((F.col("idx") * 4).alias("pos"), "idx", F.lit(1).cast("long").alias("term"), "data")
+    again = o.where("idx % 7 = 0").select((F.col("idx") * 4 + 41).alias("pos"), "idx", F.lit(1).cast("long").alias("term"), "data")
+    other = o.where("idx % 100 = 40").select((F.col("idx") * 4 + 122).alias("pos"), "idx", (F.floor(F.col("idx") / 100) + 2).alias("term"), F.lit("other").alias("data"))
+    return once.unionByName(again).unionByName(other)
+
+
+@query
+def raft_truncated_log(spark, d):
+    return storage.truncate_conflicts(_appends(spark, d), width=256)
+
+
+@query
+def raft_compacted_log(spark, d):
+    return storage.compact_entries(storage.truncate_conflicts(_appends(spark, d)), 500)
+
+
+@query
+def raft_lag(spark, d):
+    match = X.table(spark, d, "nation").select(F.col("n_name").alias("node"), (F.col("n_nationkey") * 60 + F.col("n_regionkey")).cast("long").alias("match_index"))
+    return storage.replication_lag(match, _raft(spark, d))
+
+
+@query
+def manifest_recovered(spark, d):
+    """The live files after a binary manifest of adds and removals is written and read back."""
+    files = _files(spark, d).withColumn("file_number", F.col("file_number") + 1)
+    adds = files.select(
+        (F.col("file_number") * 2).alias("pos"), F.lit("add").alias("action"), "file_number", "max_seq", F.concat(F.lit("f"), "file_number").alias("path"), "level", "bytes",
+        F.col("smallest").cast("binary").alias("smallest"), F.col("largest").cast("binary").alias("largest"),
+    )
+    gone = adds.where(F.pmod("file_number", F.lit(2)) == 1).withColumns({"pos": F.col("pos") + 5, "action": F.lit("remove")})
+    manifest.write(spark, adds.unionByName(gone), at := f"{paths.new_folder(spark, 'manifest')}/MANIFEST")
+    found = manifest.read(spark, at)
+    live = storage.live_files(found).select("file_number")
+    return found.where("action = 'add'").join(live, "file_number").select("file_number", "max_seq", "path", "level", "bytes", F.col("smallest").cast("string").alias("smallest"), F.col("largest").cast("string").alias("largest"))
+
+
+@query
+def file_listing(spark, d):
+    return storage.file_list(_levels(spark, d)).withColumn("nth", F.col("nth").cast("long"))
+
+
+def _cache_ops(spark, d) -> DataFrame:
+    """GETs, PUTs with and without an expiry, ERASEs and CONTAINS of fifty keys."""
+    e = X.table(spark, d, "events")
+    kind = F.col("event_type")
+    op = F.when(kind == "view", "GET").when(kind.isin("click", "purchase"), "PUT").when(kind == "signup", "CONTAINS").otherwise("ERASE")
+    ttl = F.when(kind == "click", F.pmod("event_id", F.lit(3)) * 3_600_000).cast("long")
+    return e.select(F.pmod("user_id", F.lit(4)).cast("string").alias("shard"), F.col("event_id").alias("pos"), X.epoch_ms("ts").alias("ts_ms"), op.alias("op"), F.pmod("user_id", F.lit(48)).cast("string").alias("key"), ttl.alias("ttl_ms"))
+
+
+@query
+def cache_trace(spark, d):
+    return folds.cache_trace(_cache_ops(spark, d), 8).withColumn("evicted", F.col("evicted").cast("long"))
+
+
+@query
+def cache_counts(spark, d):
+    return folds.cache_counts(folds.cache_trace(_cache_ops(spark, d), 8))
+
+
+@query
+def stream_ingested(spark, d):
+    """The live state of a log that a stream has taken in from a folder of files."""
+    source, log, marks = (paths.new_folder(spark, x) for x in ("incoming", "log", "marks"))
+    X.orders_log(spark, d).repartition(4, "key").write.parquet(source)
+    ingest.follow(spark, source, log, marks, files_per_batch=2).awaitTermination()
+    return visible.live(ingest.read_log(spark, log), NOW_MS)
+
+
+@query
+def stream_claimed(spark, d):
+    """The claims that a stream accepts, its state expired by timers."""
+    source, out, marks = (paths.new_folder(spark, x) for x in ("claims", "taken", "marks"))
+    X.claim_ops(spark, d).select("key", "pos", "ts_ms", "ttl_ms").write.parquet(source)
+    stream = stream_claims.claims(spark.readStream.schema("key string, pos long, ts_ms long, ttl_ms long").parquet(source))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def queries() -> dict[str, Query]:
     return dict(_all)
 

@@ -69,6 +69,46 @@ RING = f"""WITH {NODES}, vn AS (SELECT id, unnest(range(0, weight * 8)) AS i FRO
  walk AS (SELECT pos, key, id, row_number() OVER (PARTITION BY key ORDER BY (token < h), token) AS r FROM hashed, tok),
  per AS (SELECT pos, key, id, min(r) AS r FROM walk GROUP BY ALL), ranked AS (SELECT pos, key, id AS node, row_number() OVER (PARTITION BY key ORDER BY r) - 1 AS rank FROM per)"""
 
+CACHE = """WITH RECURSIVE e AS (SELECT CAST(user_id % 4 AS VARCHAR) AS shard, event_id AS pos, epoch_us(ts) // 1000 AS t, CAST(user_id % 48 AS VARCHAR) AS k, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS rn,
+   CASE WHEN event_type = 'view' THEN 'GET' WHEN event_type IN ('click', 'purchase') THEN 'PUT' WHEN event_type = 'signup' THEN 'CONTAINS' ELSE 'ERASE' END AS op,
+   CASE WHEN event_type = 'click' AND event_id % 3 > 0 THEN epoch_us(ts) // 1000 + (event_id % 3) * 3600000 ELSE 0 END AS x FROM events),
+ f(shard, rn, pos, op, outcome, evicted, held) AS (SELECT DISTINCT shard, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), '', '', CAST(0 AS BIGINT), CAST([] AS STRUCT(k VARCHAR, x BIGINT)[]) FROM e
+   UNION ALL SELECT shard, rn, pos, op, CASE op WHEN 'PUT' THEN 'put' WHEN 'ERASE' THEN 'erased' ELSE CASE WHEN own IS NULL THEN if(op = 'GET', 'miss', 'no') WHEN own.x > 0 AND own.x <= t THEN 'expired' ELSE if(op = 'GET', 'hit', 'yes') END END,
+     CASE WHEN op = 'PUT' AND len(rest) >= 8 THEN 1 ELSE 0 END,
+     CASE WHEN op = 'PUT' THEN list_append(CASE WHEN len(rest) >= 8 THEN rest[2:] ELSE rest END, {'k': k, 'x': x}) WHEN op = 'ERASE' OR (own.x > 0 AND own.x <= t) THEN rest
+       WHEN op = 'GET' AND own IS NOT NULL THEN list_append(rest, own) ELSE held END
+   FROM (SELECT e.*, held, list_filter(held, lambda h: h.k <> e.k) AS rest, list_filter(held, lambda h: h.k = e.k)[1] AS own FROM f JOIN e ON e.shard = f.shard AND e.rn = f.rn + 1))"""
+
+APPENDS = """WITH o AS (SELECT o_orderkey + 1 AS idx, o_orderstatus AS data FROM orders),
+ a AS (SELECT idx * 4 AS pos, idx, 1 AS term, data FROM o UNION ALL SELECT idx * 4 + 122, idx, idx // 100 + 2, 'other' FROM o WHERE idx % 100 = 40),
+ left_over AS (SELECT idx, CAST(term AS BIGINT) AS term, data FROM (SELECT *, max(pos) OVER (ORDER BY idx RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM a) WHERE pos = upto)"""
+
+
+def rep(text: str) -> str:
+    """A wire reply as an SQL string expression, line ends spelled as \\r\\n."""
+    return "'" + text.replace("'", "''").replace("\r\n", "' || chr(13) || chr(10) || '").replace("\n", "' || chr(10) || '") + "'"
+
+
+def by_nation(columns: str, rows: list[tuple]) -> str:
+    """VALUES of (i, …) for each nation; text that starts with = is an SQL expression in k, the nation's number."""
+    lit = lambda v: "NULL" if v is None else v[1:] if isinstance(v, str) and v.startswith("=") else rep(v) if isinstance(v, str) else str(v)
+    each = [f"SELECT n_name AS nation, k, {i} AS i, " + ", ".join(f"{lit(v)} AS {c}" for c, v in zip(columns.split(), rest, strict=True)) + " FROM n" for i, *rest in rows]
+    return f"WITH n AS (SELECT n_name, CAST(n_nationkey AS BIGINT) AS k FROM nation), t AS (SELECT *, k * 100 + i AS pos FROM ({' UNION ALL '.join(each)}))"
+
+
+def err(text: str) -> str:
+    return f"-ERR{text}\r\n"
+
+
+OK, NIL = "+OK\r\n", "$-1\r\n"
+LINES_OF = {"n1": "id=n1 address=127.0.0.1:9001 weight=1 alive=1", "n2": "id=n2 address=127.0.0.1:9002 weight=2 alive=1", "n3": "id=n3 address=127.0.0.1:9003 weight=1 alive=1", "n4": "id=n4 address=127.0.0.1:9004 weight=1 alive=0"}
+STATUS = "\n".join(["cluster.node_count=4", "cluster.active_node_count=3"] + [f"node[{k}].{v}" for k, v in enumerate(LINES_OF.values())])
+STATS = "\n".join(f"{n}=0" for n in (
+    "cache.hit cache.miss cache.evict cache.expire read.table_cache_hits read.table_cache_misses read.table_cache_evictions read.table_cache_entries read.bloom_queries read.bloom_negatives read.range_prunes "
+    "compaction.trigger_attempts compaction.skipped_due_snapshot compaction.skipped_due_threshold compaction.succeeded compaction.failed compaction.input_bytes compaction.output_bytes compaction.duration_us").split())
+bulk = lambda t: f"${len(t)}\r\n{t}\r\n"
+
+
 CLAIMS = f"""WITH RECURSIVE ops AS (SELECT 'user:' || user_id AS key, event_id AS pos, epoch_us(ts) // 1000 AS ts_ms, event_type AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
  f(key, rn, pos, ts_ms, value, until, took) AS (SELECT key, rn, pos, ts_ms, value, ts_ms + 86400000, true FROM ops WHERE rn = 1
    UNION ALL SELECT o.key, o.rn, o.pos, o.ts_ms, o.value, CASE WHEN o.ts_ms >= f.until THEN o.ts_ms + 86400000 ELSE f.until END, o.ts_ms >= f.until FROM f JOIN ops o ON o.key = f.key AND o.rn = f.rn + 1)
@@ -197,6 +237,66 @@ SQL: dict[str, str] = {
       SELECT pos, key, count(*) FILTER (key < smallest OR key > largest) AS pruned, count(*) FILTER (NOT (key < smallest OR key > largest)) AS must_read FROM req, files GROUP BY pos, key""",
     "lru_hits": f"{LRU} SELECT shard, pos, hit FROM hits",
     "cache_stats": f"{LRU} SELECT shard, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM hits GROUP BY shard",
+    "lfu_hits": """WITH RECURSIVE e AS (SELECT event_type AS shard, event_id AS pos, CAST(user_id AS VARCHAR) AS k, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events),
+      f(shard, rn, pos, held, hit) AS (SELECT DISTINCT shard, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST([] AS STRUCT(k VARCHAR, n BIGINT, s BIGINT)[]), false FROM e
+        UNION ALL SELECT e.shard, e.rn, e.pos, list_append(CASE WHEN list_contains(list_transform(held, lambda x: x.k), e.k) THEN list_filter(held, lambda x: x.k <> e.k)
+            WHEN len(held) < 8 THEN held ELSE list_filter(held, lambda x: x.n * 1000000000 + x.s <> list_min(list_transform(held, lambda y: y.n * 1000000000 + y.s))) END,
+            {'k': e.k, 'n': coalesce(list_filter(held, lambda x: x.k = e.k)[1].n, 0) + 1, 's': e.rn}),
+          list_contains(list_transform(held, lambda x: x.k), e.k) FROM f JOIN e ON e.shard = f.shard AND e.rn = f.rn + 1)
+      SELECT shard, pos, hit FROM f WHERE rn > 0""",
+    "lock_trace": """WITH RECURSIVE e AS (SELECT 'r' || user_id % 10 AS key, event_id AS pos, CAST(user_id + 1 AS BIGINT) AS who, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS rn,
+        CASE WHEN event_type IN ('view', 'click') THEN 'S' WHEN event_type = 'purchase' THEN 'X' ELSE 'UNLOCK' END AS op FROM events),
+      f(key, rn, pos, readers, writer, granted) AS (SELECT DISTINCT key, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST([] AS BIGINT[]), CAST(0 AS BIGINT), false FROM e
+        UNION ALL SELECT key, rn, pos, CASE WHEN op = 'S' AND g AND writer <> who THEN list_append(others, who) WHEN op = 'UNLOCK' OR (op = 'X' AND g) THEN others ELSE readers END,
+          CASE WHEN op = 'X' AND g THEN who WHEN op = 'UNLOCK' AND writer = who THEN 0 ELSE writer END, g
+        FROM (SELECT e.*, readers, writer, list_filter(readers, lambda x: x <> who) AS others,
+            CASE op WHEN 'UNLOCK' THEN list_contains(readers, who) OR writer = who WHEN 'S' THEN writer IN (0, who) ELSE writer = who OR (writer = 0 AND len(list_filter(readers, lambda x: x <> who)) = 0) END AS g
+          FROM f JOIN e ON e.key = f.key AND e.rn = f.rn + 1))
+      SELECT key, pos, granted FROM f WHERE rn > 0""",
+    "kv_put_delete": f"""WITH {OD}, x AS (SELECT * FROM od UNION ALL VALUES ('cust:7', 1099511627776, 0, 'new', 0), ('fresh', 1099511627777, 0, 'x', {NOW + 1000}), ('cust:8', 1099511627778, 1, NULL, 0), ('none', 1099511627779, 1, NULL, 0)),
+      {newest('x', 'n')}, {alive('n', 'live')} SELECT {COLUMNS} FROM live""",
+    "wal_round_trip": f"WITH {EV} SELECT {COLUMNS} FROM ev",
+    "resp_round_trip": "SELECT 2 AS argc, 'cust:' || c_custkey AS key, CAST(NULL AS VARCHAR) AS fault FROM customer",
+    "run_point_get": f"{O_LIVE} SELECT key, value, seq FROM live WHERE key = 'cust:7'",
+    "run_range_scan": f"{O_LIVE} SELECT key, value FROM live WHERE key >= 'cust:1' AND key < 'cust:5'",
+    "store_compacted": f"{E_LIVE} SELECT {COLUMNS} FROM live",
+    "store_installed": f"{O_LIVE} SELECT {COLUMNS} FROM live",
+    "snapshot_read": f"WITH {EV}, {newest('ev', 'n', 'seq <= 4000')}, {alive('n', 'live')} SELECT {COLUMNS} FROM live",
+    "pessimistic_trace": by_nation("txn reply error", [
+        (1, 1, "OK", None), (2, 2, None, "write conflict"), (3, 2, None, None), (4, 1, "a", None), (5, 1, "OK", None), (6, 2, "=CASE WHEN k % 2 = 0 THEN 'a' END", None), (7, 2, "OK", None), (8, 2, "OK", None), (9, 3, None, None),
+    ]) + " SELECT pos, CAST(txn AS BIGINT) AS txn, reply, error FROM t",
+    "counter_limits": by_nation("op value error", [
+        (1, "DECRBY", None, "counter overflow"), (2, "INCRBY", "=-9223372036854775808", None), (3, "DECRBY", None, "counter overflow"), (4, "INCRBY", None, "value is not an integer"), (5, "INCRBY", -1, None), (6, "DECRBY", 0, None),
+        (7, "SET", None, None), (8, "INCRBY", 13, None), (9, "DEL", None, None), (10, "DECRBY", -5, None),
+    ]) + " SELECT nation AS key, pos, op, CAST(value AS BIGINT) AS value, error FROM t",
+    "list_queue_and_stack": "SELECT 'queue:' || n_name AS key, '3,4' AS items FROM nation UNION ALL SELECT 'stack:' || n_name, '3,1' FROM nation",
+    "command_sessions": by_nation("op reply", [(i, *x) for i, x in enumerate([
+        ("GET", err("NOAUTH authentication required")), ("AUTH", err("invalid password")), ("AUTH", OK), ("AUTH", OK), ("SET", OK), ("BEGIN", OK), ("GET", bulk("1")), ("SET", OK), ("GET", bulk("2")),
+        ("INCR", err("unsupported command in transaction")), ("=CASE WHEN k % 2 = 0 THEN 'SET' ELSE 'GET' END", f"=CASE WHEN k % 2 = 0 THEN {rep(OK)} ELSE {rep(bulk('1'))} END"), ("INFO", err("wrong number of arguments for 'INFO/STATS'")),
+        ("CLUSTER", err("cluster batch is not supported in transaction")), ("EXEC", f"=CASE WHEN k % 2 = 0 THEN {rep(err('transaction conflict'))} ELSE {rep(OK)} END"),
+        ("GET", f"=CASE WHEN k % 2 = 0 THEN {rep(bulk('9'))} ELSE {rep(bulk('2'))} END"), ("BEGIN", OK), ("BEGIN", err("transaction already active")), ("DEL", OK), ("ABORT", OK),
+        ("GET", f"=CASE WHEN k % 2 = 0 THEN {rep(bulk('9'))} ELSE {rep(bulk('2'))} END"), ("EXEC", err("no active transaction")), ("CLUSTER", err("wrong number of arguments for 'CLUSTER'")), ("CLUSTER", err("cluster manager is null")),
+        ("AUTH", err("wrong number of arguments for 'AUTH'")), ("BEGIN", err("wrong number of arguments for 'BEGIN'")), ("GET", err("NOAUTH authentication required")), ("HSET", err("Corruption: hash encoding corrupted")), ("INVALID", err("unknown command")),
+    ])]) + " SELECT nation AS part, pos, op, reply FROM t",
+    "cluster_replies": RING + ", " + by_nation("op reply", [(i, *x) for i, x in enumerate([
+        ("CLUSTER", bulk(STATUS)), ("CLUSTER", bulk(LINES_OF["n2"])), ("CLUSTER", err("node not found")), ("CLUSTER", err("wrong number of arguments for 'CLUSTER ROUTE'")), ("CLUSTER", err("invalid replica count for 'CLUSTER ROUTE'")),
+        ("CLUSTER", err("unknown cluster command")), ("CLUSTER", err("wrong number of arguments for 'CLUSTER BATCH SET'")), ("CLUSTER", err("wrong number of arguments for 'CLUSTER BATCH DEL'")),
+        ("CLUSTER", err("unsupported operation for 'CLUSTER BATCH'")), ("STATS", bulk(STATS)), ("INFO", err("wrong number of arguments for 'INFO/STATS'")), ("GET", NIL),
+    ])]).removeprefix("WITH ") + " SELECT nation AS part, pos, op, reply FROM t UNION ALL SELECT 'r' || pos % 8, pos + 10000, 'CLUSTER', CASE node " + " ".join(
+        f"WHEN '{n}' THEN {rep('*1' + chr(13) + chr(10) + bulk(v))}" for n, v in LINES_OF.items()) + " END FROM ranked WHERE rank = 0",
+    "ring_membership": """WITH n AS (SELECT n_name AS id, CAST(n_nationkey AS INT) AS k FROM nation WHERE n_nationkey > 0)
+      SELECT id, CASE WHEN k % 10 = 1 THEN 'again' ELSE 'h' END AS host, k AS port, CAST(k % 3 AS INT) AS weight, k % 10 <> 1 AND (k % 3 <> 0 OR k % 6 = 0) AS alive FROM n WHERE k % 5 <> 1 OR k % 10 = 1""",
+    "ring_route_all": f"{RING} SELECT pos, key, node FROM ranked WHERE rank = 0",
+    "raft_truncated_log": f"{APPENDS} SELECT idx, term, data FROM left_over",
+    "raft_compacted_log": f"{APPENDS} SELECT idx, term, data FROM left_over WHERE idx > 500",
+    "raft_lag": f"{RAFT} SELECT n_name AS node, greatest((SELECT max(idx) FROM e) - (n_nationkey * 60 + n_regionkey), 0) AS lag FROM nation",
+    "manifest_recovered": f"{RUNS} SELECT file_number + 1 AS file_number, max_seq, 'f' || (file_number + 1) AS path, level, bytes, smallest, largest FROM files WHERE file_number % 2 = 1",
+    "file_listing": f"{LEVELS} SELECT level, row_number() OVER (PARTITION BY level ORDER BY file_number) - 1 AS nth, file_number, lower(hex(smallest)) AS smallest, lower(hex(largest)) AS largest, n_entries, bytes FROM files",
+    "cache_trace": f"{CACHE} SELECT shard, pos, op, outcome, evicted FROM f WHERE rn > 0",
+    "cache_counts": f"""{CACHE} SELECT shard, count(*) FILTER (outcome = 'hit') AS hits, count(*) FILTER (op = 'GET' AND outcome IN ('miss', 'expired')) AS misses, CAST(sum(evicted) AS BIGINT) AS evictions,
+      count(*) FILTER (outcome = 'expired') AS expiries FROM f WHERE rn > 0 GROUP BY shard""",
+    "stream_ingested": f"{O_LIVE} SELECT {COLUMNS} FROM live",
+    "stream_claimed": f"SELECT key, pos, ts_ms, expires_at_ms FROM ({CLAIMS})",
     "raft_apply_prefix": f"""{RAFT}, u AS (SELECT idx, max(term) AS term, arg_max(data, term) AS data FROM e WHERE idx BETWEEN 1 AND 2000 GROUP BY idx), r AS (SELECT *, row_number() OVER (ORDER BY idx) AS rn FROM u)
       SELECT idx, term, data FROM r WHERE rn = idx""",
     "raft_commit_index": f"""{RAFT}, m AS (SELECT n_nationkey * 60 + n_regionkey AS match_index FROM nation), q AS (SELECT match_index FROM m QUALIFY row_number() OVER (ORDER BY match_index DESC) = (SELECT count(*) FROM m) // 2 + 1)
