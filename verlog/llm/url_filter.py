@@ -83,8 +83,9 @@ def count_contexts(labelled: DataFrame) -> dict[bool, np.ndarray]:
                     if own:
                         joint, plain, _ = _windows(own)
                         for shift, slots in ((0, joint), (size, plain)):
-                            for s in slots:
-                                counts[c] += np.bincount(s + shift, minlength=2 * size)
+                            for k, s in enumerate(slots):  # those of an order lie together
+                                at_order = shift + (k << BITS)
+                                counts[c][at_order : at_order + (1 << BITS)] += np.bincount(s - (k << BITS), minlength=1 << BITS)
         for c, n in counts.items():
             for some in np.array_split(np.flatnonzero(n), 1 + len(np.flatnonzero(n)) // 50_000):
                 yield pa.RecordBatch.from_pydict({"accepted": pa.array([c] * len(some), pa.bool_()), "slot": pa.array(some), "n": pa.array(n[some])})
@@ -104,7 +105,8 @@ def log_likelihoods(counts: np.ndarray, joint: list[np.ndarray], plain: list[np.
     size = (ORDERS + 1) << BITS
     p = np.full(len(joint[0]), 1 / 256)
     for k in range(ORDERS + 1):
-        p = (counts[joint[k]] + weight * p) / (counts[plain[k] + size] + weight)
+        own = counts[plain[k] + size]
+        p = (np.minimum(counts[joint[k]], own) + weight * p) / (own + weight)  # slots may be shared, but p is at most 1
     return np.log(p)
 
 
