@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import give_back, stage, texts
 
 SEGMENT, BLOCK = 64, 8
 INDEX_ITEMS, INDEX_CHARS = 20_000, 10_000_000
@@ -200,7 +200,8 @@ class Index:
 
 
 def build_indexes(benchmark: DataFrame, least: float, overlap: float, per_index: int = INDEX_ITEMS) -> Iterator[Index]:
-    """An index for each per_index items; the driver holds one at a time."""
+    """An index for each per_index items; the driver holds one at a time, and the frequencies of its words. Those are
+    counted once, over all items, and stay in the cluster."""
     items = benchmark.where("text is not null and item_id is not null").select("item_id", "text")
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,13 +217,23 @@ def build_indexes(benchmark: DataFrame, least: float, overlap: float, per_index:
     held: list[tuple[int, str]] = []
     size = 0
 
-    def make() -> Index:
-        vocabulary = {w for _, t in held for w in words_of(t)}
+    def vocabularies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: dict[bytes, int] = defaultdict(int)
-        for row in items.select("text").toLocalIterator():
-            for w in vocabulary.intersection(words_of(row.text)):
-                count[w] += 1
-        return Index(held, n_items, count, least, overlap, mean)
+        for batch in batches:
+            for _, text in texts(batch.column("text")):
+                for w in set(words_of(text)):
+                    count[w] += 1
+            if len(count) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["w", "n"])
+                count.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["w", "n"])
+
+    frequency = stage(items.select("text").mapInArrow(vocabularies, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")), "frequencies") if n_items else None
+
+    def make() -> Index:
+        vocabulary = sorted({w for _, t in held for w in words_of(t)})
+        own = frequency.join(F.broadcast(benchmark.sparkSession.createDataFrame([(w,) for w in vocabulary], "w binary")), "w") if vocabulary else None
+        return Index(held, n_items, {bytes(r.w): r.n for r in own.collect()} if own is not None else {}, least, overlap, mean)
 
     for row in items.toLocalIterator():
         held.append((row.item_id, row.text))
@@ -278,6 +289,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.5, ove
             for batch in batches:
                 clean = [not got for _, got in _by_batch(shared.value, batch.column("text"))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
+            give_back()
 
         docs = docs.mapInArrow(task, docs.schema)
     return docs
