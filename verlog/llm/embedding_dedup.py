@@ -1,19 +1,21 @@
 """Near-duplicate embeddings by an inverted multi-index.
 
 The halves of the unit vectors have codebooks of their own; their products are the cells of a grid.
-From a vector, cells are visited nearest first by the multi-sequence rule: the squared distance to a
-cell is at least the sum of the squared distances to its half cells, and both half lists are sorted,
-so the visits form a staircase that ends at the first cell beyond the link radius. A partner can't
-be past that, so recall is 1 by construction (the tests measure it against brute force); a smaller
-`reach` trades recall for fewer visits. What is visited is verified by the cosine in double precision.
-
-Vectors meet where one of them is at home: a block is a half cell of one label, and it gets its own
-vectors and all visitors; within a block the second half cells prune. A vector's links are thus
-counted in one place. Blocks with many vectors are divided by the second half cell, then by hash;
-their visitors go to each part. Pairs never leave a task: it returns a count for each vector and a
-spanning forest of the links. Equal vectors of one label are one class with a weight.
-
-Codebooks are fitted on at most SAMPLE vectors (drawn by hash); every vector is indexed.
+From a vector, cells are visited nearest first by a multi-sequence traversal: both half lists are sorted by
+a lower bound of the distance, and a queue holds the next cells of the staircase that the visits form.
+The squared distance to a cell is at least the sum of those to its half cells, so when the sum passes
+the link radius no partner is left: recall is 1 by construction. With a target recall below 1, the traversal ends
+earlier, at the distance within which that share of a sample's links is found; `measured_recall` tells what
+that gave. What is visited is verified by the cosine in double precision.
+
+A vector is at home in one product cell, and travels once to each half cell of its label that it visits cells
+of, with the list of those. Half cells with more than HOT vectors are divided into their product cells, and
+product cells with more than HOT into parts by id; their visitors go to each part. A vector's links are thus
+counted in one place. Pairs never leave a task: it returns a count for each vector and a spanning forest
+of the links. Equal vectors of one label are one class with a weight.
+
+Codebooks are fitted on at most SAMPLE vectors (drawn by hash) and grow with the table; every vector is indexed.
+The list of divided cells is joined, and broadcast only if Spark finds it small.
 
 Defined cases: vectors that are null, empty or zero, or have null or non-finite components, and
 those with a null label or id, link with nothing; vectors of different lengths don't link; repeated
@@ -22,15 +24,16 @@ rows are further vectors; an empty table gives no rows; other columns are ignore
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stage
+from .common import connected_components, forest, stage
 
 SAMPLE = 20_000
 HOT = 20_000  # vectors of a block beyond which it is divided
@@ -74,6 +77,22 @@ class Grid:
         return [bounds(x[:, : self.cut], self.books[0]), bounds(x[:, self.cut :], self.books[1])]
 
 
+def multi_sequence(a: np.ndarray, b: np.ndarray, limit: float) -> Iterator[tuple[int, int, float]]:
+    """Pairs of places with a[i] + b[j] <= limit, the least sum first; a and b are sorted."""
+    queue = [(float(a[0] + b[0]), 0, 0)]
+    begun = {(0, 0)}
+    while queue:
+        total, i, j = heapq.heappop(queue)
+        if total > limit:
+            return
+        yield i, j, total
+        # a cell is queued once both cells before it, if any, have been visited
+        for x, y in ((i + 1, j), (i, j + 1)):
+            if x < len(a) and y < len(b) and (x, y) not in begun:
+                begun.add((x, y))
+                heapq.heappush(queue, (float(a[x] + b[y]), x, y))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), -1)
 
@@ -84,67 +103,72 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _route(classes: DataFrame, grids: dict[int, Grid], split: dict[tuple, dict[int, int]], radius2: float) -> DataFrame:
-    """A row for each block a vector is in; `at` is the bound of its distance to the block, 0 at home
-    (visitor false)."""
-    shared = classes.sparkSession.sparkContext.broadcast((grids, split))
+def _visits(classes: DataFrame, grids: dict[int, Grid], limits: dict[int, float]) -> DataFrame:
+    """A row for each half cell i that a vector visits cells of: those cells' second halves, nearest first, and
+    whether the first is its home, by second half (home: -1 if it is not here)."""
+    shared = classes.sparkSession.sparkContext.broadcast(grids)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grids, split = shared.value
+        grids = shared.value
         for whole in batches:
             for begin in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(begin, BATCH)
                 size = np.array(batch.column("size").to_pylist())
-                labels = batch.column("label").to_pylist()
-                blocks, rows, visitor, gap = [], [], [], []
+                rows, half, home, ends, cells = [], [], [], [0], []
                 for dim in sorted(set(size.tolist())):
                     own = np.flatnonzero(size == dim)
-                    (home, lb), (home2, lb2) = grids[dim].bounds(_unit(_matrix(batch.column("vec").take(pa.array(own)))))
-                    ids = batch.column("id").to_numpy()[own]
-                    for k, r in enumerate(own):
-                        # cells in order of distance: as the first half recedes, fewer of the second remain
-                        for i in np.flatnonzero(lb[k] <= radius2):
-                            parts = split.get((dim, labels[r], int(i)))
-                            to = [(-1, 0)]
-                            if parts is not None:
-                                to = []
-                                for j in np.flatnonzero(lb2[k] <= radius2 - lb[k, i]):
-                                    n = parts.get(int(j), 1)
-                                    if i == home[k] and j == home2[k]:
-                                        mine = int(ids[k]) % n
-                                        to += [(int(j), s) for s in range(n)]
-                                    else:
-                                        to += [(int(j), s) for s in range(n)]
-                            for j, s in to:
-                                is_home = i == home[k] and (j == -1 or (j == home2[k] and s == mine))
-                                blocks.append(f"{dim}|{labels[r]}|{i}|{j}|{s}")
-                                rows.append(r)
-                                visitor.append(not is_home)
-                                gap.append(lb[k, i])
-                if rows:
-                    at = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(blocks), pa.array(visitor), pa.array(gap, pa.float64()), *(batch.column(c).take(at) for c in ("id", "weight", "vec"))],
-                        names=["block", "visitor", "at", "id", "weight", "vec"])
+                    (i0, lb), (j0, lb2) = grids[dim].bounds(_unit(_matrix(batch.column("vec").take(pa.array(own)))))
+                    order, order2 = lb.argsort(1, kind="stable"), lb2.argsort(1, kind="stable")
+                    for k, r in enumerate(own.tolist()):
+                        visited: dict[int, list[int]] = {int(i0[k]): [int(j0[k])]}
+                        for i, j, _ in multi_sequence(lb[k, order[k]], lb2[k, order2[k]], limits[dim]):
+                            at = (int(order[k, i]), int(order2[k, j]))
+                            if at != (i0[k], j0[k]):
+                                visited.setdefault(at[0], []).append(at[1])
+                        for i, js in visited.items():
+                            rows.append(r)
+                            half.append(i)
+                            home.append(js[0] if i == i0[k] else -1)
+                            cells += js
+                            ends.append(len(cells))
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(half, pa.int32()), pa.array(home, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cells, pa.int32())),
+                     *(batch.column(c).take(at) for c in ("size", "label", "id", "weight", "vec"))],
+                    names=["i", "home", "cells", "size", "label", "id", "weight", "vec"])
 
     kind = dict(classes.dtypes)["vec"]
-    return classes.mapInArrow(task, f"block string, visitor boolean, at double, id long, weight long, vec {kind}")
+    return classes.mapInArrow(task, f"i int, home int, cells array<int>, size int, label string, id long, weight long, vec {kind}")
+
+
+def _route(visits: DataFrame, parts: DataFrame, crowded: DataFrame) -> DataFrame:
+    """visits dealt to blocks: half cells, or (divided) product cells or parts of those. crowded(size, label, i): the half
+    cells that are divided; parts(size, label, i, j, n): product cells of those in more than one part."""
+    marked = visits.join(crowded.withColumn("divided", F.lit(True)), ["size", "label", "i"], "left")
+    whole = marked.where("divided is null").select("size", "label", "i", F.lit(-1).alias("j"), F.lit(0).cast("long").alias("s"), (F.col("home") < 0).alias("visitor"), "cells", "id", "weight", "vec")
+    by_cell = marked.where("divided").withColumn("j", F.explode("cells")).join(parts, ["size", "label", "i", "j"], "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
+    mine = F.when(F.col("j") == F.col("home"), F.pmod("id", F.col("n")))
+    dealt = by_cell.withColumn("mine", mine).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return whole.unionByName(
+        dealt.select("size", "label", "i", "j", "s", (~F.coalesce(F.col("s") == F.col("mine"), F.lit(False))).alias("visitor"), F.array("j").alias("cells"), "id", "weight", "vec")
+    ).withColumn("block", F.concat_ws("|", "size", "i", "j", "s", "label")).drop("size", "label", "i", "j", "s")
 
 
 class _Block:
     """Home vectors of a block, and what has been found for them."""
 
-    def __init__(self, ids: np.ndarray, weight: np.ndarray, x: np.ndarray, grid: Grid, least: float, radius2: float):
-        self.ids, self.x, self.grid, self.least, self.radius2 = ids, x, grid, least, radius2
+    def __init__(self, ids: np.ndarray, weight: np.ndarray, x: np.ndarray, first: np.ndarray, least: float):
+        """first: the product cell, by its second half, in which each vector is at home."""
+        self.ids, self.x, self.least = ids, x, least
         self.links = weight - 1
-        _, (home, _) = grid.bounds(x)
-        self.cells = {int(j): np.flatnonzero(home == j) for j in np.unique(home)}
+        self.cells = {int(j): np.flatnonzero(first == j) for j in np.unique(first)}
 
-    def meet(self, ids: np.ndarray, weight: np.ndarray, x: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Compare with vectors that are here too; links as (id, id) of spanning forests."""
-        _, (_, lb2) = self.grid.bounds(x)
+    def meet(self, ids: np.ndarray, weight: np.ndarray, x: np.ndarray, cells: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Compare with vectors that visit cells here; links as (id, id) of spanning forests."""
+        visited = cells.flatten().to_numpy()
+        who = np.repeat(np.arange(len(ids)), np.diff(cells.offsets.to_numpy()))
         for j, own in self.cells.items():
-            guests = np.flatnonzero(at + lb2[:, j] <= self.radius2)
+            guests = who[visited == j]
             for begin in range(0, len(own), ROWS) if len(guests) else ():
                 some = own[begin : begin + ROWS]
                 hit = self.x[some] @ x[guests].T >= self.least
@@ -152,37 +176,18 @@ class _Block:
                 if hit.any():
                     self.links[some] += hit @ weight[guests]
                     r, c = np.nonzero(hit)
-                    yield _forest(self.ids[some][r], ids[guests][c])
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what the pairs join: each node with the least id of its component."""
-    nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
-    a, b = place[: len(a)], place[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    moved = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[moved], nodes[root[moved]]
-
-
-def _compare(routed: DataFrame, grids: dict[int, Grid], least: float, radius2: float) -> DataFrame:
+                    yield forest(self.ids[some][r], ids[guests][c])
+
+
+def _compare(routed: DataFrame, least: float) -> DataFrame:
     """(a, b null, n): a has n links; (a, b, n null): a and b are joined."""
-    shared = routed.sparkSession.sparkContext.broadcast(grids)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, homes, block = None, [], None
 
         def opened() -> _Block:
-            ids, weight, x = (np.concatenate(v) for v in zip(*homes, strict=True))
-            return _Block(ids, weight, x, shared.value[int(now.split("|")[0])], least, radius2)
+            ids, weight, x, first = (np.concatenate(v) for v in zip(*((*h[:3], h[3].flatten().to_numpy()[h[3].offsets.to_numpy()[:-1] - h[3].offsets[0].as_py()]) for h in homes), strict=True))
+            return _Block(ids, weight, x, first, least)
 
         def edges(found) -> Iterator[pa.RecordBatch]:
             for a, b in found:
@@ -198,8 +203,8 @@ def _compare(routed: DataFrame, grids: dict[int, Grid], least: float, radius2: f
             block, homes = None, []
 
         def among():
-            for ids, weight, x in homes:
-                yield from block.meet(ids, weight, x, np.zeros(len(ids)))
+            for held in homes:
+                yield from block.meet(*held)
 
         for whole in batches:
             names = np.array(whole.column("block").to_pylist(), dtype=object)
@@ -211,23 +216,44 @@ def _compare(routed: DataFrame, grids: dict[int, Grid], least: float, radius2: f
                     if names[start] != now:
                         yield from close()
                         now = names[start]
-                    ids, weight = part.column("id").to_numpy(), part.column("weight").to_numpy()
-                    x = _unit(_matrix(part.column("vec")))
+                    held = part.column("id").to_numpy(), part.column("weight").to_numpy(), _unit(_matrix(part.column("vec"))), part.column("cells")
                     if not away[start]:
-                        homes.append((ids, weight, x))
+                        homes.append(held)
                         continue
                     if not homes:
                         continue  # visitors of a cell where nothing is at home
                     if block is None:
                         block = opened()
                         yield from edges(among())
-                    yield from edges(block.meet(ids, weight, x, part.column("at").to_numpy()))
+                    yield from edges(block.meet(*held))
         yield from close()
 
     return routed.repartition("block").sortWithinPartitions("block", "visitor").mapInArrow(task, "a long, b long, n long")
 
 
-def near_duplicates(vectors: DataFrame, *, least: float = 0.98, reach: float = 1.0) -> DataFrame:
+def _limit(x: np.ndarray, grid: Grid, least: float, recall: float, radius2: float) -> float:
+    """The distance within which the cells of `recall` of all links of a sample are."""
+    if recall >= 1:
+        return radius2
+    (i, lb), (j, lb2) = grid.bounds(x)
+    found = []
+    for at in range(0, len(x), ROWS):
+        r, c = np.nonzero(x[at : at + ROWS] @ x.T >= least)
+        r, c = r[r + at != c] + at, c[r + at != c]
+        found.append(lb[r, i[c]] + lb2[r, j[c]])
+    every = np.sort(np.concatenate(found))
+    return min(radius2, float(every[math.ceil(recall * len(every)) - 1]) + 1e-12) if len(every) else radius2
+
+
+def measured_recall(vectors: DataFrame, *, least: float = 0.98, recall: float = 0.9, every: int = 100) -> float:
+    """The share of the link ends of the vectors whose id `every` divides that near_duplicates finds with this target;
+    all links are those that recall 1 finds."""
+    some = F.pmod("vec_id", F.lit(every)) == 0
+    got, whole = (near_duplicates(vectors, least=least, recall=r).where(some).agg(F.sum("n_links")).first()[0] or 0 for r in (recall, 1.0))
+    return got / whole if whole else 1.0
+
+
+def near_duplicates(vectors: DataFrame, *, least: float = 0.98, recall: float = 1.0) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors(vec_id, embedding, label)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -242,33 +268,23 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.98, reach: float = 1
             F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first(F.col("label").cast("string")).alias("label"), F.first("embedding").alias("vec")
         ).withColumn("size", F.size("vec")), "vectors",
     )
-    radius2 = (2 - 2 * least) * reach + 1e-6
-    grids, homes = {}, []
-    for dim, n in classes.groupBy("size").count().collect():
+    radius2 = 2 - 2 * least + 1e-6
+    grids, limits = {}, {}
+    for dim, n in classes.groupBy("size").count().collect():  # a row for each length
         of_dim = classes.where(F.col("size") == dim)
         drawn = of_dim.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))).select("vec").toArrow()
         if not drawn.num_rows:
             drawn = of_dim.limit(1).select("vec").toArrow()
-        cells = 1 << max(2, min(8, math.ceil(math.log2(max(n / 8000, 1)))))
-        grids[dim] = Grid(_unit(_matrix(drawn["vec"].combine_chunks())), cells)
-    shared = classes.sparkSession.sparkContext.broadcast(grids)
-
-    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = np.array(batch.column("size").to_pylist())
-            i, j = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-            for dim in set(size.tolist()):
-                own = np.flatnonzero(size == dim)
-                (i[own], _), (j[own], _) = shared.value[dim].bounds(_unit(_matrix(batch.column("vec").take(pa.array(own)))))
-            yield pa.RecordBatch.from_arrays([batch.column("size"), batch.column("label"), pa.array(i), pa.array(j)], names=["size", "label", "i", "j"])
-
-    # only blocks with more than HOT vectors reach the driver: one for each HOT vectors at most
-    count = classes.select("size", "label", "vec").mapInArrow(home, "size int, label string, i long, j long").groupBy("size", "label", "i", "j").count()
-    hot = count.withColumn("all", F.sum("count").over(Window.partitionBy("size", "label", "i"))).where(F.col("all") > HOT)
-    split: dict[tuple, dict[int, int]] = {}
-    for r in hot.collect():
-        split.setdefault((r["size"], r["label"], r["i"]), {})[r["j"]] = -(-r["count"] // HOT)
-    found = stage(_compare(_route(classes, grids, split, radius2), grids, least, radius2), "links")
+        cells = 1 << max(2, min(10, math.ceil(math.log2(max(n / 8000, 1)))))
+        sample = _unit(_matrix(drawn["vec"].combine_chunks()))
+        grids[dim] = Grid(sample, cells)
+        limits[dim] = _limit(sample, grids[dim], least, recall, radius2)
+    visits = _visits(classes, grids, limits)
+    crowd = _visits(classes, grids, dict.fromkeys(limits, -1.0)).select("size", "label", "i", F.col("home").alias("j"))  # homes only
+    crowd = stage(crowd.groupBy("size", "label", "i", "j").count(), "cells")
+    crowded = crowd.groupBy("size", "label", "i").agg(F.sum("count").alias("all")).where(F.col("all") > HOT).select("size", "label", "i")
+    parts = crowd.where(F.col("count") > HOT).select("size", "label", "i", "j", F.ceil(F.col("count") / HOT).alias("n"))
+    found = stage(_compare(_route(visits, parts, crowded), least), "links")
     components = connected_components(found.where("n is null").select("a", "b").distinct())
     of_class = (
         classes.select("k", "k2", "id").join(found.where("n is not null").select(F.col("a").alias("id"), "n"), "id", "left")

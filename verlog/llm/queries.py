@@ -80,6 +80,19 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+     ok AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL
+            AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+     links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+               WHERE list_inner_product(x.e, y.e) / sqrt(list_inner_product(x.e, x.e)) / sqrt(list_inner_product(y.e, y.e)) >= 0.98),
+     reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+     root AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id) LEFT JOIN root USING (vec_id)
+"""
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
@@ -96,9 +109,26 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# a document's shingles; pairs of texts that share one; classes of equal texts count once in the pairs
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4]) END) AS s FROM w),
+     kinds AS (SELECT dense_rank() OVER (ORDER BY list_sort(s)) AS k, doc_id, len(s) AS n, s FROM sets),
+     one AS (SELECT k, any_value(n) AS n, any_value(s) AS s FROM kinds WHERE n > 0 GROUP BY k),
+     flat AS (SELECT k, n, unnest(s) AS x FROM one),
+     links AS (SELECT a.k AS a, b.k AS b FROM flat a JOIN flat b ON a.x = b.x AND a.k <> b.k AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+               GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+     reach(a, b) AS (SELECT k, k FROM one UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+     first AS (SELECT k, min(doc_id) AS doc_id FROM kinds WHERE n > 0 GROUP BY k),
+     root AS (SELECT a AS k, min(doc_id) AS component_id FROM reach JOIN first ON first.k = b GROUP BY a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM kinds LEFT JOIN root USING (k)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_warc": op1_warc, "op2_language_id": op2_language_id, "op3_chat_tree": op3_chat_tree, "op4_decontaminate": op4_decontaminate, "op5_license_scan": op5_license_scan, "op6_embedding_dedup": op6_embedding_dedup, "op7_url_filter": op7_url_filter, "op8_sentencepiece": op8_sentencepiece, "op9_sharding": op9_sharding, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_chat_tree": OP3_SQL}
+    return {"op1_warc": OP1_SQL, "op3_chat_tree": OP3_SQL, "op6_embedding_dedup": OP6_SQL, "op10_jaccard_join": OP10_SQL}
