@@ -109,3 +109,48 @@ def test_small_groups_stay_together(spark):
 def test_sharding_of_nothing_and_of_one(spark):
     assert sharding.assign_shards(docs(spark, [])).count() == 0
     assert [(r.shard, r.slot) for r in sharding.assign_shards(docs(spark, [(1, "a")])).collect()][0][1] == 0
+
+
+def test_sharding_columns_by_hand(spark):
+    import zlib
+
+    texts = ["é😀", "", None, "a" * 50_000, "b" * 400_000, *(f"w{i % 7}" for i in range(40)), *(f"grün {i}" for i in range(60))]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], "doc_id long, text string, shard int, slot int, `rng` string")
+    got = {r.doc_id: r for r in sharding.assign_shards(df).collect()}
+    assert got.keys() == dict(rows).keys()
+    for i, t in rows:
+        body = (t or "").encode()
+        assert (got[i]["size"], got[i].text_crc32) == (len(body) + 1, zlib.crc32(body))
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t or "", set()).add(got[i].shard)
+    assert all(len(s) == 1 for s in groups.values())  # ties and copies stay together
+    # the text that is larger than a shard is alone in its shard, the rest is as near equal as the next one allows
+    load = {k: sum(r["size"] for r in got.values() if r.shard == k) for k in {r.shard for r in got.values()}}
+    alone = got[4].shard
+    assert load[alone] == 400_001
+    for k in load:
+        slots = sorted(r.slot for r in got.values() if r.shard == k)
+        assert slots == list(range(len(slots)))
+
+
+def test_overfull_ranges_are_cut_until_none_is_left(spark, monkeypatch):
+    # a sample that sees next to nothing at first leaves one range with nearly all rows
+    rows = [(i, f"text {i}") for i in range(4000)]
+    seen = []
+    sample = sharding._sample
+    monkeypatch.setattr(sharding, "_sample", lambda df, total, n: seen.append(n) or sample(df, total, n)[: 3 if len(seen) < 6 else None])
+    got = sharding.assign_shards(docs(spark, rows), ranges_per_shard=16).collect()
+    load = {}
+    for r in got:
+        load[r.shard] = load.get(r.shard, 0) + r["size"]
+    assert len(seen) > 5 and len(got) == 4000 and max(load.values()) - min(load.values()) < 0.1 * max(load.values())
+
+
+def test_long_payloads_and_repeated_pages(spark, tmp_path):
+    huge = "<p>" + "x é " * 700_000
+    rows = [(1, "u", huge), (2, "u", huge), (2, "u", huge), (3, "u", "z" * 1000), (3, "u", "z" * 1000), (4, "u", "z" * 999), (5, "u", "z" * 999)]
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.round_trip(pages(spark, rows)).collect())
+    n = len(huge.encode())
+    assert got == [(1, n, "revisit", 2), (2, n, "response", 0), (2, n, "response", 0), (3, 1000, "response", 0), (3, 1000, "response", 0), (4, 999, "response", 0), (5, 999, "response", 0)]
