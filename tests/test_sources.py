@@ -62,3 +62,13 @@ def test_settings():
     assert config.load() == config.Options()
     with pytest.raises(ValueError):
         config.load("storage:\n  auto_compaction_enabled: maybe\n")
+
+
+def test_executors_get_the_package(spark):
+    import zipfile
+
+    from verlog.shipping import ship
+
+    at = ship(spark)
+    names = zipfile.ZipFile(at.removeprefix("file://").removeprefix("file:")).namelist()
+    assert "verlog/operators/visible.py" in names and "verlog/__init__.py" in names

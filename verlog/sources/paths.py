@@ -60,15 +60,20 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def replace_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file so that readers see the old one or the new one, never a part."""
-    temp = f"{path}.{uuid.uuid4().hex}"
-    fs, p = _at(spark, temp)
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    fs, p = _at(spark, path)
     out = fs.create(p)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(data))
     finally:
         out.close()
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file so that readers see the old one or the new one, never a part."""
+    temp = f"{path}.{uuid.uuid4().hex}"
+    write_bytes(spark, temp, text.encode())
+    fs, p = _at(spark, temp)
     jvm = spark._jvm
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
     options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
