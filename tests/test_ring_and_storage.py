@@ -74,6 +74,7 @@ def test_files_pick_and_prune(spark):
     assert storage.due(files).first().due == "L0" and storage.due(files.where("level = 1"), budget=300).first().due == "L1"
     asked = spark.createDataFrame([(0, "f"), (1, "zz")], "pos long, key string")
     assert [(r.pruned, r.read) for r in storage.prune_stats(files.where("file_number < 5"), asked).orderBy("pos").collect()] == [(2, 2), (4, 0)]
+    assert [(r.pruned, r.read) for r in storage.prune_stats(files, asked).orderBy("pos").collect()] == [(2, 3), (4, 1)]  # one has no bounds
 
 
 def test_manifest(spark):

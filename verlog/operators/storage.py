@@ -87,13 +87,25 @@ def live_files(manifest: DataFrame) -> DataFrame:
 
 
 def prune_stats(files: DataFrame, requests: DataFrame) -> DataFrame:
-    """For each requested key, how many files its range rules out and how many have to be read. The
-    files' metadata is gathered to one row, whose size is checked."""
-    listed = files.agg(F.collect_list(F.struct("smallest", "largest")).alias("files"))
-    listed = listed.withColumn("files", F.when(F.size("files") <= 100_000, F.col("files")).otherwise(F.raise_error(F.lit("too many files"))))
-    out = lambda f: (F.col("key") < f["smallest"]) | (F.col("key") > f["largest"])
-    pruned = requests.crossJoin(F.broadcast(listed)).withColumn("pruned", F.size(F.filter("files", out)))
-    return pruned.select("pos", "key", "pruned", (F.size("files") - F.col("pruned")).alias("read"))
+    """For each of requests(pos, key), how many files its range rules out and how many have to be read (pruned, read);
+    unknown bounds (empty) rule out nothing.
+
+    The files that hold a key are those that begin at it or before, less those that end before it: a running sum over
+    bounds and keys in key order, by range partitions and over the partitions' sums. Linear in both tables."""
+    known = files.where("smallest <> '' and largest <> ''")
+    none = F.lit(None).cast("long")
+    events = (
+        known.select(F.col("smallest").alias("key"), F.lit(0).alias("k"), F.lit(1).alias("d"), none.alias("pos"))
+        .unionByName(known.select(F.col("largest").alias("key"), F.lit(2).alias("k"), F.lit(-1).alias("d"), none.alias("pos")))
+        .unionByName(requests.select("key", F.lit(1).alias("k"), F.lit(0).alias("d"), F.col("pos").cast("long").alias("pos")))
+    )
+    placed = events.repartitionByRange("key").withColumn("part", F.spark_partition_id())
+    sums = placed.groupBy("part").agg(F.sum("d").alias("d"))
+    before = sums.select("part", F.coalesce(F.sum("d").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each partition
+    here = F.sum("d").over(Window.partitionBy("part").orderBy("key", "k"))
+    total = files.agg(F.count("*").alias("n"), F.count_if((F.col("smallest") == "") | (F.col("largest") == "")).alias("open"))
+    held = placed.withColumn("here", here).where("k = 1").join(F.broadcast(before), "part").crossJoin(F.broadcast(total))  # one row
+    return held.withColumn("read", F.col("here") + F.col("before") + F.col("open")).select("pos", "key", (F.col("n") - F.col("read")).alias("pruned"), "read")
 
 
 def deletable_segments(segments: DataFrame, flushed_seq: int) -> DataFrame:
