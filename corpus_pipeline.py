@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from verlog.llm import decontaminate, jaccard_join, language_id, sentencepiece_codec
-from verlog.llm.common import stage
+from verlog.llm.common import delete, owned, stage
 
 #: EM, pivots and WAND have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
@@ -46,9 +46,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's result replaces the one before it; what a stage leaves in the shared folder goes with it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+        with owned() as made:
+            docs = stage(step(spark, docs, sf_dir), name)
+        delete(spark, before + made[:-1])
+        before = made[-1:]
     return docs
 
 
