@@ -72,3 +72,66 @@ def test_executors_get_the_package(spark):
     at = ship(spark)
     names = zipfile.ZipFile(at.removeprefix("file://").removeprefix("file:")).namelist()
     assert "verlog/operators/visible.py" in names and "verlog/__init__.py" in names
+
+
+def test_encodings_and_damage(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from verlog.functions import encodings as E
+
+    draw = random.Random(1)
+    lists = [[], [""], ["a", "é中", "x" * 300], ["".join(draw.choices("abc\0é", k=draw.randint(0, 9))) for _ in range(50)]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, items array<string>")
+    coded = df.select("i", E.encode_list(F.col("items")).alias("data"))
+    stored = {r.i: bytes(r.data) for r in coded.collect()}
+    for i, x in enumerate(lists):
+        assert [p.decode() for p in E.decode_parts(stored[i])] == x
+        for cut in range(len(stored[i])):
+            assert E.decode_parts(stored[i][:cut]) is None
+        assert E.decode_parts(stored[i] + b"z") is None
+    assert {r.i: r["items"] for r in E.decode_column(coded, "data").collect()} == dict(enumerate(lists))
+    assert E.decode_parts(b"\xff\xff\xff\xff") is None and E.decode_hash(b"") is None
+    twice = b"\x02\0\0\0" + b"\x01\0\0\0f\x01\0\0\0a" + b"\x01\0\0\0f\x01\0\0\0b"
+    assert E.decode_hash(twice) == {b"f": b"b"}
+    values = [("v", 0), ("v", 7), ("", 2**55 + 5), ("KVTTL001", 0), ("KVTTL00112345678", 0), ("KVTTL001" + "\0" * 8 + "x", 0)]
+    df = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "i int, value string, x long")
+    data = E.encode_value(F.col("value"), F.col("x"))
+    value, expiry = E.decode_value(F.col("data"))
+    got = {r.i: (r.v, r.e) for r in df.withColumn("data", data).select("i", value.cast("string").alias("v"), expiry.alias("e")).collect()}
+    assert [got[i] for i in (0, 1, 2, 3, 5)] == [values[i] for i in (0, 1, 2, 3, 5)]
+    assert got[4][0] == "" and got[4][1] > 0  # a plain value that looks like a marked one is read as one
+
+
+def test_archives_and_paths(spark, tmp_path):
+    from verlog.sources import archive
+
+    files = [("a.txt", b"1"), ("d/e/f", b"\0" * 100), ("empty", b"")]
+    data = archive.pack(files)
+    assert archive.unpack(data) == files and archive.unpack(archive.pack([])) == []
+    for bad in (data[:-1], data + b"x", data[:5], b"X" + data[1:], data.replace(b"d/e/f", b"../ef"), data.replace(b"a.txt", b"/root")):
+        with pytest.raises(ValueError):
+            archive.unpack(bad)
+    for path in ("", "/x", "../x", "a/../../x"):
+        with pytest.raises(ValueError):
+            archive.pack([(path, b"")])
+    (tmp_path / "1.snap").write_bytes(data)
+    (tmp_path / "2.snap").write_bytes(data[:-1])
+    got = archive.read(spark, str(tmp_path)).collect()
+    assert sorted((r.path, bytes(r.content)) for r in got if r.fault is None) == sorted(files) and sum(r.fault is not None for r in got) == 1
+
+
+def test_the_command_line_keeps_a_store(spark, tmp_path):
+    from verlog import cli
+
+    at = f"file://{tmp_path}/s"
+    run = lambda *a: cli.main([at, *a], spark, 1000)
+    assert run("get", "a") == ["(none)"] and run("put", "a", "1") == ["1"] and run("put", "b", "2", "500") == ["2"] and run("put", "a", "3") == ["3"] and run("delete", "c") == ["4"]
+    assert run("get", "a") == ["3"] and run("scan") == ["a\t3", "b\t2"] and run("scan", "b") == ["b\t2"] and run("ttl", "b") == ["500"]
+    assert run("stats") == ["rows=4", "keys=3", "deletions=1", "live=2"] and run("status")[1:] == ["versions=4", "next_seq=5"]
+    assert run("checkpoint", f"file://{tmp_path}/c") and run("compact")[0].startswith("v-") and run("compact") == ["nothing to compact"]
+    assert run("stats")[0] == "rows=2" and len(run("vacuum")) == 4 and len(run("list-files")) >= 1 and len(run("versions")) == 1
+    assert run("install", f"file://{tmp_path}/c") and run("stats")[0] == "rows=4"
+    with pytest.raises(SystemExit):
+        run("nonsense")

@@ -411,16 +411,25 @@ def admin(space: Keyspace, op: str, args: list[str], ring: Ring | None, local: s
         return error(str(e))
 
 
+#: The commands that only a leader takes.
+LEADS = "SET DEL EXPIRE PEXPIRE PERSIST INCR INCRBY DECR DECRBY HSET HDEL LPUSH RPUSH LPOP RPOP BEGIN EXEC ABORT".split()
+
+
+def moved(address: str) -> str:
+    return f"-MOVED {address}\r\n" if address else error("not leader")
+
+
 IN_TXN = ("GET", "SET", "DEL", "MGET", "SCAN", "PING")
 
 
-def replay(lines: DataFrame, password: str | None = None, nodes: list[tuple] | None = None, local: str = "", virtual: int = 8) -> DataFrame:
+def replay(lines: DataFrame, password: str | None = None, nodes: list[tuple] | None = None, local: str = "", virtual: int = 8, leader: str | None = None) -> DataFrame:
     """part, pos, op, reply of lines(part, pos, ts_ms, session, line), replayed in order within a part.
 
     Sessions may BEGIN: reads then see the state at that time and the session's own writes, writes wait
     for EXEC, which fails if a key that was read or written has changed since. A transaction takes SET
     with two arguments only, and SCAN does not see its writes. With a password a session must AUTH first.
-    CLUSTER answers from nodes (id, host, port, weight, alive), of which `local` executes batches."""
+    CLUSTER answers from nodes (id, host, port, weight, alive), of which `local` executes batches. With a leader, this is a
+    follower that sends writes there (to nobody, if the leader is '' for unknown)."""
 
     def begin():
         space = Keyspace()
@@ -464,6 +473,8 @@ def replay(lines: DataFrame, password: str | None = None, nodes: list[tuple] | N
                 reply = error(fault) if fault else simple("OK")
             elif not own["in"]:
                 reply = error("NOAUTH authentication required")
+            elif leader is not None and op in LEADS:
+                reply = moved(leader)
             elif op in ("BEGIN", "EXEC", "ABORT"):
                 reply = simple("OK")
                 if args:

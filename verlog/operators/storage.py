@@ -171,6 +171,13 @@ class Store:
             raise LookupError("nothing to compact")
         return self.commit(compact(self.read(), level, now_ms), before)
 
+    def maybe_compact(self, now_ms: int, **options) -> str | None:
+        """compact(), or null where there is nothing to compact."""
+        try:
+            return self.compact(now_ms, **options)
+        except LookupError:
+            return None
+
     def checkpoint(self, path: str) -> None:
         create_checkpoint(self.read(), path)
 

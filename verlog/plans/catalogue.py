@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import collections as C
+from ..functions import encodings
 from ..operators import bloom, commands, folds, hashes, ring, storage, txn, visible, writes
 from ..schema import LOG
 from ..sources import fixtures as X
@@ -752,6 +753,45 @@ def file_listing(spark, d):
     return storage.file_list(_levels(spark, d)).withColumn("nth", F.col("nth").cast("long"))
 
 
+@query
+def hash_encoded(spark, d):
+    """The stored bytes of each hash, in hexadecimal."""
+    return hashes.hgetall(X.hash_ops(spark, d)).select("key", F.lower(F.hex(encodings.encode_hash(F.col("items")))).alias("bytes"))
+
+
+@query
+def hash_decoded(spark, d):
+    """Fields and values in turn, read back from the stored bytes."""
+    stored = hashes.hgetall(X.hash_ops(spark, d)).select("key", encodings.encode_hash(F.col("items")).alias("data"))
+    return encodings.decode_column(stored, "data", hashes=True).select("key", F.array_join("items", ",").alias("items"))
+
+
+@query
+def list_encoded(spark, d):
+    return _lists(spark, d).select("key", F.lower(F.hex(encodings.encode_list(F.col("items")))).alias("bytes"))
+
+
+@query
+def list_decoded(spark, d):
+    stored = _lists(spark, d).select("key", encodings.encode_list(F.col("items")).alias("data"))
+    return encodings.decode_column(stored, "data").select("key", F.array_join("items", ",").alias("items"))
+
+
+@query
+def value_envelopes(spark, d):
+    """The stored bytes of values, with their expiry in front if they have one, and what is read back from them."""
+    log = X.events_log(spark, d).where("type = 0")
+    stored = log.withColumn("data", encodings.encode_value(F.col("value"), F.col("expires_at_ms")))
+    value, expiry = encodings.decode_value(F.col("data"))
+    return stored.select("seq", F.lower(F.hex("data")).alias("bytes"), value.cast("string").alias("value"), expiry.alias("expires_at_ms"))
+
+
+@query
+def follower_replies(spark, d):
+    """What a follower answers: reads from its state, a redirection of writes."""
+    return commands.replay(_command_lines(spark, d), leader="127.0.0.1:7001").select("part", "pos", "op", "reply")
+
+
 def _cache_ops(spark, d) -> DataFrame:
     """GETs, PUTs with and without an expiry, ERASEs and CONTAINS of fifty keys."""
     e = X.table(spark, d, "events")

@@ -96,6 +96,11 @@ def by_nation(columns: str, rows: list[tuple]) -> str:
     return f"WITH n AS (SELECT n_name, CAST(n_nationkey AS BIGINT) AS k FROM nation), t AS (SELECT *, k * 100 + i AS pos FROM ({' UNION ALL '.join(each)}))"
 
 
+def little(n: str, size: int = 4) -> str:
+    """The hexadecimal digits of a whole number's bytes, the least first."""
+    return "(" + " || ".join(f"lpad(lower(hex(CAST({n} AS BIGINT) // {1 << 8 * k} % 256)), 2, '0')" for k in range(size)) + ")"
+
+
 def err(text: str) -> str:
     return f"-ERR{text}\r\n"
 
@@ -292,6 +297,14 @@ SQL: dict[str, str] = {
     "raft_lag": f"{RAFT} SELECT n_name AS node, greatest((SELECT max(idx) FROM e) - (n_nationkey * 60 + n_regionkey), 0) AS lag FROM nation",
     "manifest_recovered": f"{RUNS} SELECT file_number + 1 AS file_number, max_seq, 'f' || (file_number + 1) AS path, level, bytes, smallest, largest FROM files WHERE file_number % 2 = 1",
     "file_listing": f"{LEVELS} SELECT level, row_number() OVER (PARTITION BY level ORDER BY file_number) - 1 AS nth, file_number, lower(hex(smallest)) AS smallest, lower(hex(largest)) AS largest, n_entries, bytes FROM files",
+    "hash_encoded": f"""{HASH} SELECT key, {little('count(*)')} || string_agg({little('strlen(field)')} || lower(hex(field)) || {little('strlen(value::VARCHAR)')} || lower(hex(value::VARCHAR)), '' ORDER BY field) AS bytes FROM live GROUP BY key""",
+    "hash_decoded": f"{HASH} SELECT key, string_agg(field || ',' || value, ',' ORDER BY field) AS items FROM live GROUP BY key",
+    "list_encoded": f"""{LISTS} SELECT key, {little('len(a)')} || array_to_string(list_transform(a, lambda x: {little('strlen(x)')} || lower(hex(x))), '') AS bytes FROM done WHERE len(a) > 0""",
+    "list_decoded": f"{LISTS} SELECT key, array_to_string(a, ',') AS items FROM done WHERE len(a) > 0",
+    "value_envelopes": f"""WITH {EV} SELECT seq, CASE WHEN expires_at_ms = 0 THEN '' ELSE '4b5654544c303031' || {little('expires_at_ms', 8)} END || lower(hex(value)) AS bytes, value, expires_at_ms FROM ev WHERE type = 0""",
+    "follower_replies": f"""WITH {LINES} SELECT 'u' || user_id AS part, pos, CASE WHEN h = 'NONSENSE' THEN 'INVALID' ELSE h END AS op,
+      CASE WHEN h = 'GET' THEN {rep(NIL)} WHEN h = 'NONSENSE' THEN {rep(err('unknown command'))} ELSE {rep('-MOVED 127.0.0.1:7001' + chr(13) + chr(10))} END AS reply
+      FROM (SELECT *, upper(split_part(line, ' ', 1)) AS h FROM lines)""",
     "cache_trace": f"{CACHE} SELECT shard, pos, op, outcome, evicted FROM f WHERE rn > 0",
     "cache_counts": f"""{CACHE} SELECT shard, count(*) FILTER (outcome = 'hit') AS hits, count(*) FILTER (op = 'GET' AND outcome IN ('miss', 'expired')) AS misses, CAST(sum(evicted) AS BIGINT) AS evictions,
       count(*) FILTER (outcome = 'expired') AS expiries FROM f WHERE rn > 0 GROUP BY shard""",
