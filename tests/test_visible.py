@@ -118,3 +118,13 @@ def test_expire_and_persist(spark):
         writes.put(spark, "a", "v", 1, ttl_ms=-1)
     assert writes.put(spark, "a", "v", 1, ttl_ms=5, now_ms=NOW).first().expires_at_ms == NOW + 5
     assert writes.delete(spark, "a", 1).first().type == 1
+
+
+def test_numbers_of_sparse_positions(spark):
+    from verlog.operators import writes
+
+    places = [0, 3, 4, 10**6, 10**15, 10**15 + 1, -5, 2**40, 2**40 + 7]
+    df = spark.createDataFrame([(p,) for p in places], "pos long").repartition(3)
+    got = {r.pos: r.seq for r in writes.number(df, start=10).collect()}
+    assert got == {p: 10 + k for k, p in enumerate(sorted(places))}
+    assert writes.number(df.limit(0)).count() == 0

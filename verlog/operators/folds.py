@@ -29,13 +29,14 @@ def stream_fold(df: DataFrame, key: str, order: list[str], begin: Callable[[], C
         step, last = None, None
         out: list[tuple] = []
         for rows in batches:
-            for row in rows.to_pylist():
-                if step is None or row[key] != last:
-                    if step is not None:
-                        out += step(None)
-                    step, last = begin(), row[key]
-                out += step(row)
-                if len(out) >= 4096:
+            for at in range(0, rows.num_rows, 1024):  # Python objects of a part of the batch at a time
+                for row in rows.slice(at, 1024).to_pylist():
+                    if step is None or row[key] != last:
+                        if step is not None:
+                            out += step(None)
+                        step, last = begin(), row[key]
+                    out += step(row)
+                if len(out) >= 1024:
                     yield batch(out)
                     out = []
         if step is not None:

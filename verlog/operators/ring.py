@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import Options
 from ..functions.collections import fnv, fnv_halves
 from ..functions.ring import MAX_TOKENS, Node, Ring
 
@@ -30,7 +31,7 @@ def membership(events: DataFrame) -> DataFrame:
     return there.select("id", "n.host", "n.port", "n.weight", alive.alias("alive"))
 
 
-def ring_of(nodes: DataFrame, virtual: int = 8) -> Ring:
+def ring_of(nodes: DataFrame, virtual: int = Options.virtual_nodes) -> Ring:
     """The ring of a table of nodes. It is small: a row for each node, and their tokens are checked."""
     rows = check_nodes(nodes).select("id", "host", "port", "weight", "alive").limit(MAX_TOKENS + 1).collect()
     if len(rows) > MAX_TOKENS:
@@ -56,25 +57,25 @@ def _owned(keys: DataFrame, nodes: DataFrame, n: int, virtual: int) -> DataFrame
     return hashed.join(F.broadcast(table), ["__lead"], "left").where("owners is null or hash between __low and __high").drop("__lead", "__low", "__high")
 
 
-def route(keys: DataFrame, nodes: DataFrame, virtual: int = 8) -> DataFrame:
+def route(keys: DataFrame, nodes: DataFrame, virtual: int = Options.virtual_nodes) -> DataFrame:
     """keys(key, …) with hash and node: that of the first token at or after the hash, else the first of
     all; null on an empty ring."""
     return _owned(keys, nodes, 1, virtual).withColumn("node", F.get("owners", F.lit(0))).drop("owners")
 
 
-def route_all(keys: DataFrame, nodes: DataFrame, virtual: int = 8) -> DataFrame:
+def route_all(keys: DataFrame, nodes: DataFrame, virtual: int = Options.virtual_nodes) -> DataFrame:
     """route() of all keys, or no row if some key has no node."""
     if not ring_of(nodes, virtual).tokens:
         return route(keys, nodes, virtual).limit(0)
     return route(keys, nodes, virtual)
 
 
-def replicas(keys: DataFrame, nodes: DataFrame, n: int, virtual: int = 8) -> DataFrame:
+def replicas(keys: DataFrame, nodes: DataFrame, n: int, virtual: int = Options.virtual_nodes) -> DataFrame:
     """A row for each of the first n distinct nodes from the key's place on; rank from 0."""
     return _owned(keys, nodes, n, virtual).select("key", F.posexplode("owners").alias("rank", "node"))
 
 
-def plan(ops: DataFrame, nodes: DataFrame, virtual: int = 8) -> DataFrame:
+def plan(ops: DataFrame, nodes: DataFrame, virtual: int = Options.virtual_nodes) -> DataFrame:
     """ops(pos, key, …) grouped by node: group (from 0, in the order of first operations) and the place of
     each operation in its group."""
     routed = route(ops, nodes, virtual)
@@ -84,7 +85,7 @@ def plan(ops: DataFrame, nodes: DataFrame, virtual: int = 8) -> DataFrame:
     return routed.join(F.broadcast(order), "node").select("pos", "key", "node", "grp", nth.alias("nth"))
 
 
-def single_node(ops: DataFrame, nodes: DataFrame, local: str, virtual: int = 8) -> DataFrame:
+def single_node(ops: DataFrame, nodes: DataFrame, local: str, virtual: int = Options.virtual_nodes) -> DataFrame:
     """Of ops(batch, key): whether a batch goes to one node, and whether that is the local one."""
     routed = route(ops, nodes, virtual)
     return routed.groupBy("batch").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).select(

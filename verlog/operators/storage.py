@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Options
 from ..schema import LOG, split_faulty
 from ..sources import paths
 from .folds import stream_fold
@@ -63,7 +64,7 @@ def overlaps(smallest, largest, low, high):
     return (smallest == "") | (largest == "") | ~((largest < low) | (smallest > high))
 
 
-def pick(files: DataFrame, min_files: int = 2) -> DataFrame:
+def pick(files: DataFrame, min_files: int = Options.compaction_min_input_files) -> DataFrame:
     """The inputs of the next compaction: all files of level 0 (of level 1 if 0 has none), and those of
     the next level whose range overlaps theirs. Nothing if they are too few."""
     at = files.where("level < 2").agg(F.min("level").alias("from_level"))
@@ -74,7 +75,7 @@ def pick(files: DataFrame, min_files: int = 2) -> DataFrame:
     return chosen.where((F.col("level") == F.col("l")) | lower).select(*files.columns)
 
 
-def due(files: DataFrame, min_files: int = 2, budget: int = 256 << 20) -> DataFrame:
+def due(files: DataFrame, min_files: int = Options.compaction_min_input_files, budget: int = Options.compaction_level_max_bytes) -> DataFrame:
     """Which automatic compaction is due: 'L0', 'L1' or null, from counts and bytes by level."""
     by = files.agg(F.count_if(F.col("level") == 0).alias("n0"), F.count_if(F.col("level") == 1).alias("n1"), F.coalesce(F.sum(F.when(F.col("level") == 1, F.col("bytes"))), F.lit(0)).alias("b1"))
     return by.select("n0", "n1", "b1", F.when(F.col("n0") >= min_files, "L0").when((F.col("n1") >= min_files) & (F.col("b1") >= budget), "L1").alias("due"))
@@ -99,7 +100,7 @@ def prune_stats(files: DataFrame, requests: DataFrame) -> DataFrame:
         .unionByName(known.select(F.col("largest").alias("key"), F.lit(2).alias("k"), F.lit(-1).alias("d"), none.alias("pos")))
         .unionByName(requests.select("key", F.lit(1).alias("k"), F.lit(0).alias("d"), F.col("pos").cast("long").alias("pos")))
     )
-    placed = events.repartitionByRange("key").withColumn("part", F.spark_partition_id())
+    placed = paths.keep(events.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "bounds")
     sums = placed.groupBy("part").agg(F.sum("d").alias("d"))
     before = sums.select("part", F.coalesce(F.sum("d").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each partition
     here = F.sum("d").over(Window.partitionBy("part").orderBy("key", "k"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.paths import keep
+
 
 def latest(log: DataFrame, upto: int | None = None) -> DataFrame:
     """The newest version of each key, dead or not, among those up to a sequence number."""
@@ -73,7 +75,7 @@ def seek(log: DataFrame, target: str, now_ms: int) -> DataFrame:
 def next_keys(pairs: DataFrame) -> DataFrame:
     """Each key of a frame of distinct keys with the one after it, null for the last: keys are range-partitioned, and
     only the first key of each partition meets the last one of the partition before it."""
-    placed = pairs.select("key").repartitionByRange("key").withColumn("part", F.spark_partition_id())
+    placed = keep(pairs.select("key").repartitionByRange("key").withColumn("part", F.spark_partition_id()), "keys")
     firsts = placed.groupBy("part").agg(F.min("key").alias("first"))
     following = firsts.select("part", F.lead("first").over(Window.orderBy("part")).alias("following"))  # a row for each partition
     within = placed.withColumn("next_key", F.lead("key").over(Window.partitionBy("part").orderBy("key")))

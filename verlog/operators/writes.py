@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..schema import DELETION, VALUE, duration_ms
 from .visible import live
 
-BUCKET = 1 << 16
+RANGES = 1 << 13
 
 
 def number(df: DataFrame, pos: str = "pos", start: int = 1, name: str = "seq") -> DataFrame:
-    """Consecutive numbers in the order of a whole-number column, without a global sort: ranges of
+    """Consecutive numbers in the order of a whole-number column, without a global sort: RANGES equal ranges of
     positions are counted, and only those counts are summed up in one place."""
-    ranged = df.withColumn("__b", F.floor(F.col(pos) / BUCKET))
+    ends = df.agg(F.min(pos).alias("__lo"), F.greatest(F.lit(1).cast("long"), F.ceil((F.max(pos) - F.min(pos) + 1) / RANGES)).alias("__width"))
+    ranged = df.crossJoin(F.broadcast(ends)).withColumn("__b", F.floor((F.col(pos) - F.col("__lo")) / F.col("__width"))).drop("__lo", "__width")
     sums = ranged.groupBy("__b").agg(F.count("*").alias("n")).select(
         "__b", (F.coalesce(F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + start - 1).alias("__before")
     )

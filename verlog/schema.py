@@ -14,9 +14,6 @@ LOG = T.StructType([
     T.StructField("key", T.StringType(), False), T.StructField("seq", T.LongType(), False), T.StructField("type", T.IntegerType(), False),
     T.StructField("value", T.StringType()), T.StructField("expires_at_ms", T.LongType(), False),
 ])
-COMMANDS = T.StructType([
-    T.StructField("pos", T.LongType(), False), T.StructField("ts_ms", T.LongType()), T.StructField("session", T.StringType()), T.StructField("line", T.StringType()),
-])
 
 
 def fault(key: str = "key", seq: str = "seq", kind: str = "type", value: str = "value", expires: str = "expires_at_ms") -> Column:

@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
+from ..config import Options
+
 PUT, DELETE, PUT_TTL = 0, 1, 2
 HEAD = struct.Struct("<IBQII")
 MOST = 64 << 20
@@ -91,7 +93,7 @@ def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").load(path).select("path", "content").mapInArrow(task, SCHEMA)
 
 
-def write_segments(log: DataFrame, folder: str, segment_bytes: int = 64 << 20) -> DataFrame:
+def write_segments(log: DataFrame, folder: str, segment_bytes: int = Options.wal_segment_size_bytes) -> DataFrame:
     """Write log rows in sequence order as segments of about segment_bytes; (file, records) of each.
 
     Ranges of sequence numbers are written in parallel. A segment is named by its first number with 20
