@@ -468,6 +468,14 @@ def raft_apply_prefix(spark, d):
     return storage.committed_prefix(_raft(spark, d), 2_000)
 
 
+@query
+def raft_apply_most(spark, d):
+    """The prefix of all orders as entries, up to the first gap, which lies in the last tenth of them."""
+    o = X.table(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("idx"), F.lit(1).cast("long").alias("term"), F.col("o_orderstatus").alias("data"))
+    last = F.broadcast(o.agg(F.max("idx").alias("last")))  # one row
+    return storage.committed_prefix(o.crossJoin(last).where("not (idx * 10 > last * 9 and idx % 5 = 2)").drop("last"), 1 << 40)
+
+
 @query
 def raft_commit_index(spark, d):
     match = X.table(spark, d, "nation").select(F.col("n_name").alias("node"), (F.col("n_nationkey") * 60 + F.col("n_regionkey")).cast("long").alias("match_index"))

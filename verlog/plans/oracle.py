@@ -312,6 +312,8 @@ SQL: dict[str, str] = {
     "stream_claimed": f"SELECT key, pos, ts_ms, expires_at_ms FROM ({CLAIMS})",
     "raft_apply_prefix": f"""{RAFT}, u AS (SELECT idx, max(term) AS term, arg_max(data, term) AS data FROM e WHERE idx BETWEEN 1 AND 2000 GROUP BY idx), r AS (SELECT *, row_number() OVER (ORDER BY idx) AS rn FROM u)
       SELECT idx, term, data FROM r WHERE rn = idx""",
+    "raft_apply_most": """WITH e AS (SELECT o_orderkey + 1 AS idx, CAST(1 AS BIGINT) AS term, o_orderstatus AS data, max(o_orderkey + 1) OVER () AS last FROM orders)
+      SELECT idx, term, data FROM e WHERE idx < (SELECT min(idx) FROM e WHERE idx * 10 > last * 9 AND idx % 5 = 2)""",
     "raft_commit_index": f"""{RAFT}, m AS (SELECT n_nationkey * 60 + n_regionkey AS match_index FROM nation), q AS (SELECT match_index FROM m QUALIFY row_number() OVER (ORDER BY match_index DESC) = (SELECT count(*) FROM m) // 2 + 1)
       SELECT coalesce(max(idx), 0) AS commit_index FROM e, q WHERE term = 1 AND idx <= match_index""",
     "command_parse": f"""WITH {LINES}, p AS (SELECT pos, upper(split_part(line, ' ', 1)) AS h, len(string_split(line, ' ')) - 1 AS argc FROM lines)
