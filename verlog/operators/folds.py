@@ -204,6 +204,47 @@ def cache_trace(ops: DataFrame, capacity: int, default_ttl_ms: int = 0) -> DataF
     return stream_fold(ops, "shard", ["pos"], begin, "shard string, pos long, op string, outcome string, evicted int")
 
 
+def read_cache(ops: DataFrame, capacity: int) -> DataFrame:
+    """Where reads are answered: replay of ops(part, pos, ts_ms, op, key, expires_at_ms), op GET, PUT, DEL or FLUSH, with a
+    cache of values in front of the files. What was written since the last FLUSH is answered from memory. Only what is read
+    from files is cached, only values without an expiry, and any write takes its key out.
+
+    source of each GET: memory, cache, file, or none if there is no live value."""
+
+    def begin():
+        memory: dict[str, int | None] = {}  # key -> expiry, null for a deletion
+        files: dict[str, int | None] = {}
+        cache: OrderedDict[str, bool] = OrderedDict()
+
+        def step(row):
+            if row is None:
+                return []
+            op, key, now = row["op"], row["key"], row["ts_ms"]
+            if op == "FLUSH":
+                files.update(memory)
+                memory.clear()
+                return []
+            if op in ("PUT", "DEL"):
+                memory[key] = (row["expires_at_ms"] or 0) if op == "PUT" else None
+                cache.pop(key, None)
+                return []
+            if key in cache and key not in memory:
+                cache.move_to_end(key)
+                return [(row["part"], row["pos"], "cache")]
+            place, expiry = ("memory", memory[key]) if key in memory else ("file", files.get(key))
+            if expiry is None or 0 < expiry <= now:
+                return [(row["part"], row["pos"], "none")]
+            if place == "file" and not expiry and capacity > 0:
+                cache[key] = True
+                if len(cache) > capacity:
+                    cache.popitem(last=False)
+            return [(row["part"], row["pos"], place)]
+
+        return step
+
+    return stream_fold(ops, "part", ["pos"], begin, "part string, pos long, source string")
+
+
 def cache_shards(ops: DataFrame, shards: int, of: str = "key") -> DataFrame:
     """The shard of each operation by a hash of its key; capacities of shards are the whole's share."""
     return ops.withColumn("shard", F.pmod(F.crc32(F.col(of).cast("binary")), F.lit(shards)).cast("string"))

@@ -809,6 +809,20 @@ def _cache_ops(spark, d) -> DataFrame:
     return e.select(F.pmod("user_id", F.lit(4)).cast("string").alias("shard"), F.col("event_id").alias("pos"), X.epoch_ms("ts").alias("ts_ms"), op.alias("op"), F.pmod("user_id", F.lit(48)).cast("string").alias("key"), ttl.alias("ttl_ms"))
 
 
+@query
+def read_sources(spark, d):
+    """Where reads of users' values are answered, with a flush after each hundred events."""
+    e = X.table(spark, d, "events")
+    kind, ts = F.col("event_type"), X.epoch_ms("ts")
+    op = F.when(kind.isin("view", "click"), "GET").when(kind == "error", "DEL").otherwise("PUT")
+    ops = e.select(F.pmod("user_id", F.lit(4)).cast("string").alias("part"), (F.col("event_id") * 2).alias("pos"), ts.alias("ts_ms"), op.alias("op"), F.concat(F.lit("user:"), "user_id").alias("key"),
+                   F.when(kind == "signup", ts + 3_600_000).otherwise(F.lit(0)).alias("expires_at_ms"))
+    none = F.lit(None)
+    parts = F.explode(F.array(*(F.lit(str(k)) for k in range(4))))
+    flushes = e.where("event_id % 100 = 99").select(parts.alias("part"), (F.col("event_id") * 2 + 1).alias("pos"), ts.alias("ts_ms"), F.lit("FLUSH").alias("op"), none.cast("string").alias("key"), none.cast("long").alias("expires_at_ms"))
+    return folds.read_cache(ops.unionByName(flushes), 1 << 30)
+
+
 @query
 def cache_trace(spark, d):
     return folds.cache_trace(_cache_ops(spark, d), 8).withColumn("evicted", F.col("evicted").cast("long"))

@@ -305,6 +305,12 @@ SQL: dict[str, str] = {
     "follower_replies": f"""WITH {LINES} SELECT 'u' || user_id AS part, pos, CASE WHEN h = 'NONSENSE' THEN 'INVALID' ELSE h END AS op,
       CASE WHEN h = 'GET' THEN {rep(NIL)} WHEN h = 'NONSENSE' THEN {rep(err('unknown command'))} ELSE {rep('-MOVED 127.0.0.1:7001' + chr(13) + chr(10))} END AS reply
       FROM (SELECT *, upper(split_part(line, ' ', 1)) AS h FROM lines)""",
+    "read_sources": """WITH e AS (SELECT event_id AS pos, user_id, epoch_us(ts) // 1000 AS t, event_type, event_type IN ('view', 'click') AS reads FROM events),
+      w AS (SELECT *, max(CASE WHEN NOT reads THEN pos END) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS written,
+        max(CASE WHEN reads THEN pos END) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS asked FROM e)
+      SELECT CAST(w.user_id % 4 AS VARCHAR) AS part, w.pos * 2 AS pos, CASE WHEN p.pos IS NULL OR p.event_type = 'error' OR (p.event_type = 'signup' AND p.t + 3600000 <= w.t) THEN 'none'
+        WHEN p.pos // 100 = w.pos // 100 THEN 'memory' WHEN p.event_type <> 'signup' AND w.asked > p.pos AND w.asked // 100 > p.pos // 100 THEN 'cache' ELSE 'file' END AS source
+      FROM w LEFT JOIN e p ON p.pos = w.written WHERE w.reads""",
     "cache_trace": f"{CACHE} SELECT shard, pos, op, outcome, evicted FROM f WHERE rn > 0",
     "cache_counts": f"""{CACHE} SELECT shard, count(*) FILTER (outcome = 'hit') AS hits, count(*) FILTER (op = 'GET' AND outcome IN ('miss', 'expired')) AS misses, CAST(sum(evicted) AS BIGINT) AS evictions,
       count(*) FILTER (outcome = 'expired') AS expiries FROM f WHERE rn > 0 GROUP BY shard""",
