@@ -135,3 +135,21 @@ def test_the_command_line_keeps_a_store(spark, tmp_path):
     assert run("install", f"file://{tmp_path}/c") and run("stats")[0] == "rows=4"
     with pytest.raises(SystemExit):
         run("nonsense")
+
+
+def test_commands_and_damage(spark):
+    from pyspark.sql import functions as F
+
+    from verlog.functions import encodings as E
+
+    rows = [("S", "ké", "v", 0), ("T", "k", "", 2**40), ("E", "", "", 9), ("D", "key", "", 0), ("N", "", "", 0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, op string, key string, value string, x long")
+    coded = df.select("i", E.encode_command(F.col("op"), F.col("key"), F.col("value"), F.col("x")).alias("data"))
+    assert {r.i: tuple(r.c) for r in coded.withColumn("c", E.decode_command(F.col("data"))).collect()} == {i: (o, k, v if o in "ST" else "", x) for i, (o, k, v, x) in enumerate(rows)}
+    damaged = []
+    for r in coded.collect():
+        damaged += [bytes(r.data[:cut]) for cut in range(len(r.data))] + [bytes(r.data) + b"z", b"X" + bytes(r.data[1:])]
+    bad = spark.createDataFrame([(bytearray(b),) for b in damaged], "data binary")
+    assert bad.withColumn("c", E.decode_command(F.col("data"))).where("c is not null").count() == 0
+    members = spark.createDataFrame([([1, 2**40],)], "m array<long>").select(E.encode_command(F.lit("M"), F.lit(""), F.lit(""), F.lit(0), F.col("m")).alias("d")).first().d
+    assert bytes(members) == b"M" + (2).to_bytes(4, "big") + (1).to_bytes(8, "big") + (2**40).to_bytes(8, "big")

@@ -1,7 +1,10 @@
-"""The stored bytes of hashes, lists and values with an expiry: encoders as columns, decoders for Arrow batches.
+"""The stored bytes of hashes, lists and values with an expiry, and of replicated commands: encoders as columns, decoders
+for Arrow batches and, for commands, as columns.
 
 A list is `count u32 | (length u32 | bytes)…`, a hash the same with a field and a value for each, in byte order of the
-fields, all little endian; a value with an expiry is a mark, the expiry as u64 and the value.
+fields, all little endian; a value with an expiry is a mark, the expiry as u64 and the value. A command is a letter, a length
+and the key, then by letter a length and the value (S, T) and the expiry (T, E); N has the letter alone, M a count and
+members of 8 bytes each; these are big endian.
 """
 
 from __future__ import annotations
@@ -49,6 +52,34 @@ def decode_value(data: Column) -> tuple[Column, Column]:
     return F.when(marked, F.substr(data, F.lit(len(MARK) + 9))).otherwise(data), F.when(marked, expiry).otherwise(F.lit(0).cast("long"))
 
 
+def _big(n: Column, size: int) -> Column:
+    return F.lpad(F.hex(n.cast("long")), 2 * size, "0")
+
+
+def encode_command(op: Column, key: Column, value: Column, expires_at_ms: Column, members: Column | None = None) -> Column:
+    """The bytes of a command by its letter; null of another letter."""
+    sized = lambda c: F.concat(_big(F.octet_length(c), 4), F.hex(c.cast("binary")))
+    body = F.when(op == "S", F.concat(sized(key), sized(value))).when(op == "T", F.concat(sized(key), sized(value), _big(expires_at_ms, 8))).when(op == "E", F.concat(sized(key), _big(expires_at_ms, 8)))
+    body = body.when(op == "D", sized(key)).when(op == "N", F.lit(""))
+    if members is not None:
+        body = body.when(op == "M", F.concat(_big(F.size(members), 4), F.array_join(F.transform(members, lambda m: _big(m, 8)), "")))
+    return F.unhex(F.concat(F.hex(op.cast("binary")), body))
+
+
+def decode_command(data: Column) -> Column:
+    """struct(op, key, value, expires_at_ms), or null of bytes that are no whole command of letter S, T, E, D or N."""
+    number = lambda at, size: F.conv(F.hex(F.substr(data, at.cast("int"), F.lit(size))), 16, 10).cast("long")
+    op, n = F.substr(data, F.lit(1), F.lit(1)).cast("string"), F.length(data)
+    n_key = number(F.lit(2), 4)
+    after = n_key + 6  # the place after the key
+    n_value = F.when(op.isin("S", "T") & (n >= after + 3), number(after, 4))
+    ends = F.when(op == "N", 1).when(n < 5, None).when(op == "D", after - 1).when(op == "E", after + 7).when(op == "S", after + 3 + n_value).when(op == "T", after + 11 + n_value)
+    expiry = F.when(op == "E", number(after, 8)).when(op == "T", number(after + 4 + n_value, 8)).otherwise(F.lit(0).cast("long"))
+    key = F.when(op == "N", F.lit("")).otherwise(F.substr(data, F.lit(6), n_key.cast("int")).cast("string"))
+    value = F.when(op.isin("S", "T"), F.substr(data, (after + 4).cast("int"), n_value.cast("int")).cast("string")).otherwise(F.lit(""))
+    return F.when(n == ends, F.struct(op.alias("op"), key.alias("key"), value.alias("value"), expiry.alias("expires_at_ms")))
+
+
 def decode_parts(data: bytes, each: int = 1) -> list[bytes] | None:
     """The elements of an encoded list (each 1), or fields and values of a hash in turn (each 2); null if it is damaged."""
     if len(data) < 4:

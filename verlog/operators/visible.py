@@ -102,6 +102,20 @@ def expiry_schedule(log: DataFrame) -> DataFrame:
     return latest(log).where("type = 0 and expires_at_ms <> 0").select("key", "expires_at_ms").orderBy("expires_at_ms", "key")
 
 
+def deadlines(ops: DataFrame, default_ttl_ms: int = 0) -> DataFrame:
+    """(key, expires_at_ms) after ops(key, pos, ts_ms, op, ttl_ms), op SET or ERASE: the last one of a key counts. A SET
+    with a negative time takes the default; one that comes to 0 erases."""
+    last = ops.groupBy("key").agg(F.max_by(F.struct("op", "ttl_ms", "ts_ms"), "pos").alias("v"))
+    ttl = F.when(F.col("v.ttl_ms") < 0, default_ttl_ms).otherwise(F.col("v.ttl_ms"))
+    return last.where((F.col("v.op") == "SET") & (ttl > 0)).select("key", (F.col("v.ts_ms") + ttl).alias("expires_at_ms"))
+
+
+def purge(held: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """(the deadlines that are due, in key order, and those that stay)."""
+    due = F.col("expires_at_ms") <= now_ms
+    return held.where(due).orderBy("key"), held.where(~due)
+
+
 def latest_seq(log: DataFrame) -> DataFrame:
     return log.groupBy("key").agg(F.max("seq").alias("seq"))
 

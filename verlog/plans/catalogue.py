@@ -761,6 +761,31 @@ def file_listing(spark, d):
     return storage.file_list(_levels(spark, d)).withColumn("nth", F.col("nth").cast("long"))
 
 
+def _deadline_ops(spark, d) -> DataFrame:
+    e = X.table(spark, d, "events")
+    op = F.when(F.col("event_type") == "error", "ERASE").otherwise("SET")
+    return e.select(F.concat(F.lit("user:"), "user_id").alias("key"), F.col("event_id").alias("pos"), X.epoch_ms("ts").alias("ts_ms"), op.alias("op"), ((F.pmod("event_id", F.lit(4)) - 1) * X.DAY_MS).alias("ttl_ms"))
+
+
+@query
+def ttl_deadlines(spark, d):
+    """Which keys have a deadline after sets with own, default and no times, and erasures; and whether it is past."""
+    held = visible.deadlines(_deadline_ops(spark, d), default_ttl_ms=3_600_000)
+    due, stay = visible.purge(held, NOW_MS)
+    return due.withColumn("purged", F.lit(True)).unionByName(stay.withColumn("purged", F.lit(False)))
+
+
+@query
+def raft_commands(spark, d):
+    """Replicated commands as bytes, and what is read back from them."""
+    e = X.table(spark, d, "events")
+    op = F.when(F.col("event_type") == "view", "S").when(F.col("event_type") == "click", "T").when(F.col("event_type") == "purchase", "E").when(F.col("event_type") == "error", "D").otherwise("N")
+    rows = e.select("event_id", op.alias("op"), F.concat(F.lit("user:"), "user_id").alias("key"), F.col("event_type").alias("value"), X.epoch_ms("ts").alias("at"))
+    coded = rows.select("event_id", encodings.encode_command(F.col("op"), F.col("key"), F.col("value"), F.col("at")).alias("data"))
+    back = encodings.decode_command(F.col("data"))
+    return coded.withColumn("c", back).select("event_id", F.lower(F.hex("data")).alias("bytes"), "c.op", "c.key", "c.value", "c.expires_at_ms")
+
+
 @query
 def hash_encoded(spark, d):
     """The stored bytes of each hash, in hexadecimal."""

@@ -297,6 +297,13 @@ SQL: dict[str, str] = {
     "raft_lag": f"{RAFT} SELECT n_name AS node, greatest((SELECT max(idx) FROM e) - (n_nationkey * 60 + n_regionkey), 0) AS lag FROM nation",
     "manifest_recovered": f"{RUNS} SELECT file_number + 1 AS file_number, max_seq, 'f' || (file_number + 1) AS path, level, bytes, smallest, largest FROM files WHERE file_number % 2 = 1",
     "file_listing": f"{LEVELS} SELECT level, row_number() OVER (PARTITION BY level ORDER BY file_number) - 1 AS nth, file_number, lower(hex(smallest)) AS smallest, lower(hex(largest)) AS largest, n_entries, bytes FROM files",
+    "ttl_deadlines": f"""WITH l AS (SELECT 'user:' || user_id AS key, epoch_us(ts) // 1000 AS t, event_type, CASE WHEN event_id % 4 = 0 THEN 3600000 ELSE (event_id % 4 - 1) * 86400000 END AS ttl
+        FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+      SELECT key, t + ttl AS expires_at_ms, t + ttl <= {NOW} AS purged FROM l WHERE event_type <> 'error' AND ttl > 0""",
+    "raft_commands": f"""WITH c AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'S' WHEN 'click' THEN 'T' WHEN 'purchase' THEN 'E' WHEN 'error' THEN 'D' ELSE 'N' END AS op, 'user:' || user_id AS key, event_type AS value, epoch_us(ts) // 1000 AS t FROM events),
+      h AS (SELECT *, lpad(lower(hex(strlen(key))), 8, '0') || lower(hex(key)) AS k, lpad(lower(hex(strlen(value))), 8, '0') || lower(hex(value)) AS v, lpad(lower(hex(t)), 16, '0') AS x FROM c)
+      SELECT event_id, lower(hex(op)) || CASE op WHEN 'S' THEN k || v WHEN 'T' THEN k || v || x WHEN 'E' THEN k || x WHEN 'D' THEN k ELSE '' END AS bytes, op, CASE WHEN op = 'N' THEN '' ELSE key END AS key,
+        CASE WHEN op IN ('S', 'T') THEN value ELSE '' END AS value, CASE WHEN op IN ('T', 'E') THEN t ELSE 0 END AS expires_at_ms FROM h""",
     "hash_encoded": f"""{HASH} SELECT key, {little('count(*)')} || string_agg({little('strlen(field)')} || lower(hex(field)) || {little('strlen(value::VARCHAR)')} || lower(hex(value::VARCHAR)), '' ORDER BY field) AS bytes FROM live GROUP BY key""",
     "hash_decoded": f"{HASH} SELECT key, string_agg(field || ',' || value, ',' ORDER BY field) AS items FROM live GROUP BY key",
     "list_encoded": f"""{LISTS} SELECT key, {little('len(a)')} || array_to_string(list_transform(a, lambda x: {little('strlen(x)')} || lower(hex(x))), '') AS bytes FROM done WHERE len(a) > 0""",
