@@ -426,12 +426,12 @@ def test_frames_with_nulls_and_extra_columns(spark):
     assert sp.encode_documents(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op6_embedding_dedup", "op10_jaccard_join"])
+@pytest.mark.parametrize("name", ["op4_decontaminate", "op6_embedding_dedup", "op10_jaccard_join"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("embeddings", "documents"):
+    for table in ("embeddings", "documents", "benchmark"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     rel = con.sql(queries.oracle_sql()[name])
     df = queries.queries()[name](spark, SF)
@@ -475,3 +475,19 @@ def test_languages_are_chosen_as_by_trying_all_sets():
                 break
             langs.add(best[1])
         assert set(np.flatnonzero(share > 0)) == langs and np.abs(share - value(langs)[1]).max() < 0.02
+
+
+def test_both_sides_are_weighed_by_document_frequency(spark):
+    texts = ["common words everywhere " + ("the license" if i % 2 else f"rare{i}") for i in range(100)] + [None, ""]
+    files = spark.createDataFrame([(i, f"d/{i}", t) for i, t in enumerate(texts)], "file_id long, path string, text string").repartition(3)
+    n, frequency, slots = license_scan._frequencies(files, {b"license", b"the", b"mit"})
+    assert n == 102 and frequency == {b"license": 50, b"the": 50} and slots[license_scan.slot_of(b"everywhere")] == 100
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, n, frequency, 0.75, slots)
+    weigh = lambda df: np.log((1 + n) / (1 + df)) + 1
+    assert np.isclose(scanner.weights[b"common"], weigh(100)) and np.isclose(scanner.weights[b"never"], weigh(0)) and np.isclose(scanner.weights[b"license"], weigh(50))
+    # a word that all files have weighs less against a template than one that none has
+    notice = "released under the mit license"
+    near, far = (scanner.match(license_scan.words_of(f"{notice} {w}")) for w in ("everywhere", "never"))
+    own = np.array([weigh(frequency.get(w.encode(), 0)) for w in notice.split()])
+    want = lambda w: np.sqrt((own**2).sum() / ((own**2).sum() + w**2))
+    assert np.isclose(near[0], want(weigh(100))) and np.isclose(far[0], want(weigh(0))) and near > far

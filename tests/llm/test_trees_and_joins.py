@@ -42,6 +42,34 @@ def test_staged_files_go(spark):
         spark.read.parquet(at).count()
 
 
+def test_the_shared_folder_is_never_one_of_the_machine_on_a_cluster(spark):
+    class Session:
+        def __init__(self, master, at=None):
+            self.sparkContext = type("Context", (), {"master": master})
+            self.conf = type("Conf", (), {"get": staticmethod(lambda key, default: at)})
+
+    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert common.shared_dir(Session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    for master in ("spark://h:7077", "yarn", "k8s://h", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            common.shared_dir(Session(master))
+
+
+def test_owners_delete_what_they_staged(spark):
+    import os
+
+    with common.owned() as made:
+        df = common.stage(spark.range(3), "kept")
+        with common.owned() as inner:
+            common.stage(spark.range(2), "inner")
+    assert len(made) == 1 and len(inner) == 1 and not set(made) & set(inner)
+    common.delete(spark, inner)
+    assert df.count() == 3 and not os.path.exists(inner[0].removeprefix("file://"))
+    common.drop_staged(df)
+    assert not os.path.exists(made[0].removeprefix("file://"))
+    assert common.fresh(spark.range(1).toDF("AT"), "at") == "at_"
+
+
 # --- chats
 
 
@@ -169,6 +197,26 @@ def test_links_equal_brute_force(spark, monkeypatch, hot):
     assert got == want and any(n for n, _ in want.values())
 
 
+def test_cells_are_visited_nearest_first():
+    draw = np.random.default_rng(4)
+    for _ in range(50):
+        a, b = np.sort(draw.random(draw.integers(1, 9))), np.sort(draw.random(draw.integers(1, 9)))
+        limit = draw.random() * 2
+        got = list(embedding_dedup.multi_sequence(a, b, limit))
+        want = sorted((a[i] + b[j], i, j) for i in range(len(a)) for j in range(len(b)) if a[i] + b[j] <= limit)
+        assert [t for *_, t in got] == [t for t, *_ in want] and {(i, j) for i, j, _ in got} == {(i, j) for _, i, j in want}
+
+
+def test_a_target_recall_is_reached(spark):
+    rows = vectors(seed=3, families=12, size=30)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert embedding_dedup.measured_recall(df, recall=1.0, every=1) == 1.0
+    assert embedding_dedup.measured_recall(df, recall=0.9, every=1) >= 0.9
+    some = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, recall=0.5).collect()}
+    every = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    assert all(some[i] <= every[i] for i in every) and 0.5 * sum(every.values()) <= sum(some.values())
+
+
 def test_no_vectors_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (None, [1.0, 2.0], 0)], "vec_id long, embedding array<float>, label int")
     assert sorted((r.vec_id or 0, r.n_links) for r in embedding_dedup.near_duplicates(df).collect()) == [(0, 0), (1, 1), (1, 1)]

@@ -8,8 +8,9 @@ as many words as it has, wherever in the text it begins: a notice quoted word fo
 middle of a sentence and across line ends. An upper bound of the cosine, from running sums, passes over
 windows that can't reach the threshold or the best so far. Key terms of a template are its heaviest:
 without any of them no vector reaches the threshold, so whole texts are passed over at set speed and
-nothing is missed. Document frequencies of template terms are counted over all files; other words
-weigh as much as the rarest.
+nothing is missed. Both sides are weighed by document frequencies, counted over all files: those of template words
+one by one, those of other words in a table of 2^SLOT_BITS slots. Words that share a slot count together, on average as
+many as a file has words for each slot, so that words rarer than that weigh alike at every number of files.
 
 A licence file is one named LICENSE, LICENCE, COPYING or NOTICE, with any ending. Inheritance works
 on distinct directories: their ancestors are joined to directories' licences by path, so a directory
@@ -25,6 +26,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -80,18 +82,43 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 MAX_WORDS = 64
+SLOT_BITS = 16
 SPAN = 50_000  # words of a text that are weighed at once
 SENTENCE = re.compile(r"\n+|(?<=[.!?;])\s+")
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([-._].*)?$"
 
 
+def slot_of(word: bytes) -> int:
+    return zlib.crc32(word) >> (32 - SLOT_BITS)
+
+
+class _Weights(dict):
+    """The weight of each word; forgets words outside the templates when there are too many."""
+
+    def __init__(self, known: dict[bytes, float], n_files: int, slots: np.ndarray | None):
+        super().__init__(known)
+        self.known, self.n_files, self.slots = known, n_files, slots
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) > 100_000:
+            self.clear()
+            self.update(self.known)
+        found = 0 if self.slots is None else min(int(self.slots[slot_of(word)]), self.n_files)
+        self[word] = w = math.log((1 + self.n_files) / (1 + found)) + 1
+        return w
+
+    def __reduce__(self):
+        return _Weights, (self.known, self.n_files, self.slots)
+
+
 class Scanner:
-    def __init__(self, templates: list[tuple[str, str]], n_files: int, frequency: dict[bytes, int], least: float):
+    def __init__(self, templates: list[tuple[str, str]], n_files: int, frequency: dict[bytes, int], least: float, slots: np.ndarray | None = None):
+        """frequency: files by template word; slots: files by slot of other words (without, they weigh as the rarest)."""
         self.least, self.names = least, [n for n, _ in templates]
         counts = [Counter(words_of(t)) for _, t in templates]
         self.longest = max(sum(c.values()) for c in counts)
         self.idf = {w: math.log((1 + n_files) / (1 + frequency.get(w, 0))) + 1 for c in counts for w in c}
-        self.rare = math.log(1 + n_files) + 1
+        self.weights = _Weights(self.idf, n_files, slots)
         self.sizes = [sum(c.values()) for c in counts]
         self.vectors: list[dict[bytes, float]] = []
         self.keys: set[bytes] = set()
@@ -109,22 +136,21 @@ class Scanner:
                 else:
                     self.keys_of[-1].add(w)
             self.keys |= self.keys_of[-1]
-        # by place of a word; the last is any other word
+        # by place of a template word; the last is any other word
         self.place = {w: i for i, w in enumerate(self.idf)}
-        self.squares = np.array([*self.idf.values(), self.rare]) ** 2
         self.parts = [np.array([*(v.get(w, 0.0) * x for w, x in self.idf.items()), 0.0]) for v in self.vectors]
 
     def match(self, words: list[bytes]) -> tuple[float, int] | None:
         """The best cosine that reaches the threshold, and minus its template's place."""
         c = Counter(words)
-        v = {w: n * self.idf.get(w, self.rare) for w, n in c.items()}
+        v = {w: n * self.weights[w] for w, n in c.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         found = [(sum(x * v.get(w, 0.0) for w, x in t.items()) / norm, -k) for k, t in enumerate(self.vectors)]
         best = max(((round(s, 9), k) for s, k in found), default=(0.0, 0))
         return best if best[0] >= self.least else None
 
     def _cosine(self, k: int, words: list[bytes]) -> float:
-        v = {w: n * self.idf.get(w, self.rare) for w, n in Counter(words).items()}
+        v = {w: n * self.weights[w] for w, n in Counter(words).items()}
         return sum(x * v.get(w, 0.0) for w, x in self.vectors[k].items()) / math.sqrt(sum(x * x for x in v.values()))
 
     def _windows(self, words: list[bytes], best: tuple[float, int] | None) -> tuple[float, int] | None:
@@ -133,7 +159,7 @@ class Scanner:
             own = words[at : at + SPAN + self.longest - 1]  # windows that begin in the span end here
             has = set(own)
             ids = np.fromiter(map(self.place.get, own, itertools.repeat(-1)), np.int64, len(own))
-            norms = np.concatenate(([0.0], np.cumsum(self.squares[ids])))
+            norms = np.concatenate(([0.0], np.cumsum(np.fromiter(map(self.weights.__getitem__, own), float, len(own)) ** 2)))
             for k, size in enumerate(self.sizes):
                 if size > len(own) or self.keys_of[k].isdisjoint(has):
                     continue
@@ -183,26 +209,37 @@ class Scanner:
         return None if best is None else (self.names[-best[1]], best[0])
 
 
-def _frequencies(files: DataFrame, vocabulary: set[bytes]) -> tuple[int, dict[bytes, int]]:
-    """How many files there are, and how many have each word of the templates."""
+def _frequencies(files: DataFrame, vocabulary: set[bytes]) -> tuple[int, dict[bytes, int], np.ndarray]:
+    """How many files there are, how many have each word of the templates, and how many have words of each slot."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, count = 0, Counter()
+        n, count, slots = 0, Counter(), np.zeros(1 << SLOT_BITS, np.int64)
+        crc, shift = zlib.crc32, 32 - SLOT_BITS
         for batch in batches:
             for _, text in texts(batch.column(0)):
                 n += 1
-                count.update(vocabulary.intersection(words_of(text)))
-        words = [b"", *count]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([n, *(count[w] for w in words[1:])], pa.int64())], names=["w", "n"])
+                words = set(words_of(text))
+                count.update(vocabulary & words)
+                slots[np.fromiter(map(crc, words), np.uint32, len(words)) >> np.uint32(shift)] += 1  # once for each file
+        words, used = [b"", *count], np.flatnonzero(slots)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*words, *[None] * len(used)], pa.binary()), pa.array([*[None] * len(words), *used.tolist()], pa.int32()), pa.array([n, *(count[w] for w in words[1:]), *slots[used].tolist()], pa.int64())],
+            names=["w", "slot", "n"])
 
-    found = {bytes(w): n for w, n in files.select("text").mapInArrow(task, "w binary, n long").groupBy("w").agg(F.sum("n")).collect()}
-    return found.pop(b"", 0), found
+    counted = files.select("text").mapInArrow(task, "w binary, slot int, n long").groupBy("w", "slot").agg(F.sum("n").alias("n")).toArrow()  # of the templates' words and 2^SLOT_BITS slots
+    found, slots = {}, np.zeros(1 << SLOT_BITS, np.int64)
+    for w, slot, n in zip(*(counted[c].to_pylist() for c in ("w", "slot", "n")), strict=True):
+        if slot is None:
+            found[bytes(w)] = n
+        else:
+            slots[slot] = n
+    return found.pop(b"", 0), found, slots
 
 
 def scan_files(files: DataFrame, *, least: float = 0.75, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """file_id, path, license and score (null without a notice) of every row of files(file_id, path, text)."""
-    n, frequency = _frequencies(files, {w for _, t in templates for w in words_of(t)})
-    shared = files.sparkSession.sparkContext.broadcast(Scanner(templates, n, frequency, least))
+    n, frequency, slots = _frequencies(files, {w for _, t in templates for w in words_of(t)})
+    shared = files.sparkSession.sparkContext.broadcast(Scanner(templates, n, frequency, least, slots))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

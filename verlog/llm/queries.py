@@ -60,7 +60,42 @@ FROM rows GROUP BY conv_id
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", *(F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
+
+
+def _words(text: str) -> str:
+    """SQL for the words of a text as a list."""
+    return rf"list_filter(string_split(regexp_replace(lower({text}), '[\x00-/:-@\[-`{{-\x7f]+', ' ', 'g'), ' '), lambda w: w <> '')"
+
+
+def _pairs(words: str) -> str:
+    """SQL for the distinct neighbours in a list of words; of one word, itself."""
+    return f"CASE WHEN len({words}) = 1 THEN {words} ELSE list_distinct(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1])) END"
+
+
+# every passage of 128 words, 64 apart, against every segment of 64 words of an item, scored by BM25 over the segment's own score
+OP4_SQL = rf"""
+WITH it AS (SELECT item_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, {_words("text")} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+     cut AS (SELECT *, [[regexp_extract(t, '(?s)^(.*\?)(.*)$', 1), regexp_extract(t, '(?s)^(.*\?)(.*)$', 2)], [regexp_extract(t, '(?s)^(.*)\n(.*)$', 1), regexp_extract(t, '(?s)^(.*)\n(.*)$', 2)], [regexp_extract(t, '(?s)^(.*[.!])(\s.*)$', 1), regexp_extract(t, '(?s)^(.*[.!])(\s.*)$', 2)]] AS c FROM it),
+     halves AS (SELECT item_id, w, list_filter(list_transform(c, lambda x: [{_words("x[1]")}, {_words("x[2]")}]), lambda x: len(x[1]) > 0 AND len(x[2]) > 0)[1] AS h FROM cut),
+     items AS (SELECT item_id, w, coalesce(h[1], w[:len(w) - len(w) // 3]) AS q, CASE WHEN h IS NULL THEN w[len(w) - len(w) // 3 + 1:] ELSE h[2] END AS a FROM halves),
+     seg AS (SELECT item_id, k, w[64 * k + 1 : 64 * k + 64] AS s FROM (SELECT item_id, w, unnest(range((len(w) + 63) // 64)) AS k FROM items)),
+     total AS (SELECT (SELECT count(*) FROM items) AS n, (SELECT avg(len(s)) FROM seg) AS mean),
+     df AS (SELECT x, count(*) AS f FROM (SELECT unnest(list_distinct(w)) AS x FROM items) GROUP BY x),
+     tf AS (SELECT item_id, k, len(s) AS l, x, len(list_filter(s, lambda y: y = x)) AS c FROM (SELECT *, unnest(list_distinct(s)) AS x FROM seg)),
+     raw AS (SELECT item_id, k, x, ln(1 + (n - f + 0.5) / (f + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * l / mean)) AS v FROM tf JOIN df USING (x), total),
+     impact AS (SELECT item_id, k, x, v / sum(v) OVER (PARTITION BY item_id, k) AS v FROM raw),
+     docs AS (SELECT doc_id, {_words("coalesce(text, '')")} AS w FROM documents),
+     passage AS (SELECT doc_id, p, unnest(list_distinct(w[64 * p + 1 : 64 * p + 128])) AS x FROM (SELECT doc_id, w, unnest(range((len(w) + 63) // 64)) AS p FROM docs)),
+     hit AS (SELECT doc_id, p, item_id, k, sum(v) AS score FROM passage JOIN impact USING (x) GROUP BY ALL HAVING sum(v) >= 0.5 - 1e-9),
+     best AS (SELECT doc_id, p, item_id, max(score) AS score FROM hit GROUP BY ALL),
+     near AS (SELECT best.*, q, a, docs.w[greatest(1, 64 * p - len(items.w) + 1) : 64 * p + 128 + len(items.w)] AS around FROM best JOIN docs USING (doc_id) JOIN items USING (item_id)),
+     shares AS (SELECT doc_id, item_id, score, list_concat(around, {_pairs("around")}) AS seen, {_pairs("q")} AS q, {_pairs("a")} AS a FROM near),
+     judged AS (SELECT doc_id, item_id, score, CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_intersect(q, seen)) / len(q) END AS question_overlap, CASE WHEN len(a) = 0 THEN 1.0 ELSE len(list_intersect(a, seen)) / len(a) END AS answer_overlap FROM shares)
+SELECT doc_id, item_id, round(score, 6) AS score, round(question_overlap, 6) AS question_overlap, round(answer_overlap, 6) AS answer_overlap FROM judged WHERE question_overlap >= 0.5 AND answer_overlap >= 0.5
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, question_overlap DESC, answer_overlap DESC) = 1
+"""
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,4 +166,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_chat_tree": OP3_SQL, "op6_embedding_dedup": OP6_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op3_chat_tree": OP3_SQL, "op4_decontaminate": OP4_SQL, "op6_embedding_dedup": OP6_SQL, "op10_jaccard_join": OP10_SQL}
