@@ -227,3 +227,32 @@ def test_reads_of_a_run_reach_the_files(spark, tmp_path):
 def test_no_nested_loop_joins_on_the_ring(spark):
     df = spark.createDataFrame([(0, "a")], "pos long, key string")
     assert "NestedLoop" not in plan_of(ring.route(df, fixtures.nodes(spark))) and "Cartesian" not in plan_of(ring.replicas(df, fixtures.nodes(spark), 2))
+
+
+def test_planted_failures_leave_nothing_half_done(spark, tmp_path):
+    import os
+
+    from verlog import faults
+
+    log = lambda n: spark.createDataFrame([(f"k{i}", i + 1, 0, "v", 0) for i in range(n)], storage.LOG)
+    store = storage.Store(spark, f"file://{tmp_path}/s")
+    first = store.commit(log(5))
+    for point in ("store.write", "store.written", "store.checked", "store.swap"):
+        with faults.armed(point), pytest.raises(faults.Planted):
+            store.commit(log(9))
+        assert store.current == first and store.read().count() == 5
+    left = [v for v in store.versions() if v != first]
+    assert len(left) == 1  # of the one that died before the swap
+    with faults.armed("vacuum.delete"), pytest.raises(faults.Planted):
+        store.vacuum()
+    assert store.vacuum() == left and store.read().count() == 5
+    for point in ("checkpoint.write", "checkpoint.written"):
+        with faults.armed(point), pytest.raises(faults.Planted):
+            store.checkpoint(f"file://{tmp_path}/c")
+        assert not [n for n in os.listdir(tmp_path) if n.startswith("c")]
+    store.checkpoint(f"file://{tmp_path}/c")
+    assert spark.read.parquet(f"file://{tmp_path}/c").count() == 5
+    with pytest.raises(FileExistsError):
+        store.checkpoint(f"file://{tmp_path}/c")
+    with pytest.raises(ValueError), faults.armed("nowhere"):
+        pass

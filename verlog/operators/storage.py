@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Options
+from ..faults import reach
 from ..schema import LOG, split_faulty
 from ..sources import paths
 from .folds import stream_fold
@@ -116,8 +117,20 @@ def deletable_segments(segments: DataFrame, flushed_seq: int) -> DataFrame:
 
 
 def create_checkpoint(log: DataFrame, path: str) -> None:
-    """A copy of the log; a folder that exists is an error."""
-    log.write.mode("errorifexists").parquet(path)
+    """A copy of the log; a folder that exists is an error. It is written beside its place and then renamed, so that a
+    folder of this name is always whole."""
+    spark = log.sparkSession
+    if paths.exists(spark, path):
+        raise FileExistsError(path)
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
+    reach("checkpoint.write")
+    try:
+        log.write.parquet(beside)
+        reach("checkpoint.written")
+        paths.rename(spark, beside, path)
+    except Exception:
+        paths.delete(spark, beside)
+        raise
 
 
 def open_log(spark: SparkSession, *paths: str) -> tuple[DataFrame, int]:
@@ -151,14 +164,18 @@ class Store:
         name = f"v-{uuid.uuid4().hex}"
         at = f"{self.folder}/{name}"
         try:
+            reach("store.write")
             write_run(log, at)
+            reach("store.written")
             if not split_faulty(self.spark.read.schema(LOG).parquet(at))[1].isEmpty():
                 raise ValueError("faulty rows")
             if expected is not None and self.current != expected:
                 raise ValueError("another commit came first")
+            reach("store.checked")
         except Exception:
             paths.delete(self.spark, at)
             raise
+        reach("store.swap")  # the driver dies here: the version stays behind, unused, until vacuum()
         paths.replace_text(self.spark, f"{self.folder}/CURRENT", name)
         return name
 
@@ -190,6 +207,7 @@ class Store:
         """Delete versions that are not current."""
         gone = [v for v in self.versions() if v != self.current]
         for v in gone:
+            reach("vacuum.delete")
             paths.delete(self.spark, f"{self.folder}/{v}")
         return gone
 

@@ -56,6 +56,12 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    fs, p = _at(spark, path)
+    if not fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"{path} could not be renamed to {to}")
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file, or null."""
     fs, p = _at(spark, path)
