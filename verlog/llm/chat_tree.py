@@ -3,7 +3,9 @@
 Conversations that share their initial turns share the nodes of those turns. All nodes are laid out
 depth first in one token stream, each once; a node carries its start in the stream, the position id
 of its first token (the tokens of its ancestors) and the intervals of the stream that its tokens may
-attend to besides their own node. A conversation is the list of its nodes.
+attend to besides their own node. A node that directly follows its parent in the stream shares the parent's interval, so
+the list grows with the branches that a path takes other than first, not with its depth. A conversation is the list of
+its nodes.
 
 A turn is `<|im_start|>role\\ntext<|im_end|>\\n`, where both markers are single control ids. A text is
 escaped so that it holds no control string: `<`, n backslashes, `|` gets one backslash more. Roles

@@ -286,9 +286,11 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.5, ove
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = [not got for _, got in _by_batch(shared.value, batch.column("text"))]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):  # what is returned is a copy, so little at a time
+                    batch = whole.slice(at, 512)
+                    clean = [not got for _, got in _by_batch(shared.value, batch.column("text"))]
+                    yield batch.filter(pa.array(clean, pa.bool_()))
             give_back()
 
         docs = docs.mapInArrow(task, docs.schema)

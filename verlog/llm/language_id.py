@@ -69,6 +69,7 @@ def count_trigrams(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
                 own = counts.setdefault(langs[i], np.zeros(SLOTS, np.int64))
                 for slots in _slices(text):
                     own += np.bincount(slots, minlength=SLOTS)
+        give_back()
         for lang, n in counts.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "slot": pa.array(at), "n": pa.array(n[at])})
@@ -222,9 +223,11 @@ def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     judge = Judge(*learn(docs))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            share = judge.proportions(batch.column("text"))
-            yield batch.filter(pa.array(share.max(1, initial=0.0) >= least))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):  # what is returned is a copy, so little at a time
+                batch = whole.slice(at, 512)
+                share = judge.proportions(batch.column("text"))
+                yield batch.filter(pa.array(share.max(1, initial=0.0) >= least))
         give_back()
 
     return docs.mapInArrow(task, docs.schema)

@@ -44,7 +44,7 @@ NONE = float("-inf")
 
 
 class Codec:
-    def __init__(self, model: str, bpe: bool = True, cache_words: int = 250_000, cache_chars: int = 64):
+    def __init__(self, model: str, bpe: bool = True, cache_words: int = 150_000, cache_chars: int = 64):
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
         self.bpe = bpe
         n = self.sp.vocab_size()
@@ -115,7 +115,7 @@ class Codec:
     def _fits(self, before: int, piece: int) -> bool:
         """Whether the merges leave these two pieces next to each other."""
         a, b = self.pieces[before], self.pieces[piece]
-        if len(self.pairs) >= 300_000:
+        if len(self.pairs) >= 200_000:
             self.pairs.clear()
         fits = self.pairs[before * len(self.pieces) + piece] = a[-1] + b[0] not in self.neighbours or self.merge(a + b) == [a, b]
         return fits
