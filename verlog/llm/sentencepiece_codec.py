@@ -44,7 +44,7 @@ NONE = float("-inf")
 
 
 class Codec:
-    def __init__(self, model: str, bpe: bool = True, cache_words: int = 150_000, cache_chars: int = 64):
+    def __init__(self, model: str, bpe: bool = True, cache_words: int = 200_000, cache_chars: int = 64):
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
         self.bpe = bpe
         n = self.sp.vocab_size()
@@ -69,6 +69,7 @@ class Codec:
             self.found.add_word(p, i)
         self.found.make_automaton()
         self.pairs: dict[int, bool] = {}
+        self.past_pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}  # by word without the blank before it; with a real blank before, by unit
         self.older: dict[str, bytes] = {}
         self.cache_words, self.cache_chars = cache_words, cache_chars
@@ -114,10 +115,15 @@ class Codec:
 
     def _fits(self, before: int, piece: int) -> bool:
         """Whether the merges leave these two pieces next to each other."""
-        a, b = self.pieces[before], self.pieces[piece]
-        if len(self.pairs) >= 200_000:
+        if len(self.pairs) >= 150_000:
+            self.past_pairs = self.pairs.copy()
             self.pairs.clear()
-        fits = self.pairs[before * len(self.pieces) + piece] = a[-1] + b[0] not in self.neighbours or self.merge(a + b) == [a, b]
+        key = before * len(self.pieces) + piece
+        fits = self.past_pairs.get(key)
+        if fits is None:
+            a, b = self.pieces[before], self.pieces[piece]
+            fits = a[-1] + b[0] not in self.neighbours or self.merge(a + b) == [a, b]
+        self.pairs[key] = fits
         return fits
 
     # --- the lattice
