@@ -26,6 +26,16 @@ KINDS = {
 }
 KIND_OF = {c: k for k, names in KINDS.items() for c in names.split()}
 
+#: What commands say is wrong; {} stands for the name that is meant.
+FAULTS = {
+    "encoding": "Corruption: {} encoding corrupted", "ttl": "InvalidArgument: ttl is too large", "syntax": "syntax error", "expire": "invalid expire time in 'SET'",
+    "duration": "invalid TTL value for '{}'", "integer": "invalid integer value for '{}'", "overflow": "InvalidArgument: counter overflow",
+    "number": "InvalidArgument: value is not an integer", "limit": "invalid LIMIT value for 'SCAN'", "unknown": "unknown command", "leader": "not leader",
+    "arity": "wrong number of arguments for {}", "in txn": "unsupported command in transaction", "options": "SET options are not supported in transactions",
+    "login": "NOAUTH authentication required", "no password": "AUTH is not enabled", "password": "invalid password", "active": "transaction already active",
+    "none active": "no active transaction", "conflict": "transaction conflict",
+}
+
 
 def parse(lines: DataFrame) -> DataFrame:
     """Adds tokens, op (upper case; INVALID if unknown or empty), kind and argc to lines(…, line)."""
@@ -123,7 +133,7 @@ def array(items: list[str | None]) -> str:
 def _typed(space: Keyspace, key: str, now: int, kind: type, name: str):
     value = space.get(key, now)
     if value is not None and not isinstance(value, kind):
-        raise Fail(f"Corruption: {name} encoding corrupted")
+        raise Fail(FAULTS["encoding"].format(name))
     return value
 
 
@@ -134,7 +144,7 @@ def _text(value) -> str | None:
 
 def _expiry(now: int, ms: int) -> int:
     if now + ms > MAX_INT64:
-        raise Fail("InvalidArgument: ttl is too large")
+        raise Fail(FAULTS["ttl"])
     return now + ms
 
 
@@ -146,13 +156,13 @@ def _set(space: Keyspace, args: list[str], now: int) -> str:
             absent, at = True, at + 1
             continue
         if rest[at] not in ("EX", "PX") or ttl is not None or at + 1 == len(rest):
-            raise Fail("syntax error")
+            raise Fail(FAULTS["syntax"])
         ttl = _int(rest[at + 1])
         if ttl is None or ttl <= 0:
-            raise Fail("invalid expire time in 'SET'")
+            raise Fail(FAULTS["expire"])
         if rest[at] == "EX":
             if ttl > MAX_INT64 // 1000:
-                raise Fail("InvalidArgument: ttl is too large")
+                raise Fail(FAULTS["ttl"])
             ttl *= 1000
         at += 2
     if absent and space.get(key, now) is not None:
@@ -174,9 +184,9 @@ def _ttl(space: Keyspace, op: str, args: list[str], now: int) -> str:
         return integer(int(value is not None))
     n = _int(args[1])
     if n is None:
-        raise Fail(f"invalid TTL value for '{op}'")
+        raise Fail(FAULTS["duration"].format(op))
     if op == "EXPIRE" and n > MAX_INT64 // 1000:
-        raise Fail("InvalidArgument: ttl is too large")
+        raise Fail(FAULTS["ttl"])
     if value is None:
         return integer(0)
     if n <= 0:
@@ -189,16 +199,16 @@ def _ttl(space: Keyspace, op: str, args: list[str], now: int) -> str:
 def _counter(space: Keyspace, op: str, args: list[str], now: int) -> str:
     by = 1 if op in ("INCR", "DECR") else _int(args[1])
     if by is None:
-        raise Fail(f"invalid integer value for '{op}'")
+        raise Fail(FAULTS["integer"].format(op))
     old = space.get(args[0], now)
     value = 0 if old is None else parse_counter(old) if isinstance(old, str) else None
     if op == "DECRBY" and by == MIN_INT64:
-        raise Fail("InvalidArgument: counter overflow")
+        raise Fail(FAULTS["overflow"])
     if value is None:
-        raise Fail("InvalidArgument: value is not an integer")
+        raise Fail(FAULTS["number"])
     value += -by if op.startswith("DECR") else by
     if not MIN_INT64 <= value <= MAX_INT64:
-        raise Fail("InvalidArgument: counter overflow")
+        raise Fail(FAULTS["overflow"])
     space.put(args[0], str(value))
     return integer(value)
 
@@ -227,7 +237,7 @@ def _hash(space: Keyspace, op: str, args: list[str], now: int) -> str:
 def _list(space: Keyspace, op: str, args: list[str], now: int) -> str:
     places = [_int(a) for a in args[1:]] if op in ("LINDEX", "LRANGE") else []
     if None in places:
-        raise Fail(f"invalid integer value for '{op}'")
+        raise Fail(FAULTS["integer"].format(op))
     key, held = args[0], _typed(space, args[0], now, deque, "list")
     held = deque() if held is None else held
     if op in ("LPUSH", "RPUSH"):
@@ -256,7 +266,7 @@ def _scan(space: Keyspace, args: list[str], now: int) -> str:
     if len(clause) > 1 and clause[0].upper() == "LIMIT":
         limit = _int(clause[1].removeprefix("+"))
         if limit is None or limit <= 0:
-            raise Fail("invalid LIMIT value for 'SCAN'")
+            raise Fail(FAULTS["limit"])
     out: list[str | None] = []
     for key in space.order[bisect.bisect_left(space.order, start.encode(), key=str.encode) :]:
         value = space.get(key, now)
@@ -282,12 +292,12 @@ FAMILY = {
 
 def arity_fault(op: str, n: int) -> str | None:
     least, most = ARITY[op]
-    return None if least <= n and (most is None or n <= most) else f"wrong number of arguments for {FAMILY.get(op, repr(op))}"
+    return None if least <= n and (most is None or n <= most) else FAULTS["arity"].format(FAMILY.get(op, repr(op)))
 
 
 def execute(space: Keyspace, op: str, args: list[str], now: int) -> str:
     if op not in ARITY:
-        return error("unknown command")
+        return error(FAULTS["unknown"])
     try:
         if fault := arity_fault(op, len(args)):
             raise Fail(fault)
@@ -416,7 +426,7 @@ LEADS = "SET DEL EXPIRE PEXPIRE PERSIST INCR INCRBY DECR DECRBY HSET HDEL LPUSH
 
 
 def moved(address: str) -> str:
-    return f"-MOVED {address}\r\n" if address else error("not leader")
+    return f"-MOVED {address}\r\n" if address else error(FAULTS["leader"])
 
 
 IN_TXN = ("GET", "SET", "DEL", "MGET", "SCAN", "PING")
@@ -442,9 +452,9 @@ def replay(lines: DataFrame, password: str | None = None, nodes: list[tuple] | N
                     return error(ADMIN_FAULTS["txn"])
                 return admin(space, op, args, ring, local)
             if op not in IN_TXN:
-                return error("unsupported command in transaction")
+                return error(FAULTS["in txn"])
             if op == "SET" and len(args) != 2:
-                return error("SET options are not supported in transactions")
+                return error(FAULTS["options"])
             if fault := arity_fault(op, len(args)):
                 return error(fault)
             if op in ("SET", "DEL"):
@@ -468,28 +478,28 @@ def replay(lines: DataFrame, password: str | None = None, nodes: list[tuple] | N
             own = sessions.setdefault(row["session"], {"in": not password, "txn": None})
             txn = own["txn"]
             if op == "AUTH":
-                fault = "wrong number of arguments for 'AUTH'" if len(args) != 1 else "AUTH is not enabled" if not password else "invalid password" if args[0] != password else None
+                fault = FAULTS["arity"].format("'AUTH'") if len(args) != 1 else FAULTS["no password"] if not password else FAULTS["password"] if args[0] != password else None
                 own["in"] = own["in"] or not fault
                 reply = error(fault) if fault else simple("OK")
             elif not own["in"]:
-                reply = error("NOAUTH authentication required")
+                reply = error(FAULTS["login"])
             elif leader is not None and op in LEADS:
                 reply = moved(leader)
             elif op in ("BEGIN", "EXEC", "ABORT"):
                 reply = simple("OK")
                 if args:
-                    reply = error(f"wrong number of arguments for '{op}'")
+                    reply = error(FAULTS["arity"].format(repr(op)))
                 elif op == "BEGIN" and txn:
-                    reply = error("transaction already active")
+                    reply = error(FAULTS["active"])
                 elif op == "BEGIN":
                     own["txn"] = {"start": space.begin(), "writes": {}, "reads": set()}
                 elif not txn:
-                    reply = error("no active transaction")
+                    reply = error(FAULTS["none active"])
                 else:
                     own["txn"] = None
                     space.end(txn["start"])
                     if op == "EXEC" and any(space.changed.get(k, 0) > txn["start"] for k in {*txn["reads"], *txn["writes"]}):
-                        reply = error("transaction conflict")
+                        reply = error(FAULTS["conflict"])
                     elif op == "EXEC":
                         for k, v in txn["writes"].items():
                             space.put(k, v) if v is not None else space.drop(k)
@@ -498,7 +508,7 @@ def replay(lines: DataFrame, password: str | None = None, nodes: list[tuple] | N
             elif op in ("INFO", "STATS", "CLUSTER"):
                 reply = admin(space, op, args, ring, local)
             else:
-                reply = error("unknown command") if op == "INVALID" else execute(space, op, args, now)
+                reply = error(FAULTS["unknown"]) if op == "INVALID" else execute(space, op, args, now)
             return [(row["part"], row["pos"], op, reply)]
 
         return step
