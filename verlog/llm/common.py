@@ -18,6 +18,7 @@ FEW = 500_000  # edges that one task joins
 
 _own_dir: list[str] = []
 _made: list[str] = []
+_rows_since = 0
 _owner: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owner", default=None)
 
 
@@ -100,10 +101,16 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def texts(column: pa.Array, chunk: int = 256) -> Iterator[tuple[int, str | None]]:
-    """(row, text) of an Arrow string column; only `chunk` Python strings exist at once."""
+def texts(column: pa.Array, chunk: int = 256, every: int = 4096) -> Iterator[tuple[int, str | None]]:
+    """(row, text) of an Arrow string column; only `chunk` Python strings exist at once, and what is freed goes back to
+    the system after each `every` rows of a worker."""
+    global _rows_since
     for at in range(0, len(column), chunk):
         yield from enumerate(column.slice(at, chunk).to_pylist(), at)
+        _rows_since += chunk
+        if _rows_since >= every:
+            _rows_since = 0
+            give_back()
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

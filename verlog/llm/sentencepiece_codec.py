@@ -36,7 +36,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import give_back, texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -278,6 +278,8 @@ def encode(df: DataFrame, *, text_col: str = "text", model: str = MODEL, verify:
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([b is None for b in blobs]))
                 more = [pa.array(same, pa.bool_())] if verify else []
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c, _ in kept), ids, *more], names=named)
+        own.older, own.past_pairs = {}, {}
+        give_back()
 
     schema = "".join(f"`{c}` {t}, " for c, t in kept)
     return df.mapInArrow(task, f"{schema}ids array<int>{', round_trip boolean' if verify else ''}")
