@@ -1,7 +1,10 @@
+import re
+
 import pytest
 
 from verlog import config
 from verlog.operators import bloom, storage
+from verlog.plans import catalogue
 from verlog.schema import LOG
 from verlog.sources import resp, wal
 
@@ -35,6 +38,38 @@ def test_bloom_has_no_false_negatives(spark):
     assert bloom.may_contain(filters, others).where("maybe").count() < 3000 * 0.05
 
 
+def test_bloom_of_all_files_for_all_keys(spark):
+    entries = spark.createDataFrame([(i % 3 if i % 5 else 9, f"k{i % 400}" if i % 7 else None) for i in range(3000)] + [(8, None), (None, "k1"), (None, None)], "file_number long, key string")
+    asked = spark.createDataFrame([(f"k{i}",) for i in range(2500)] + [("k1",), (None,), (None,)], "key string")
+    pairs = asked.distinct().crossJoin(entries.select("file_number").where("file_number is not null").distinct())
+    rows = lambda df: sorted((repr(r.file_number), repr(r.key), r.maybe) for r in df.collect())
+    want = sorted(rows(bloom.may_contain(bloom.build(entries), pairs)) + [("None", repr(k), False) for k in {r.key for r in asked.collect()}])
+    assert len(want) == 6 * 2501 and sum(w[2] for w in want) > 1000
+    for widest in (bloom.WIDEST, 6010, 32):  # no file, some and nearly all are probed word by word
+        assert rows(bloom.may_contain_all(entries, asked, widest=widest)) == want
+    assert bloom.may_contain_all(entries.limit(0), asked).isEmpty() and bloom.may_contain_all(entries, asked.limit(0)).isEmpty()
+    made = bloom.may_contain_all(entries, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in made.split("CartesianProduct")[0]
+
+
+def test_bloom_probe_shuffles_no_pairs(spark, tmp_path):
+    spark.range(5000).selectExpr("id as event_id", "id % 50 as user_id", "timestamp_ntz'2024-01-01 00:00:00' as ts", "'view' as event_type", "'' as props").write.parquet(f"{tmp_path}/events.parquet")
+    plan = catalogue.queries()["bloom_probe"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    above = re.split("CartesianProduct|BroadcastNestedLoopJoin", plan)
+    assert len(above) == 2 and not re.search("Exchange|Aggregate|Sort", above[0])
+
+
+def test_bloom_probe_of_events_without_numbers(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(None if i % 9 == 0 else i * 3, None if i % 8 == 0 else i % 5) for i in range(600)]
+    spark.createDataFrame(rows, "event_id long, user_id long").selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' as ts", "'view' as event_type", "1D as value", "'' as props").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(f"SELECT file_number, key, maybe FROM ({catalogue.oracle_sql()['bloom_probe']})").fetchall()
+    got = [(r.file_number, r.key, r.maybe) for r in catalogue.queries()["bloom_probe"](spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and any(w[0] is None for w in want)
+
+
 def test_reclaim_waits_for_snapshots(spark):
     df = spark.createDataFrame([("a", 1, 0, "x", 5), ("b", 2, 0, "y", 0), ("c", 3, 1, None, 0)], LOG)
     assert storage.reclaim(df, 5).count() == 1 and storage.reclaim(df, 4).count() == 3 and storage.reclaim(df, 5, active_snapshots=1).count() == 3

@@ -525,9 +525,7 @@ def bloom_probe(spark, d):
     """For every file, the filter's word on all users and on as many keys that no file has."""
     users = X.table(spark, d, "events").select("user_id").distinct()
     asked = users.select(F.concat(F.lit("user:"), "user_id").alias("key")).union(users.select(F.concat(F.lit("none:"), "user_id")))
-    files = _sampled_files(spark, d)
-    pairs = asked.crossJoin(F.broadcast(files.select("file_number").distinct()))  # a row for each file
-    return bloom.may_contain(bloom.build(files), pairs)
+    return bloom.may_contain_all(_sampled_files(spark, d), asked)
 
 
 @query
